@@ -35,10 +35,11 @@ def findings_by_repository(findings: DataFrame, scans: DataFrame, repositories:
 
 
 def languages_by_repository(scans: DataFrame, repositories: DataFrame) -> DataFrame:
-    latest = latest_scans(scans, "any")
-    languages = scans.select(F.col("id").alias("scan_id"), "languages")
+    """Language list of each latest scan of any type: one aggregation, no join back."""
+    newest = F.max_by("languages", "id").alias("languages")
     return (
-        latest.join(languages, "scan_id")
+        scans.groupBy("repository_id")
+        .agg(newest)
         .filter(F.size("languages") > 0)
         .join(_names(repositories), "repository_id")
         .select("repository_id", "name", "languages")
