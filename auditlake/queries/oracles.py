@@ -8,7 +8,7 @@ REPOSITORY = r"""repository AS (
          'main' AS primary_branch, md5(CAST(c_custkey AS VARCHAR)) AS last_commit_hash,
          c_nationkey < 12 AS needs_scan, c_acctbal > 0 AS periodic_scan_enabled,
          c_nationkey * 86400 * 30 AS periodic_scan_interval,
-         CASE c_mktsegment WHEN 'BUILDING' THEN '*.js, f1*' WHEN 'MACHINERY' THEN 'src' END AS sast_exclusions
+         CASE c_mktsegment WHEN 'BUILDING' THEN '*.rs, p1*' WHEN 'MACHINERY' THEN 'src' END AS sast_exclusions
   FROM customer)"""
 
 SCAN = r"""scan AS (
@@ -151,5 +151,102 @@ FROM scan ORDER BY scan.created_at DESC, id DESC LIMIT 5""",
 }
 
 
+
+INVENTORY = r"""inventory AS (
+  SELECT DISTINCT l_suppkey AS repo,
+         CASE l_returnflag WHEN 'A' THEN 'src/' WHEN 'N' THEN 'tests/' ELSE 'pkg/build/' END || 'p' || (l_partkey % 97) || '/' ||
+         CASE l_linenumber WHEN 1 THEN 'f.py' WHEN 2 THEN 'Dockerfile' WHEN 3 THEN 'values.yaml' WHEN 4 THEN 'LICENSE'
+              WHEN 5 THEN 'f.rs' WHEN 6 THEN 'Gemfile' ELSE 'notes.md' END AS path
+  FROM lineitem)"""
+PAGE_PATHS = r"""page_paths AS (
+  SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS repo, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path
+  FROM pages)"""
+_LISTED = "id, scan_id, file_path, line_number, description, severity"
+_BASE = "regexp_extract(path, '[^/]*$')"
+_SOURCE = f"{_BASE} <> 'LICENSE' AND path NOT LIKE '%.md' AND NOT contains(path, 'build/')"
+_CONFIG = f"{_BASE} IN ('Dockerfile', 'Gemfile') OR path LIKE '%.yaml'"
+_GROUP = "CASE WHEN line_number >= 6 THEN 'General' ELSE file_path END"
+_LAST = """SELECT repository_id, id AS scan_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY created_at DESC, id DESC) AS rn
+  FROM scan WHERE scan_type = '{kind}') WHERE rn = 1"""
+
+LISTING = {
+    "findings_filtered": _with(FINDINGS)
+    + f"SELECT {_LISTED} FROM findings WHERE severity = 'HIGH' AND description LIKE 'semgrep:%'",
+    "findings_of_repository": _with(SCAN, FINDINGS)
+    + f"SELECT {_LISTED} FROM findings WHERE scan_id IN (SELECT id FROM scan WHERE repository_id = 7)",
+    "findings_with_description": _with(FINDINGS)
+    + f"SELECT {_LISTED} FROM findings WHERE description = 'Gitleaks: red widget'",
+    "findings_with_keyword": _with(FINDINGS)
+    + f"SELECT {_LISTED} FROM findings WHERE contains(lower(description), 'widget')",
+    "severity_mapping": f"""SELECT {RAW_LEVEL} AS raw, {_SEVERITY} AS severity, count(*) AS n FROM lineitem GROUP BY 1, 2""",
+    "path_languages": _with(INVENTORY, PAGE_PATHS)
+    + f"""SELECT repo, path, CASE WHEN {_BASE} = 'f.py' THEN 'Python' WHEN {_BASE} = 'f.rs' THEN 'Rust'
+       WHEN {_BASE} = 'Gemfile' THEN 'Ruby' WHEN path LIKE '%.html' THEN 'HTML' END AS language
+FROM (SELECT CAST(repo AS VARCHAR) AS repo, path FROM inventory UNION ALL SELECT repo, path FROM page_paths)""",
+    "finding_descriptions": _with(FINDINGS)
+    + """SELECT id, CASE WHEN tool = 'gitleaks' THEN description ELSE split_part(description, ' (http', 1) END AS description_text,
+       CASE WHEN tool = 'gitleaks' THEN NULL ELSE rtrim(split_part(description, ' (', 2), ')') END AS description_url,
+       CASE tool WHEN 'semgrep' THEN rtrim(split_part(description, '/r/', 2), ')')
+            WHEN 'bandit' THEN replace(split_part(description, '/plugins/', 2), '.html)', '') END AS rule_id
+FROM findings""",
+    "confident_findings": _with(FINDINGS) + "SELECT id, confidence_score FROM findings WHERE confidence_score >= 0.7",
+    "patch_candidates": _with(FINDINGS) + "SELECT id, confidence_score FROM findings WHERE confidence_score > 0.7",
+    "source_files": _with(INVENTORY)
+    + f"SELECT repo, path FROM inventory WHERE {_SOURCE} AND path NOT LIKE 'tests/%'",
+    "source_files_with_tests": _with(INVENTORY) + f"SELECT repo, path FROM inventory WHERE {_SOURCE}",
+    "config_files": _with(INVENTORY) + f"SELECT repo, path FROM inventory WHERE {_CONFIG}",
+    "repository_urls": _with(REPOSITORY)
+    + """SELECT id, u.url, repository.url AS clone_url, u.branch,
+       split_part(replace(repository.url, '.git', ''), '/', 5) AS name,
+       CASE WHEN u.url LIKE '%.git' THEN u.url ELSE u.url || '.git' END AS push_url
+FROM repository, LATERAL (SELECT repository.url AS url, NULL AS branch
+  UNION ALL SELECT replace(repository.url, '.git', '/tree/dev/x'), 'dev/x'
+  UNION ALL SELECT replace(repository.url, '.git', ''), NULL) u""",
+    "log_verdicts": """SELECT doc_id, NOT (contains(lower(text), 'failed') OR contains(lower(text), 'error')) AS tests_passed
+FROM documents""",
+    "relative_paths": f"""SELECT {_LINE_ID} AS id, CASE l_linestatus WHEN 'O' THEN replace({_LINE_PATH}, 'src/', '')
+       ELSE {_LINE_PATH} END AS file_path FROM lineitem""",
+    "findings_by_severity_order": _with(FINDINGS)
+    + """SELECT id, scan_id, severity, CAST(list_position(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'UNKNOWN'], severity) - 1
+       AS INTEGER) AS severity_rank FROM findings""",
+    "quality_rows_sorted": _with(METRIC) + "SELECT id, scan_id, file_path, sloc FROM quality_metric",
+    "last_quality_scans": _with(SCAN) + _LAST.format(kind="quality"),
+    "last_deep_scans": _with(SCAN) + _LAST.format(kind="deep"),
+    "scan_file_groups": _with(FINDINGS)
+    + f"""SELECT scan_id, {_GROUP} AS file_group, count(*) AS file_findings,
+       CAST(sum(count(*)) OVER (PARTITION BY scan_id) AS BIGINT) AS scan_findings FROM findings GROUP BY 1, 2""",
+    "scan_listing": _with(FINDINGS)
+    + f"""SELECT id, scan_id, {_GROUP} AS file_group, count(*) OVER (PARTITION BY scan_id, {_GROUP}) AS file_findings,
+       count(*) OVER (PARTITION BY scan_id) AS scan_findings FROM findings""",
+    "tool_totals": _with(FINDINGS) + "SELECT scan_id, tool, count(*) AS finding_count FROM findings GROUP BY 1, 2",
+    "finding_gate": _with(FINDINGS)
+    + """SELECT count(*) AS finding_count, count(*) FILTER (severity = 'HIGH') AS severe_count, count(*) = 0 AS passed
+FROM findings""",
+    "language_ranking": _with(
+        INVENTORY,
+        """c AS (SELECT repo, CASE regexp_extract(path, '[^/]*$') WHEN 'f.py' THEN 'Python' WHEN 'f.rs' THEN 'Rust'
+       WHEN 'Gemfile' THEN 'Ruby' END AS language, count(*) AS n FROM inventory GROUP BY 1, 2 HAVING language IS NOT NULL)""",
+    )
+    + """SELECT repo, string_agg(language, ',' ORDER BY n DESC, language) AS languages,
+       first(language ORDER BY n DESC, language) AS primary_language FROM c GROUP BY repo""",
+    "work_estimate": _with(
+        INVENTORY,
+        f"""w AS (SELECT repo, count(*) FILTER (NOT contains(path, 'build/') AND path NOT LIKE 'tests/%') AS rule_files,
+       count(*) FILTER ({_SOURCE} AND path NOT LIKE 'tests/%') AS source_files, count(*) AS secret_files,
+       count(*) FILTER ({_CONFIG}) AS config_files FROM inventory GROUP BY repo)""",
+    )
+    + """SELECT repo, rule_files, source_files, secret_files, config_files, source_files AS quality_files,
+       rule_files + 2 * source_files + secret_files + config_files + 2 AS total_progress FROM w""",
+    "page_work_estimate": _with(PAGE_PATHS)
+    + """SELECT repo, count(*) AS rule_files, count(*) AS source_files, count(*) AS secret_files, CAST(0 AS BIGINT) AS config_files,
+       count(*) AS quality_files, 4 * count(*) + 2 AS total_progress FROM page_paths GROUP BY repo""",
+    "files_after_exclusions": _with(REPOSITORY, INVENTORY)
+    + """SELECT repo, path FROM inventory LEFT JOIN repository ON repo = id
+WHERE path NOT LIKE '%.md' AND NOT coalesce(sast_exclusions = 'src' AND path LIKE 'src/%', false)
+  AND NOT coalesce(sast_exclusions LIKE '*.rs%' AND (path LIKE '%.rs' OR path LIKE '%/p1%'), false)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**DASHBOARD}
+    return {**DASHBOARD, **LISTING}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.queries import dashboard
+from auditlake.queries import dashboard, listing
 
-_MODULES = [dashboard]
+_MODULES = [dashboard, listing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

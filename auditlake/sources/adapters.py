@@ -21,7 +21,7 @@ class Host:
 
     def repositories(self) -> DataFrame:
         name = F.col("c_name")
-        exclusions = F.when(F.col("c_mktsegment") == "BUILDING", "*.js, f1*").when(
+        exclusions = F.when(F.col("c_mktsegment") == "BUILDING", "*.rs, p1*").when(
             F.col("c_mktsegment") == "MACHINERY", "src"
         )
         return self.table("customer").select(
@@ -234,3 +234,24 @@ class Host:
         return self.table("conversations").select(
             F.col("conv_id").alias("thread_id"), "turn", F.col("role").alias("sender"), F.col("text").alias("message")
         )
+
+    def inventory(self) -> DataFrame:
+        """Checked-out file paths per repository: distinct paths spelled from lineitem."""
+        flag, number = F.col("l_returnflag"), F.col("l_linenumber")
+        folder = F.when(flag == "A", "src/").when(flag == "N", "tests/").otherwise("pkg/build/")
+        name = (
+            F.when(number == 1, "f.py")
+            .when(number == 2, "Dockerfile")
+            .when(number == 3, "values.yaml")
+            .when(number == 4, "LICENSE")
+            .when(number == 5, "f.rs")
+            .when(number == 6, "Gemfile")
+            .otherwise("notes.md")
+        )
+        path = F.concat(folder, F.lit("p"), F.col("l_partkey") % 97, F.lit("/"), name)
+        return self.table("lineitem").select(F.col("l_suppkey").alias("repo"), path.alias("path")).distinct()
+
+    def page_paths(self) -> DataFrame:
+        return self.table("pages").select(
+            F.try_parse_url("url", F.lit("HOST")).alias("repo"), F.try_parse_url("url", F.lit("PATH")).alias("path")
+        )

@@ -9,6 +9,9 @@ from pathlib import Path
 import duckdb
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for file in sorted(Path(folder).glob("*.parquet")):
@@ -33,6 +36,9 @@ def compare(df, con, sql: str) -> int:
     result = con.sql(sql)
     expected_columns = list(result.columns)
     assert sorted(df.columns) == sorted(expected_columns), (df.columns, expected_columns)
+    kinds = {name: TYPES.get(kind, kind) for name, kind in df.dtypes}
+    expected_kinds = {name: str(kind) for name, kind in zip(expected_columns, result.types)}
+    assert kinds == expected_kinds, {n: (k, expected_kinds[n]) for n, k in kinds.items() if k != expected_kinds[n]}
     got = _rows(df.columns, [tuple(row) for row in df.collect()])
     want = _rows(expected_columns, result.fetchall())
     assert len(got) == len(want), (len(got), len(want))
