@@ -248,5 +248,57 @@ WHERE path NOT LIKE '%.md' AND NOT coalesce(sast_exclusions = 'src' AND path LIK
 }
 
 
+
+def _reported(description: str, severity: str = RAW_LEVEL, snippet: str = "p_type", where: str = "l_linenumber < 7") -> str:
+    return f"""SELECT 'reports/' || {_LINE_ID} AS report_path, {_LINE_PATH} AS file_path, l_linenumber AS line_number,
+       {snippet} AS code_snippet, {description} AS description, {severity} AS severity
+FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {where}"""
+
+
+def _when_open(otherwise: str) -> str:
+    return f"CASE WHEN l_linestatus = 'O' THEN {RAW_LEVEL} ELSE '{otherwise}' END"
+
+
+INGEST = {
+    "semgrep_findings": _reported("'semgrep: ' || p_name || ' (https://semgrep.dev/r/' || p_brand || ')'"),
+    "bandit_findings": _reported(
+        "'bandit: ' || p_name || ' (https://bandit.readthedocs.io/en/latest/plugins/' || p_brand || '.html)'"
+    ),
+    "brakeman_findings": _reported("'brakeman: ' || p_brand || ' - ' || p_name"),
+    "njsscan_findings": _reported("'njsscan: ' || p_name", _when_open("UNKNOWN")),
+    "gosec_findings": _reported("'gosec: ' || p_name"),
+    "cppcheck_findings": _reported("'cppcheck: ' || p_name", f"upper({RAW_LEVEL})", "''"),
+    "gitleaks_findings": _reported("'Gitleaks: ' || p_name", _when_open("HIGH")),
+    "model_findings": _reported(
+        "p_name", _when_open("UNKNOWN"), where="l_returnflag <> 'R' AND l_discount * 10 >= 0.7"
+    ).replace("\nFROM", ", l_discount * 10 AS confidence_score\nFROM"),
+    "misconfiguration_findings": f"""SELECT 'reports/' || {_LINE_ID} AS report_path, 'reports/' || {_LINE_ID} AS file_path,
+       l_linenumber AS line_number, CAST(NULL AS VARCHAR) AS code_snippet, p_name AS description,
+       CAST(NULL AS VARCHAR) AS severity FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "report_rejects": """SELECT CASE l_suppkey % 3 WHEN 0 THEN 'semgrep' WHEN 1 THEN 'bandit' ELSE 'gitleaks' END AS tool,
+       'undecodable' AS reject_reason, count(*) AS n FROM lineitem WHERE l_linenumber = 7 GROUP BY 1""",
+    "fenced_answers": """SELECT conv_id, turn, CASE WHEN role = 'user' THEN CASE WHEN trim(text) LIKE '{%' THEN trim(text) ELSE '{}' END
+       ELSE '{"turn":' || turn || ',"role":"' || role || '"}' END AS json FROM conversations""",
+    "reported_advisories": """SELECT 'ADV-' || p_partkey AS advisory_id, p_brand AS package, CAST(p_size AS VARCHAR) AS version,
+       CASE WHEN p_size > 10 THEN p_name ELSE 'No summary available.' END AS summary,
+       'No details available.' AS details FROM part WHERE p_type <> 'SMALL'""",
+    "javascript_quality": f"""SELECT {_LINE_ID} AS id, l_extendedprice AS maintainability_index,
+       CASE WHEN l_returnflag <> 'A' THEN l_linenumber ELSE 0 END AS cyclomatic_complexity,
+       CAST(l_quantity AS INTEGER) AS sloc FROM lineitem""",
+    "ruby_quality": f"""SELECT {_LINE_ID} AS id, CASE l_returnflag WHEN 'A' THEN 100.0::DOUBLE ELSE 0 END AS maintainability_index,
+       0.0::DOUBLE + l_quantity + l_tax AS cyclomatic_complexity, l_linenumber AS sloc FROM lineitem""",
+    "rust_quality": f"""SELECT {_LINE_ID} AS id, l_extendedprice AS maintainability_index, l_quantity AS cyclomatic_complexity,
+       l_linenumber AS sloc, CAST(l_suppkey AS INTEGER) AS lloc,
+       CASE WHEN l_returnflag <> 'A' THEN l_linenumber ELSE 0 END AS comments FROM lineitem""",
+    "text_quality": f"""SELECT {_LINE_ID} AS id, l_linenumber + l_suppkey AS go_complexity,
+       {_half_up("l_tax * 100", 6)} AS coverage, l_linenumber + l_suppkey AS duplicated_lines,
+       CASE WHEN l_returnflag = 'A' THEN 0 ELSE l_linenumber END AS linter_issues,
+       l_linenumber / 2 AS coupling, (l_linenumber + 1) / 2 AS cohesion FROM lineitem""",
+    "ref_listings": """SELECT o_orderkey AS id, replace(lower(substr(o_orderpriority, 3)), ' ', '-') AS primary_branch,
+       'feature/' || replace(lower(substr(o_orderpriority, 3)), ' ', '-') AS branch,
+       md5(CAST(o_orderkey AS VARCHAR)) AS latest_hash FROM orders""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**DASHBOARD, **LISTING}
+    return {**DASHBOARD, **LISTING, **INGEST}

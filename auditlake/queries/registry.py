@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.queries import dashboard, listing
+from auditlake.queries import dashboard, ingest, listing
 
-_MODULES = [dashboard, listing]
+_MODULES = [dashboard, listing, ingest]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

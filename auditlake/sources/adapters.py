@@ -255,3 +255,118 @@ class Host:
         return self.table("pages").select(
             F.try_parse_url("url", F.lit("HOST")).alias("repo"), F.try_parse_url("url", F.lit("PATH")).alias("path")
         )
+
+    def report_lines(self) -> DataFrame:
+        """lineitem with its part, the raw material of the hosted reports."""
+        part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type", "p_size")
+        return self.table("lineitem").join(part, "l_partkey")
+
+    @staticmethod
+    def report_text(tool: str) -> Column:
+        """One tool's report about one line; the seventh line's report is cut short."""
+        path, line, level = Host.line_path(), F.col("l_linenumber"), Host.raw_level()
+        name, brand, kind = F.col("p_name"), F.col("p_brand"), F.col("p_type")
+
+        def listed(field: str, record: Column) -> Column:
+            return F.to_json(F.struct(F.array(record).alias(field)))
+
+        if tool == "semgrep":
+            start = F.struct(line.alias("line")).alias("start")
+            extra = F.struct(kind.alias("lines"), name.alias("message"), level.alias("severity")).alias("extra")
+            text = listed("results", F.struct(brand.alias("check_id"), path.alias("path"), start, extra))
+        elif tool == "bandit":
+            text = listed(
+                "results",
+                F.struct(
+                    brand.alias("test_id"),
+                    path.alias("filename"),
+                    line.alias("line_number"),
+                    kind.alias("code"),
+                    name.alias("issue_text"),
+                    level.alias("issue_severity"),
+                ),
+            )
+        elif tool == "brakeman":
+            text = listed(
+                "warnings",
+                F.struct(
+                    path.alias("file"),
+                    line.alias("line"),
+                    kind.alias("code"),
+                    brand.alias("warning_type"),
+                    name.alias("message"),
+                    level.alias("confidence"),
+                ),
+            )
+        elif tool == "njsscan":
+            metadata = F.struct(F.when(F.col("l_linestatus") == "O", level).alias("severity")).alias("metadata")
+            found = F.struct(line.alias("line"), kind.alias("lines"), name.alias("title"), metadata)
+            files = F.create_map(path, F.struct(F.array(found).alias("findings")))
+            text = F.to_json(files)
+        elif tool == "gosec":
+            text = listed(
+                "Issues",
+                F.struct(
+                    path.alias("file"),
+                    line.cast("string").alias("line"),
+                    kind.alias("code"),
+                    name.alias("details"),
+                    level.alias("severity"),
+                ),
+            )
+        elif tool == "cppcheck":
+            text = F.format_string(
+                '<?xml version="1.0"?><results version="2"><errors><error severity="%s" msg="%s">'
+                '<location file="%s" line="%d"/><location file="other.c" line="1"/></error></errors></results>',
+                level,
+                name,
+                path,
+                line,
+            )
+        elif tool == "gitleaks":
+            record = F.struct(
+                path.alias("File"),
+                line.alias("StartLine"),
+                kind.alias("Secret"),
+                name.alias("Description"),
+                F.when(F.col("l_linestatus") == "O", level).alias("Severity"),
+            )
+            text = F.to_json(F.array(record))
+        elif tool == "model":
+            body = listed(
+                "vulnerabilities",
+                F.struct(
+                    path.alias("file_path"),
+                    line.alias("line_number"),
+                    kind.alias("code_snippet"),
+                    name.alias("description"),
+                    (F.col("l_discount") * 10).alias("confidence"),
+                    F.when(F.col("l_linestatus") == "O", level).alias("severity"),
+                ),
+            )
+            fenced = F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nDone."))
+            flag = F.col("l_returnflag")
+            text = F.when(flag == "A", fenced).when(flag == "N", body).otherwise("Nothing to report.")
+        elif tool == "misconfiguration":
+            body = listed("misconfigurations", F.struct(line.alias("line_number"), name.alias("description")))
+            text = F.concat(F.lit("```json\n"), body, F.lit("\n```"))
+        else:
+            raise ValueError(tool)
+        if tool in ("model", "misconfiguration"):
+            return text
+        return F.when(line == 7, F.substr(text, F.lit(1), F.lit(20))).otherwise(text)
+
+    def reports(self, tool: str | None = None) -> DataFrame:
+        """Raw reports of one tool about every line, or of each line's own tool."""
+        if tool is not None:
+            name, text = F.lit(tool), self.report_text(tool)
+        else:
+            name, text = self.tool(), F.lit(None)
+            for own in ("semgrep", "bandit", "gitleaks"):
+                text = F.when(name == own, self.report_text(own)).otherwise(text)
+        return self.report_lines().select(
+            F.col("l_orderkey").alias("scan_id"),
+            name.alias("tool"),
+            F.concat(F.lit("reports/"), self.line_id()).alias("path"),
+            text.alias("text"),
+        )
