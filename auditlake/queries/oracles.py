@@ -300,5 +300,95 @@ INGEST = {
 }
 
 
+
+CORPUS_FINDINGS = rf"""corpus_findings AS (
+  SELECT {_LINE_ID} AS id, l_orderkey AS scan_id,
+         CASE WHEN l_linenumber <> 7 THEN 'src' || (l_partkey % 20) || '/' || l_partkey END AS file_path,
+         CASE WHEN l_linenumber = 6 THEN 0 ELSE CAST(l_quantity AS INTEGER) END AS line_number,
+         CASE WHEN l_returnflag = 'A' THEN 'requires login' ELSE 'x' END AS code_snippet,
+         CASE l_suppkey % 3 WHEN 0 THEN 'semgrep' WHEN 1 THEN 'bandit' ELSE 'gitleaks' END || ': ' || {RAW_LEVEL} AS description
+  FROM lineitem)"""
+FILES = r"""files AS (
+  SELECT source AS repo, source || '/' || doc_id AS path, text AS content, lang AS language,
+         length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN 0 ELSE 1 END AS n_lines
+  FROM documents)"""
+_CHECKED = """checked AS (SELECT c.id, c.file_path, c.line_number,
+       CASE WHEN c.file_path IS NOT NULL AND f.path IS NULL THEN 'file not found'
+            WHEN c.line_number <> 0 AND c.line_number > f.n_lines THEN 'line out of bounds' END AS reject_reason
+  FROM corpus_findings c LEFT JOIN files f ON f.path = c.file_path)"""
+DEPENDENCY = r"""dependency AS (
+  SELECT DISTINCT l_orderkey AS scan_id, p_brand AS package,
+         CASE WHEN p_size < 50 THEN CAST(p_size AS VARCHAR) END AS version
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+MATCHED = r"""matched AS (
+  SELECT scan_id, package, version, 'ADV-' || p_partkey AS advisory_id, p_name AS summary
+  FROM dependency JOIN part ON package = p_brand AND (version IS NULL OR version = CAST(p_size AS VARCHAR)))"""
+_TOOLS = "CASE l_suppkey % 3 WHEN 0 THEN 'semgrep' WHEN 1 THEN 'bandit' ELSE 'gitleaks' END"
+
+VALIDATION = {
+    "source_checks": _with(CORPUS_FINDINGS, FILES, _CHECKED) + "SELECT * FROM checked",
+    "source_check_counts": _with(CORPUS_FINDINGS, FILES, _CHECKED)
+    + "SELECT reject_reason, count(*) AS n FROM checked GROUP BY reject_reason",
+    "filled_snippets": _with(CORPUS_FINDINGS, FILES)
+    + r"""SELECT id, file_path, line_number, CASE WHEN code_snippet = 'requires login' AND f.path IS NOT NULL
+       THEN array_to_string(string_split(content, chr(10))[greatest(line_number - 3, 1):line_number + 3], chr(10)) ||
+            CASE WHEN line_number + 3 < len(string_split(content, chr(10)))
+                  AND len(string_split(content, chr(10))[greatest(line_number - 3, 1):line_number + 3]) > 0 THEN chr(10) ELSE '' END
+       ELSE code_snippet END AS code_snippet
+FROM corpus_findings LEFT JOIN files f ON f.path = file_path""",
+    "confirmed_documents": """SELECT doc_id, source, lang FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""",
+    "advisory_matches": _with(DEPENDENCY, MATCHED)
+    + "SELECT scan_id, package, version, advisory_id, summary FROM matched",
+    "advisory_findings": _with(DEPENDENCY, MATCHED)
+    + "SELECT DISTINCT scan_id, summary AS description, 'UNKNOWN' AS severity, advisory_id AS cve_id FROM matched",
+    "linked_cves": _with(
+        FINDINGS,
+        """one AS (SELECT p_brand || '/' || p_size AS package, min('ADV-' || p_partkey) AS only_one FROM part
+  GROUP BY 1 HAVING count(*) = 1)""",
+    )
+    + "SELECT id, package, coalesce(cve_id, only_one) AS cve_id FROM findings LEFT JOIN one USING (package)",
+    "unreported_findings": _with(
+        FINDINGS,
+        """f AS (SELECT scan_id, CASE WHEN line_number <> 7 THEN file_path END AS file_path, line_number,
+       tool AS description, severity, severity IN ('CRITICAL', 'HIGH') AS known FROM findings)""",
+    )
+    + """SELECT scan_id, file_path, line_number, description, severity FROM f WHERE NOT known AND NOT EXISTS (
+  SELECT 1 FROM f k WHERE k.known AND k.scan_id = f.scan_id AND k.file_path IS NOT DISTINCT FROM f.file_path
+    AND k.line_number = f.line_number AND k.description = f.description)""",
+    "deep_scan_findings": _with(FINDINGS, DEPENDENCY, MATCHED)
+    + """SELECT 'rules' AS tool, severity, count(*) AS n FROM findings GROUP BY 1, 2 UNION ALL
+SELECT 'advisory', 'UNKNOWN', count(*) FROM (SELECT DISTINCT scan_id, summary, advisory_id FROM matched)""",
+    "ingested_findings": f"""SELECT md5(concat_ws('|', l_orderkey, {_TOOLS}, 'reports/' || {_LINE_ID}, 0)) AS id, l_orderkey AS scan_id,
+       {_LINE_PATH} AS file_path, l_linenumber AS line_number, p_type AS code_snippet,
+       CASE l_suppkey % 3 WHEN 0 THEN 'semgrep: ' || p_name || ' (https://semgrep.dev/r/' || p_brand || ')'
+            WHEN 1 THEN 'bandit: ' || p_name || ' (https://bandit.readthedocs.io/en/latest/plugins/' || p_brand || '.html)'
+            ELSE 'Gitleaks: ' || p_name END AS description,
+       CASE WHEN l_suppkey % 3 = 2 AND l_linestatus = 'F' THEN 'HIGH' ELSE {_SEVERITY} END AS severity, 'new' AS status
+FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber < 7""",
+    "appended_findings": f"""SELECT {_SEVERITY} AS severity, 'new' AS status, count(*) AS n, count(*) AS ids FROM lineitem GROUP BY 1""",
+    "exported_findings": _with(REPOSITORY, SCAN, FINDINGS, _ANY)
+    + """SELECT url, f.id, f.scan_id, file_path, line_number, code_snippet, description, severity, confidence_score,
+       f.status, cve_id FROM findings f JOIN latest USING (scan_id) JOIN repository r ON r.id = repository_id""",
+    "nested_findings_report": _with(
+        REPOSITORY,
+        SCAN,
+        FINDINGS,
+        """e AS (SELECT f.id, string_agg(role || turn || '=' || text, chr(10) ORDER BY role || turn) AS evidence
+  FROM findings f JOIN conversations ON conv_id = scan_id AND line_number = 1 GROUP BY f.id)""",
+    )
+    + """SELECT r.id AS repository_id, r.name, count(*) OVER (PARTITION BY r.id) AS finding_count, CAST(0 AS BIGINT) AS page,
+       f.id, description, confidence_score, coalesce(evidence, '') AS evidence
+FROM findings f JOIN scan s ON s.id = scan_id JOIN repository r ON r.id = repository_id LEFT JOIN e ON e.id = f.id""",
+    "transcripts": """SELECT conv_id AS thread_id, CAST(0 AS BIGINT) AS segment,
+       string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id""",
+    "model_inputs": _with(CORPUS_FINDINGS, FILES)
+    + """SELECT path, CAST(0 AS BIGINT) AS segment, content,
+       coalesce(string_agg('- **Line ' || line_number || ':** ' || description, chr(10)
+         ORDER BY line_number, description, id), '') AS existing_findings, false AS is_test
+FROM files LEFT JOIN corpus_findings ON file_path = path GROUP BY path, content""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**DASHBOARD, **LISTING, **INGEST}
+    return {**DASHBOARD, **LISTING, **INGEST, **VALIDATION}

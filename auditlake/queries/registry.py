@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.queries import dashboard, ingest, listing
+from auditlake.queries import dashboard, ingest, listing, validation
 
-_MODULES = [dashboard, listing, ingest]
+_MODULES = [dashboard, listing, ingest, validation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -203,7 +203,7 @@ class Host:
         part = self.table("part").select(
             F.col("p_partkey").alias("l_partkey"),
             F.col("p_brand").alias("package"),
-            F.when(F.col("p_type") != "SMALL", F.col("p_size").cast("string")).alias("version"),
+            F.when(F.col("p_size") < 50, F.col("p_size").cast("string")).alias("version"),
         )
         return (
             self.table("lineitem")
@@ -370,3 +370,41 @@ class Host:
             F.concat(F.lit("reports/"), self.line_id()).alias("path"),
             text.alias("text"),
         )
+
+    def corpus_findings(self) -> DataFrame:
+        """Findings about documents: some files are missing, some lines lie behind the end."""
+        number = F.col("l_linenumber")
+        return self.table("lineitem").select(
+            self.line_id().alias("id"),
+            F.col("l_orderkey").alias("scan_id"),
+            F.when(number != 7, F.concat(F.lit("src"), F.col("l_partkey") % 20, F.lit("/"), F.col("l_partkey"))).alias(
+                "file_path"
+            ),
+            F.when(number == 6, 0).otherwise(F.col("l_quantity").cast("int")).alias("line_number"),
+            F.when(F.col("l_returnflag") == "A", "requires login").otherwise("x").alias("code_snippet"),
+            F.concat(self.tool(), F.lit(": "), self.raw_level()).alias("description"),
+        )
+
+    def verdicts(self) -> DataFrame:
+        return self.table("labels").select("doc_id", (F.col("quality") == 0).alias("false_positive"))
+
+    def scanner_results(self) -> DataFrame:
+        """Project-wide results per (repository, scanner); some scanners report nothing."""
+        empty = F.col("l_linenumber") == 7
+        return self.table("lineitem").select(
+            (F.col("l_suppkey") % 20).alias("repo"),
+            F.when(~empty, F.col("l_tax") * 100).alias("code_coverage"),
+            F.when(~empty, F.col("l_quantity")).alias("coupling"),
+            F.col("l_discount").alias("cohesion"),
+            F.when(~empty, F.lit(1)).alias("tests_passing"),
+            F.col("l_linenumber").alias("duplicated_lines"),
+            F.col("l_quantity").cast("int").alias("linter_issues"),
+        )
+
+    def evidence(self) -> DataFrame:
+        """Evidence about the first line of an order: one piece per turn of its conversation."""
+        findings = self.table("lineitem").filter(F.col("l_linenumber") == 1)
+        turns = self.table("conversations").withColumnRenamed("conv_id", "l_orderkey")
+        return findings.join(turns, "l_orderkey").select(
+            self.line_id().alias("finding_id"), F.concat("role", "turn").alias("type"), F.col("text").alias("content")
+        )
