@@ -390,5 +390,114 @@ FROM files LEFT JOIN corpus_findings ON file_path = path GROUP BY path, content"
 }
 
 
+LINES = r"""lines AS (
+  SELECT path, language, line_number, pieces[line_number] AS line
+  FROM (SELECT path, language, pieces, unnest(range(1, n_lines + 1)) AS line_number
+        FROM (SELECT *, string_split(content, chr(10)) AS pieces FROM files)))"""
+_RULES = r"""rules(rule_id, pattern, severity, description, lang) AS (VALUES
+  ('hardcoded-token', 'token\s*=\s*"[0-9a-f]{40}"', 'ERROR', 'rules: Hard-coded token', NULL),
+  ('private-address', '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}', 'INFO', 'rules: Literal IP address', NULL),
+  ('copyleft', 'GNU General Public License', 'WARNING', 'rules: Copyleft license text', NULL),
+  ('noise', '(\$\$\$|%%%|###)', 'INFO', 'rules: Placeholder characters', 'en'))"""
+_SECRETS = [
+    ("token", r'token\s*=\s*"([0-9a-f]{40})"', "HIGH", "Access token"),
+    ("card-number", r"([0-9]{16})", "HIGH", "Payment card number"),
+    ("email", r"([A-Za-z0-9.]+@[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)+)", "MEDIUM", "E-mail address"),
+    ("private-key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", "CRITICAL", "Private key"),
+]
+_SECRET_UNION = " UNION ALL ".join(
+    f"SELECT path, line_number, '{rule}' AS rule_id, '{severity}' AS severity, 'Gitleaks: {message}' AS description,"
+    f" unnest(regexp_extract_all(line, '{pattern}', 1)) AS secret FROM lines"
+    for rule, pattern, severity, message in _SECRETS
+)
+METRICS = r"""words AS (
+  SELECT path, regexp_extract_all(content, '[A-Za-z0-9_]+') AS words,
+         regexp_extract_all(content, '[-+*/%=<>!&|^~?:.,;(){}\[\]]') AS signs,
+         len(regexp_extract_all(content, '&&|\|\|')) AS branch_signs FROM files),
+line_facts AS (
+  SELECT path, count(*) AS lines, count(*) FILTER (trim(line, E' \t\r\f') = '') AS blank,
+         count(*) FILTER (regexp_matches(line, '^[ \t]*(#|//)')) AS comments FROM lines GROUP BY path),
+metrics AS (
+  SELECT path, CAST(coalesce(lines, 0) AS INTEGER) AS lines, CAST(coalesce(blank, 0) AS INTEGER) AS blank,
+         CAST(coalesce(comments, 0) AS INTEGER) AS comments,
+         CAST(coalesce(lines - blank - comments, 0) AS INTEGER) AS sloc,
+         CAST(1 + branch_signs + len(list_filter(words, lambda w: w IN ('if', 'elif', 'for', 'while', 'case', 'catch', 'except', 'and', 'or'))) AS INTEGER)
+           AS cyclomatic_complexity,
+         len(words) + len(signs) AS n, len(list_distinct(words)) + len(list_distinct(signs)) AS vocabulary,
+         CASE WHEN vocabulary > 0 THEN n * log2(vocabulary) ELSE 0 END AS volume
+  FROM words LEFT JOIN line_facts USING (path))"""
+_INDEX = (
+    "least(greatest((171 - 5.2 * ln(volume) - 0.23 * cyclomatic_complexity - 16.2 * ln(sloc)"
+    " + 50 * sin(sqrt(2.46 * radians(100.0 * comments / sloc)))) * 100 / 171, 0), 100)"
+)
+_PROJECT = r"""project AS (
+  SELECT l_suppkey % 20 AS repo, sum(CASE WHEN l_linenumber < 7 THEN l_tax * 100 ELSE 0 END) / count(*) AS code_coverage,
+         sum(CASE WHEN l_linenumber < 7 THEN l_quantity ELSE 0 END) / count(*) AS coupling,
+         sum(l_discount) / count(*) AS cohesion, count(*) FILTER (l_linenumber < 7) AS tests_passing,
+         CAST(sum(l_linenumber) AS BIGINT) AS duplicated_lines, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS linter_issues
+  FROM lineitem GROUP BY 1)"""
+_SHINGLES = r"""tokens AS (
+  SELECT repo, path, unnest(t) AS token, line_number, generate_subscripts(t, 1) AS k
+  FROM (SELECT split_part(path, '/', 1) AS repo, path, line_number,
+               regexp_extract_all(line, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n\f]') AS t FROM lines)),
+texts AS (
+  SELECT repo, path, list(token ORDER BY line_number, k) AS toks, list(line_number ORDER BY line_number, k) AS nums
+  FROM tokens GROUP BY repo, path),
+shingles AS (
+  SELECT repo, path, start, array_to_string(toks[start:start + 69], ' ') AS shingle, nums[start:start + 69] AS nums
+  FROM (SELECT *, unnest(range(1, len(toks) - 68)) AS start FROM texts WHERE len(toks) >= 70)),
+repeated AS (SELECT repo, shingle FROM shingles GROUP BY repo, shingle HAVING count(*) > 1),
+doubled AS (SELECT DISTINCT repo, path, unnest(nums) AS line_number FROM shingles JOIN repeated USING (repo, shingle))"""
+_DIFF = r"""added AS (
+  SELECT CAST(split_part(path, '/', 2) AS BIGINT) AS commit_hash, path || '.py' AS path, line,
+         CAST(5 + line_number - 1 - (line_number - 1) // 3 AS INTEGER) AS line_number
+  FROM lines WHERE line_number % 3 = 1)"""
+
+CORPUS = {
+    "rule_scan": _with(FILES, LINES, _RULES)
+    + """SELECT path, CAST(line_number AS INTEGER) AS line_number, line AS code_snippet, rule_id, severity, description
+FROM lines JOIN rules ON regexp_matches(line, pattern) AND (lang IS NULL OR lang = language)""",
+    "secret_scan": _with(FILES, LINES, f"secrets AS ({_SECRET_UNION})")
+    + """SELECT path, CAST(line_number AS INTEGER) AS line_number, rule_id, severity, description,
+       left(secret, 2) || '********' AS code_snippet, sha256(secret) AS fingerprint FROM secrets""",
+    "line_metrics": _with(FILES, LINES, METRICS) + "SELECT path, lines, blank, comments, sloc FROM metrics",
+    "code_complexity": _with(FILES, LINES, METRICS) + "SELECT path, cyclomatic_complexity FROM metrics",
+    "halstead_volume": _with(FILES, LINES, METRICS) + f"SELECT path, {_half_up('volume', 4)} AS halstead_volume FROM metrics",
+    "maintainability_index": _with(FILES, LINES, METRICS)
+    + f"""SELECT path, CASE WHEN volume > 0 AND sloc > 0 THEN {_half_up(_INDEX, 4)} ELSE 100 END AS maintainability_index
+FROM metrics""",
+    "code_churn": """SELECT user_id % 20 AS repo, user_id AS file, count(DISTINCT event_id) AS code_churn
+FROM events GROUP BY 1, 2""",
+    "code_churn_renamed": """SELECT user_id % 20 AS repo, user_id + 20 AS file, count(DISTINCT event_id) AS code_churn
+FROM events GROUP BY 1, 2""",
+    "bug_risk": _with(
+        FILES,
+        LINES,
+        METRICS,
+        """churn AS (SELECT 'src' || (user_id % 20) || '/' || user_id AS path, count(DISTINCT event_id) AS code_churn
+  FROM events GROUP BY 1)""",
+    )
+    + """SELECT path, cyclomatic_complexity, coalesce(code_churn, 0) AS code_churn,
+       CAST(cyclomatic_complexity * coalesce(code_churn, 0) AS DOUBLE) AS bug_risk_score
+FROM metrics LEFT JOIN churn USING (path)""",
+    "project_metrics": _with(_PROJECT)
+    + f"""SELECT repo, {_half_up("code_coverage", 4)} AS code_coverage, {_half_up("coupling", 4)} AS coupling,
+       {_half_up("cohesion", 4)} AS cohesion, tests_passing, duplicated_lines, linter_issues FROM project""",
+    "assembled_metrics": _with(FILES, LINES, METRICS, _PROJECT)
+    + f"""SELECT path, sloc, CASE WHEN language = 'en' THEN 50.0::DOUBLE ELSE {_half_up("code_coverage", 4)} END AS code_coverage,
+       coalesce({_half_up("coupling", 4)}, 0) AS coupling, coalesce({_half_up("cohesion", 4)}, 0) AS cohesion,
+       tests_passing, duplicated_lines, linter_issues
+FROM metrics JOIN files USING (path) LEFT JOIN project ON files.repo = 'src' || project.repo""",
+    "duplicated_lines_by_file": _with(FILES, LINES, _SHINGLES)
+    + "SELECT repo, path, count(*) AS duplicated_lines FROM doubled GROUP BY repo, path",
+    "duplicated_lines": _with(FILES, LINES, _SHINGLES)
+    + "SELECT repo, count(*) AS duplicated_lines FROM doubled GROUP BY repo",
+    "diff_added_lines": _with(FILES, LINES, _DIFF) + "SELECT commit_hash, path, line_number, line FROM added",
+    "diff_scan": _with(FILES, LINES, _DIFF, _RULES)
+    + """SELECT commit_hash, path, line_number, rule_id, severity FROM added JOIN rules
+ON regexp_matches(line, pattern) AND lang IS NULL""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**DASHBOARD, **LISTING, **INGEST, **VALIDATION}
+    return {**DASHBOARD, **LISTING, **INGEST, **VALIDATION, **CORPUS}

@@ -408,3 +408,17 @@ class Host:
         return findings.join(turns, "l_orderkey").select(
             self.line_id().alias("finding_id"), F.concat("role", "turn").alias("type"), F.col("text").alias("content")
         )
+
+    def diffs(self) -> DataFrame:
+        """One unified diff per document: its lines are added, removed and kept in turn."""
+        from auditlake.functions.lines import split_lines
+
+        lines = split_lines(F.col("text"))
+        body = F.transform(
+            lines, lambda x, i: F.concat(F.when(i % 3 == 0, "+").when(i % 3 == 1, "-").otherwise(" "), x)
+        )
+        path = F.concat_ws("/", "source", F.concat("doc_id", F.lit(".py")))
+        header = F.format_string("diff --git a/%s b/%s\n--- a/%s\n+++ b/%s\n@@ -5,9 +5,9 @@ def f\n", path, path, path, path)
+        return self.table("documents").select(
+            F.col("doc_id").alias("commit_hash"), F.concat(header, F.array_join(body, "\n"), F.lit("\n")).alias("diff")
+        )
