@@ -499,5 +499,87 @@ ON regexp_matches(line, pattern) AND lang IS NULL""",
 }
 
 
+PUSHES = r"""classified AS (
+  SELECT event_id, ts, 'https://github.com/u/r' || user_id || '.git' AS url, 'u/r' || user_id AS full_name,
+         CASE WHEN value < 30 THEN CASE WHEN event_id % 50 = 0 THEN repeat('0', 40) ELSE sha1(CAST(event_id AS VARCHAR)) END END AS commit_hash,
+         CASE WHEN event_type <> 'purchase' THEN 'not a push' WHEN NOT value < 30 THEN 'invalid payload'
+              WHEN event_id % 50 = 0 THEN 'branch deleted' ELSE 'accepted' END AS outcome FROM events),
+pushes AS (SELECT * FROM classified WHERE outcome = 'accepted'),
+newest AS (SELECT url, arg_max(commit_hash, (ts, event_id)) AS commit_hash, arg_max(event_id, (ts, event_id)) AS event_id
+  FROM pushes GROUP BY url)"""
+JOBS = r"""jobs AS (
+  SELECT 'job-' || l_orderkey AS job_id, CASE WHEN max(l_returnflag) = 'R' THEN 'failed' ELSE 'started' END AS job_status
+  FROM lineitem GROUP BY l_orderkey)"""
+_INTAKE = _with(PUSHES) + "SELECT event_id, url, full_name, commit_hash, outcome FROM classified"
+_FIRST_SEEN = (
+    _with(PUSHES)
+    + """SELECT DISTINCT url, full_name AS name FROM pushes
+WHERE url NOT IN (SELECT 'https://github.com/u/r' || s_suppkey || '.git' FROM supplier)"""
+)
+_PROGRESS = (
+    _with(SCAN)
+    + """SELECT user_id AS scan_id, count(*) AS progress,
+       CASE WHEN max(total_progress) > 0 THEN count(*) / max(total_progress) * 100 ELSE 0 END AS percent
+FROM events LEFT JOIN scan ON id = user_id GROUP BY user_id"""
+)
+_KEPT = "NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')"
+
+FEED = {
+    "push_intake": _INTAKE,
+    "push_intake_stream": _INTAKE,
+    "first_seen_repositories": _FIRST_SEEN,
+    "first_seen_repositories_stream": _FIRST_SEEN,
+    "new_commits_by_poll": _with(
+        PUSHES,
+        """polls AS (SELECT url, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOUR AS polled_at,
+       arg_max(commit_hash, (ts, event_id)) AS commit_hash FROM pushes GROUP BY 1, 2)""",
+    )
+    + """SELECT url, strftime(polled_at, '%Y-%m-%d %H:%M:%S') AS polled_at, commit_hash,
+       lag(commit_hash) OVER (PARTITION BY url ORDER BY polls.polled_at) AS previous_hash FROM polls""",
+    "new_commits": _with(REPOSITORY, PUSHES)
+    + """SELECT id, coalesce(commit_hash, last_commit_hash) AS last_commit_hash, needs_scan OR commit_hash IS NOT NULL AS needs_scan
+FROM repository LEFT JOIN newest ON newest.url = 'https://github.com/u/r' || id || '.git'""",
+    "commit_state_stream": _with(PUSHES) + "SELECT url, commit_hash, event_id, true AS needs_scan FROM newest",
+    "commit_scan_requests": _with(REPOSITORY)
+    + """SELECT id AS repository_id, 'commit' AS scan_type, 'queued' AS status, last_commit_hash AS triggering_commit_hash
+FROM repository WHERE needs_scan""",
+    "new_scan_ids": _with(REPOSITORY)
+    + "SELECT count(*) AS requests, count(*) AS ids, true AS above_stored FROM repository WHERE needs_scan",
+    "due_scans": _with(
+        REPOSITORY,
+        SCAN,
+        "deep AS (SELECT repository_id, id AS scan_id, created_at FROM scan WHERE scan_type = 'deep'"
+        " QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY created_at DESC, id DESC) = 1)",
+    )
+    + """SELECT id AS repository_id, url, scan_id AS last_scan_id FROM repository LEFT JOIN deep ON repository_id = id
+WHERE periodic_scan_enabled AND (deep.created_at IS NULL
+  OR epoch(TIMESTAMP '2000-01-01') - epoch(deep.created_at) > periodic_scan_interval)""",
+    "reconciled_scans": _with(SCAN, JOBS)
+    + """SELECT id, job_id, CASE WHEN status = 'running' AND (job_status IS NULL OR job_status = 'failed') THEN 'failed'
+       ELSE status END AS status FROM scan LEFT JOIN jobs USING (job_id)""",
+    "scan_overview": _with(SCAN, JOBS)
+    + """SELECT id, status, jobs.job_id, CASE WHEN total_progress > 0 THEN progress / total_progress * 100 ELSE 0 END AS percent,
+       coalesce(branch, 'N/A') AS branch, coalesce(left(triggering_commit_hash, 7), 'N/A') AS commit,
+       strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM scan LEFT JOIN jobs ON jobs.job_id = scan.job_id""",
+    "scan_progress": _PROGRESS,
+    "scan_progress_stream": _PROGRESS,
+    "ingested_findings_stream": VALIDATION["ingested_findings"],
+    "findings_after_delete": _with(FINDINGS) + f"SELECT id, scan_id FROM findings WHERE scan_id {_KEPT}",
+    "evidence_after_delete": f"""SELECT {_LINE_ID} AS finding_id, role || turn AS type
+FROM lineitem JOIN conversations ON conv_id = l_orderkey WHERE l_linenumber = 1 AND l_orderkey {_KEPT}""",
+    "metrics_after_delete": _with(METRIC) + f"SELECT id, scan_id FROM quality_metric WHERE scan_id {_KEPT}",
+    "messages_after_reset": """SELECT conv_id AS finding_id, turn, role AS sender FROM conversations
+WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')""",
+    "upserted_messages": """SELECT conv_id AS thread_id, turn - 1 AS turn, role AS sender, text AS message
+FROM conversations WHERE role = 'assistant' UNION ALL
+SELECT conv_id, turn, role, text FROM conversations u WHERE role = 'user' AND NOT EXISTS (
+  SELECT 1 FROM conversations a WHERE a.role = 'assistant' AND a.conv_id = u.conv_id AND a.turn = u.turn + 1)""",
+    "rechecked_findings": _with(FINDINGS)
+    + """SELECT f.id, CASE WHEN e.event_id IS NULL THEN f.confidence_score WHEN e.event_type = 'error' THEN 0
+       ELSE CAST(json_extract_string(props, '$.k') || 'e-2' AS DOUBLE) END AS confidence_score
+FROM findings f LEFT JOIN events e ON e.event_id = f.scan_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**DASHBOARD, **LISTING, **INGEST, **VALIDATION, **CORPUS}
+    return {**DASHBOARD, **LISTING, **INGEST, **VALIDATION, **CORPUS, **FEED}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.queries import corpus, dashboard, ingest, listing, validation
+from auditlake.queries import corpus, dashboard, feed, ingest, listing, validation
 
-_MODULES = [dashboard, listing, ingest, validation, corpus]
+_MODULES = [dashboard, listing, ingest, validation, corpus, feed]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

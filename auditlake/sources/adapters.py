@@ -422,3 +422,26 @@ class Host:
         return self.table("documents").select(
             F.col("doc_id").alias("commit_hash"), F.concat(header, F.array_join(body, "\n"), F.lit("\n")).alias("diff")
         )
+
+    @staticmethod
+    def webhook_events(events: DataFrame) -> DataFrame:
+        """events as webhook calls: purchases are pushes, some without a hash, some of deleted branches."""
+        repo = F.concat(F.lit("u/r"), "user_id")
+        url = F.concat(F.lit("https://github.com/"), repo, F.lit(".git"))
+        after = F.when(F.col("value") < 30, F.when(F.col("event_id") % 50 == 0, F.lit("0" * 40)).otherwise(F.sha1(F.col("event_id").cast("string"))))
+        body = F.struct(F.struct(url.alias("clone_url"), repo.alias("full_name")).alias("repository"), after.alias("after"))
+        return events.select(
+            "event_id",
+            F.col("ts").cast("timestamp").alias("ts"),
+            F.when(F.col("event_type") == "purchase", "push").otherwise(F.col("event_type")).alias("event_type"),
+            F.to_json(body).alias("body"),
+        )
+
+    def event_stream(self) -> DataFrame:
+        schema = self.table("events").schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.folder)
+
+    def known_urls(self) -> DataFrame:
+        return self.table("supplier").select(
+            F.concat(F.lit("https://github.com/u/r"), "s_suppkey", F.lit(".git")).alias("url")
+        )
