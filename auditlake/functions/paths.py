@@ -63,18 +63,19 @@ def base_name(path: Column) -> Column:
 
 def file_suffix(path: Column) -> Column:
     """Last suffix with its dot; leading dots of a name start no suffix."""
-    return F.regexp_extract(base_name(path), r"^\.*[^.].*(\.[^.]*)$", 1)
+    name = base_name(path)
+    has_suffix = F.contains(F.ltrim(name, F.lit(".")), F.lit("."))
+    return F.when(has_suffix, F.concat(F.lit("."), F.substring_index(name, ".", -1))).otherwise("")
 
 
 def language_of_path(path: Column) -> Column:
-    """Language by whole file name, then by case-sensitive last suffix, else NULL."""
-    name, suffix = base_name(path), file_suffix(path)
-    language = F.when(path.isNull(), None)
-    for file_name, value in FILE_NAMES.items():
-        language = language.when(name == file_name, value)
-    for value, suffixes in SUFFIXES.items():
-        language = language.when(suffix.isin(suffixes), value)
-    return language
+    """Language by whole file name, then by case-sensitive last suffix, else NULL.
+
+    A constant map keeps name and suffix from being worked out once per language.
+    """
+    pairs = {suffix: language for language, suffixes in SUFFIXES.items() for suffix in suffixes} | FILE_NAMES
+    languages = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    return F.coalesce(F.try_element_at(languages, base_name(path)), F.try_element_at(languages, file_suffix(path)))
 
 
 def relative_path(path: Column, root: Column | str) -> Column:

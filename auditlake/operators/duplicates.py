@@ -8,9 +8,12 @@ one row per token, so windows are narrowed first, without losing any:
    window. Equal windows have equal minima, and neighbouring windows mostly share
    one, so a file has far fewer runs of minima than tokens.
 2. Runs whose minimum occurs once in the repository cannot hold a shared window.
-   The others are compared exactly, by 128-bit hashes of their whole windows.
+   The others are compared exactly, by 128-bit hashes of their whole windows, and
+   only their files are read and split into tokens again.
 
-Groups are only counted, never listed, so a window that fills a third of a
+Runs and candidate windows are each used twice, so both are written to the shared
+folder once instead of tokenising the corpus again per use. Groups are only
+counted, never listed, so a window that fills a third of a
 corpus is combined map-side; no pairs of files are built.
 """
 
@@ -19,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.lines import split_lines
+from auditlake.functions.lines import NEWLINE
+from auditlake.session import written
 
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n\f]"
 
@@ -43,16 +47,16 @@ def _over_spans(df: DataFrame, source: str, target: str, span: int, combine) ->
     return df
 
 
-def _tokens(files: DataFrame) -> DataFrame:
+def _tokens(files: DataFrame, *kept: str) -> DataFrame:
     """Per file its tokens and their line numbers, as two parallel arrays."""
     per_line = F.transform(
-        split_lines(F.col("content")),
+        F.split("content", NEWLINE, -1),
         lambda line, i: F.transform(
             F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)), lambda t: F.struct(t.alias("token"), (i + 1).alias("line"))
         ),
     )
-    return files.select("repo", "path", F.flatten(per_line).alias("_t")).select(
-        "repo", "path", F.col("_t.token").alias("tokens"), F.col("_t.line").alias("token_lines")
+    return files.select("repo", "path", *kept, F.flatten(per_line).alias("_t")).select(
+        "repo", "path", *kept, F.col("_t.token").alias("tokens"), F.col("_t.line").alias("token_lines")
     )
 
 
@@ -63,9 +67,7 @@ def _runs(tokens: DataFrame, min_tokens: int) -> DataFrame:
     weigh 2, so they are compared in any case.
     """
     gram = (min_tokens + 1) // 2
-    df = tokens.filter(F.size("tokens") >= min_tokens).select(
-        "repo", "path", F.transform("tokens", lambda t: F.xxhash64(t)).alias("_h")
-    )
+    df = tokens.select("repo", "path", F.transform("tokens", lambda t: F.xxhash64(t)).alias("_h"))
     df = _over_spans(df, "_h", "_gram", gram, lambda a, b: F.xxhash64(a, b))
     df = _over_spans(df, "_gram", "_min", min_tokens - gram + 1, lambda a, b: F.least(a, b))
     repeats = F.size(F.array_distinct("_gram")) < F.size("_gram")
@@ -87,8 +89,7 @@ def _runs(tokens: DataFrame, min_tokens: int) -> DataFrame:
 
 def duplicated_lines_by_file(files: DataFrame, min_tokens: int = 70) -> DataFrame:
     """(repo, path, content) -> files with duplicated lines and how many they have."""
-    tokens = _tokens(files)
-    runs = _runs(tokens, min_tokens)
+    runs = written(_runs(_tokens(files), min_tokens), "runs")
     shared = runs.groupBy("repo", "minimum").agg(F.sum("weight").alias("w")).filter(F.col("w") > 1)
     ranges = (
         runs.join(shared.select("repo", "minimum"), ["repo", "minimum"], "left_semi")
@@ -97,7 +98,7 @@ def duplicated_lines_by_file(files: DataFrame, min_tokens: int = 70) -> DataFram
     )
     window = F.slice("tokens", F.col("start") + 1, F.lit(min_tokens))
     windows = (
-        tokens.join(ranges, ["repo", "path"])
+        _tokens(files.join(ranges, ["repo", "path"]), "_starts")
         .select("repo", "path", "tokens", "token_lines", F.explode(F.flatten("_starts")).alias("start"))
         .select(
             "repo",
@@ -107,6 +108,7 @@ def duplicated_lines_by_file(files: DataFrame, min_tokens: int = 70) -> DataFram
             F.array_distinct(F.slice("token_lines", F.col("start") + 1, F.lit(min_tokens))).alias("lines"),
         )
     )
+    windows = written(windows, "windows")
     repeated = windows.groupBy("repo", "h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     lines = F.array_distinct(F.flatten(F.collect_set("lines")))
     return (

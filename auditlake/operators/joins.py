@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.lines import around_line, line_count
+from auditlake.functions.lines import NEWLINE, around_line, line_count
 
 # Fixed value: the snippet a rule scanner reports when it withholds the code.
 WITHHELD = "requires login"
@@ -46,17 +46,20 @@ def check_source(findings: DataFrame, files: DataFrame) -> DataFrame:
 def fill_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Replace withheld snippets by the seven lines around the finding.
 
-    File content meets each distinct (path, line) once, so a file with very many
-    findings is not repeated per finding; other findings take no part in a join.
+    Each file that is needed meets its distinct line numbers once and is split
+    once, so neither many findings in a file nor in a line repeat its content;
+    findings with a snippet of their own take no part in a join.
     """
     snippet = F.col("code_snippet")
     withheld = F.coalesce(snippet == WITHHELD, F.lit(False)) & F.col("line_number").isNotNull()
     wanted = findings.filter(withheld)
+    numbers = wanted.groupBy("file_path").agg(F.collect_set("line_number").alias("_numbers"))
+    pieces = files.select(F.col("path").alias("file_path"), F.split("content", NEWLINE, -1).alias("_pieces"))
+    around = F.transform(
+        "_numbers", lambda n: F.struct(n.alias("line_number"), around_line(F.col("_pieces"), n).alias("_text"))
+    )
     texts = (
-        wanted.select("file_path", "line_number")
-        .distinct()
-        .join(files.select(F.col("path").alias("file_path"), "content"), "file_path")
-        .select("file_path", "line_number", around_line(F.col("content"), F.col("line_number")).alias("_text"))
+        numbers.join(pieces, "file_path").select("file_path", F.explode(around).alias("_a")).select("file_path", "_a.*")
     )
     filled = (
         wanted.join(texts, ["file_path", "line_number"], "left")

@@ -43,25 +43,28 @@ def work_estimate(files: DataFrame, include_tests: bool = False) -> DataFrame:
     return counts.withColumn("total_progress", total)
 
 
-def excluded_paths(files: DataFrame, repositories: DataFrame) -> DataFrame:
-    """Files hit by the global patterns or by their own repository's comma list.
+def _with_exclusion(files: DataFrame, repositories: DataFrame) -> DataFrame:
+    """Files with ``excluded``: hit by a global pattern or by their own repository's comma list.
 
-    The global patterns are constants; a repository's list reaches only its own
-    files, through an equi-join on the repository.
+    The global patterns are constants; a repository's list is folded into one
+    regex and reaches only its own files, through an equi-join on the repository.
     """
     rooted = F.concat(F.lit("/"), F.col("path"))
     own = (
         repositories.select("repo", F.explode(F.split("sast_exclusions", ",")).alias("pattern"))
         .filter(F.trim("pattern") != "")
         .groupBy("repo")
-        .agg(F.array_join(F.collect_set(paths.exclusion_regex(F.col("pattern"))), "|").alias("own"))
+        .agg(F.array_join(F.collect_set(paths.exclusion_regex(F.col("pattern"))), "|").alias("_own"))
     )
-    global_hit = F.lit(False)
+    hit = F.coalesce(F.rlike(rooted, F.col("_own")), F.lit(False))
     for pattern in paths.GLOBAL_EXCLUSIONS:
-        global_hit = global_hit | F.rlike(rooted, paths.exclusion_regex(F.lit(pattern)))
-    own_hit = F.coalesce(F.rlike(rooted, F.col("own")), F.lit(False))
-    return files.join(own, "repo", "left").filter(global_hit | own_hit).select("repo", "path")
+        hit = hit | F.rlike(rooted, paths.exclusion_regex(F.lit(pattern)))
+    return files.join(own, "repo", "left").withColumn("excluded", hit).drop("_own")
+
+
+def excluded_paths(files: DataFrame, repositories: DataFrame) -> DataFrame:
+    return _with_exclusion(files, repositories).filter("excluded").drop("excluded")
 
 
 def without_exclusions(files: DataFrame, repositories: DataFrame) -> DataFrame:
-    return files.join(excluded_paths(files, repositories), ["repo", "path"], "left_anti")
+    return _with_exclusion(files, repositories).filter(~F.col("excluded")).drop("excluded")

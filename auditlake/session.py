@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Only settings that hold on any cluster: sizes (executors, memory, shuffle
 # partitions) stay with the submitter. Broadcasts are never hinted in this
@@ -49,3 +49,15 @@ def shared_root(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing written earlier is touched."""
     return f"{shared_root(spark)}/auditlake/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table written to the shared folder and read back.
+
+    For a costly result that several branches of a plan use: it is computed once,
+    each branch reads only its columns, joins know its true size, and a lost
+    executor costs no more than its own tasks.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

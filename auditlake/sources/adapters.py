@@ -19,6 +19,15 @@ class Host:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """A table whose rows are costly to work on; one with fewer splits than cores is spread once.
+
+        A table of many files is left as it is read, without a shuffle.
+        """
+        table = self.table(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
     def repositories(self) -> DataFrame:
         name = F.col("c_name")
         exclusions = F.when(F.col("c_mktsegment") == "BUILDING", "*.rs, p1*").when(
@@ -192,7 +201,7 @@ class Host:
 
     def files(self) -> DataFrame:
         """Source files: documents, their source playing the repository."""
-        return self.table("documents").select(
+        return self.texts("documents").select(
             F.col("source").alias("repo"),
             F.concat_ws("/", "source", "doc_id").alias("path"),
             F.col("text").alias("content"),
@@ -259,7 +268,7 @@ class Host:
     def report_lines(self) -> DataFrame:
         """lineitem with its part, the raw material of the hosted reports."""
         part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type", "p_size")
-        return self.table("lineitem").join(part, "l_partkey")
+        return self.texts("lineitem").join(part, "l_partkey")
 
     @staticmethod
     def report_text(tool: str) -> Column:
@@ -419,7 +428,7 @@ class Host:
         )
         path = F.concat_ws("/", "source", F.concat("doc_id", F.lit(".py")))
         header = F.format_string("diff --git a/%s b/%s\n--- a/%s\n+++ b/%s\n@@ -5,9 +5,9 @@ def f\n", path, path, path, path)
-        return self.table("documents").select(
+        return self.texts("documents").select(
             F.col("doc_id").alias("commit_hash"), F.concat(header, F.array_join(body, "\n"), F.lit("\n")).alias("diff")
         )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from auditlake.functions.binding import let
 from auditlake.functions.text import strip
 
 # Maintainability score of a letter rating.
@@ -21,32 +22,33 @@ def _total(values: Column, kind: str) -> Column:
 
 
 def _first(array: Column) -> Column:
-    return F.try_element_at(array, F.lit(1))
+    return F.get(array, F.lit(0))
 
 
 def javascript(text: Column) -> Column:
     schema = (
         "summary struct<reports:array<struct<complexity:struct<maintainability:string,cyclomatic:string,sloc:string>>>>"
     )
-    facts = _first(F.from_json(text, schema)["summary"]["reports"])["complexity"]
-    return F.struct(
-        _zero(facts["maintainability"], "double").alias("maintainability_index"),
-        _zero(facts["cyclomatic"], "int").alias("cyclomatic_complexity"),
-        _zero(facts["sloc"], "int").alias("sloc"),
+    return let(
+        _first(F.from_json(text, schema)["summary"]["reports"])["complexity"],
+        lambda facts: F.struct(
+            _zero(facts["maintainability"], "double").alias("maintainability_index"),
+            _zero(facts["cyclomatic"], "int").alias("cyclomatic_complexity"),
+            _zero(facts["sloc"], "int").alias("sloc"),
+        ),
     )
 
 
 def ruby(text: Column) -> Column:
     schema = "analysed_modules array<struct<rating:string,lines_of_code:string,methods:array<struct<complexity:string>>>>"
-    module = _first(F.from_json(text, schema)["analysed_modules"])
-    rating = F.upper(module["rating"])
-    score = F.lit(0.0)
-    for letter, value in RATINGS.items():
-        score = F.when(rating == letter, float(value)).otherwise(score)
-    return F.struct(
-        score.alias("maintainability_index"),
-        _total(module["methods"]["complexity"], "double").alias("cyclomatic_complexity"),
-        _zero(module["lines_of_code"], "int").alias("sloc"),
+    scores = F.create_map(*[F.lit(x) for pair in RATINGS.items() for x in pair])
+    return let(
+        _first(F.from_json(text, schema)["analysed_modules"]),
+        lambda module: F.struct(
+            _zero(F.try_element_at(scores, F.upper(module["rating"])), "double").alias("maintainability_index"),
+            _total(module["methods"]["complexity"], "double").alias("cyclomatic_complexity"),
+            _zero(module["lines_of_code"], "int").alias("sloc"),
+        ),
     )
 
 
@@ -56,17 +58,23 @@ def rust(text: Column) -> Column:
         "metrics struct<cyclomatic:struct<sum:string>,mi:struct<mi_original:string>>,"
         "spaces array<struct<metrics:struct<loc:string,lloc:string,comments:string>>>"
     )
-    report = F.from_json(F.substring_index(strip(text), "\n", 1), schema)
-    void = F.coalesce(F.size(report["spaces"]) == 0, F.lit(False))
-    report = F.when(~void, report)
-    whole, space = report["metrics"], _first(report["spaces"])["metrics"]
-    return F.struct(
-        _zero(whole["mi"]["mi_original"], "double").alias("maintainability_index"),
-        _zero(whole["cyclomatic"]["sum"], "double").alias("cyclomatic_complexity"),
-        _zero(space["loc"], "int").alias("sloc"),
-        _zero(space["lloc"], "int").alias("lloc"),
-        _zero(space["comments"], "int").alias("comments"),
-    )
+
+    def of(report: Column) -> Column:
+        counts = ~F.coalesce(F.size(report["spaces"]) == 0, F.lit(False))
+
+        def kept(value: Column, kind: str) -> Column:
+            return _zero(F.when(counts, value), kind)
+
+        space = _first(report["spaces"])["metrics"]
+        return F.struct(
+            kept(report["metrics"]["mi"]["mi_original"], "double").alias("maintainability_index"),
+            kept(report["metrics"]["cyclomatic"]["sum"], "double").alias("cyclomatic_complexity"),
+            kept(space["loc"], "int").alias("sloc"),
+            kept(space["lloc"], "int").alias("lloc"),
+            kept(space["comments"], "int").alias("comments"),
+        )
+
+    return let(F.from_json(F.substring_index(strip(text), "\n", 1), schema), of)
 
 
 def go_complexity(text: Column) -> Column:
@@ -87,10 +95,12 @@ def lint_issues(text: Column) -> Column:
 
 
 def cohesion(text: Column) -> Column:
-    modules = F.map_values(F.from_json(text, "map<string,struct<lcom4:string,ic:string>>"))
-    n = F.size(modules)
+    def of(modules: Column) -> Column:
+        n = F.size(modules)
+
+        def mean(values: Column) -> Column:
+            return F.when(n > 0, _total(values, "double") / n).otherwise(0.0)
 
-    def mean(values: Column) -> Column:
-        return F.when(n > 0, _total(values, "double") / n).otherwise(0.0)
+        return F.struct(mean(modules["ic"]).alias("coupling"), mean(modules["lcom4"]).alias("cohesion"))
 
-    return F.struct(mean(modules["ic"]).alias("coupling"), mean(modules["lcom4"]).alias("cohesion"))
+    return let(F.map_values(F.from_json(text, "map<string,struct<lcom4:string,ic:string>>")), of)

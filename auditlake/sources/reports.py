@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.functions.binding import let
 from auditlake.functions.text import fenced_json, strip
 from auditlake.schemas import FINDING_IN
 
@@ -35,9 +36,13 @@ def _finding(
 
 def _entries(document: Column, field: str, record: str) -> Column:
     """The document's record array: empty when absent, NULL when undecodable."""
-    parsed = F.from_json(document, f"{field} array<{record}>, {_BAD}")
-    undecodable = parsed.isNull() | (parsed[field].isNull() & parsed["_corrupt_record"].isNotNull())
-    return F.when(~undecodable, F.coalesce(parsed[field], F.array().cast(f"array<{record}>")))
+
+    def of(parsed: Column) -> Column:
+        found = F.coalesce(parsed[field], F.array().cast(f"array<{record}>"))
+        undecodable = parsed.isNull() | (parsed[field].isNull() & parsed["_corrupt_record"].isNotNull())
+        return F.when(~undecodable, found)
+
+    return let(F.from_json(document, f"{field} array<{record}>, {_BAD}"), of)
 
 
 def _says(tool: str, message: Column, link: Column | None = None) -> Column:
@@ -121,16 +126,18 @@ def gosec(text: Column) -> Column:
 def cppcheck(text: Column) -> Column:
     """XML: every error with its first location; errors sit in <errors> or, in old reports, at the root."""
     errors = "array<struct<_severity:string,_msg:string,location:array<struct<_file:string,_line:string>>>>"
-    parsed = F.from_xml(text, F.lit(f"errors struct<error:{errors}>, error {errors}, {_BAD}"))
     empty = F.array().cast(errors)
-    found = F.concat(F.coalesce(parsed["errors"]["error"], empty), F.coalesce(parsed["error"], empty))
-    decoded = parsed.isNotNull() & parsed["_corrupt_record"].isNull()
 
     def finding(r: Column) -> Column:
-        at = F.try_element_at(r["location"], F.lit(1))
+        at = F.get(r["location"], F.lit(0))
         return _finding(at["_file"], at["_line"], F.lit(""), _says("cppcheck", r["_msg"]), F.upper(r["_severity"]))
 
-    return F.when(decoded, F.transform(found, finding))
+    def of(parsed: Column) -> Column:
+        found = F.concat(F.coalesce(parsed["errors"]["error"], empty), F.coalesce(parsed["error"], empty))
+        decoded = parsed.isNotNull() & parsed["_corrupt_record"].isNull()
+        return F.when(decoded, F.transform(found, finding))
+
+    return let(F.from_xml(text, F.lit(f"errors struct<error:{errors}>, error {errors}, {_BAD}")), of)
 
 
 def gitleaks(text: Column) -> Column:
