@@ -52,8 +52,7 @@ def report_files(spark: SparkSession, root: str) -> DataFrame:
     """Raw reports laid out as ``<root>/scan_id=<id>/tool=<tool>/<file>``, one row per file."""
     return (
         spark.read.schema("text string, scan_id bigint, tool string")
-        .option("wholetext", "true")
-        .text(root)
+        .text(root, wholetext=True)
         .withColumn("path", F.col("_metadata.file_path"))
         .select("scan_id", "tool", "path", F.col("text"))
     )

@@ -109,8 +109,7 @@ def report_file_stream(spark: SparkSession, root: str) -> DataFrame:
     """Stream over report files laid out as ``scan_id=<id>/tool=<tool>/<file>``."""
     return (
         spark.readStream.schema("text string, scan_id bigint, tool string")
-        .option("wholetext", "true")
-        .text(root)
+        .text(root, wholetext=True)
         .select("scan_id", "tool", F.col("_metadata.file_path").alias("path"), "text")
     )
 
