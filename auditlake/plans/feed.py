@@ -5,8 +5,6 @@ All functions take and give DataFrames; the push ones work on streams as well.
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,9 +126,9 @@ def with_scan_ids(requests: DataFrame, scans: DataFrame) -> DataFrame:
     return requests.withColumn("id", base + 1 + F.monotonically_increasing_id())
 
 
-def due_scans(repositories: DataFrame, scans: DataFrame, now: dt.datetime) -> DataFrame:
+def due_scans(repositories: DataFrame, scans: DataFrame, now: Column) -> DataFrame:
     """Repositories with periodic scans on whose last deep scan is missing or too old."""
-    age = F.unix_timestamp(F.lit(now)) - F.unix_timestamp("created_at")
+    age = F.unix_timestamp(now) - F.unix_timestamp("created_at")
     return (
         repositories.filter("periodic_scan_enabled")
         .withColumnRenamed("id", "repository_id")

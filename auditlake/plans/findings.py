@@ -72,8 +72,12 @@ def sort_findings(findings: DataFrame, by: str = "severity", order: str = "desc"
 
 
 def sort_metrics(metrics: DataFrame, by: str = "file_path", order: str = "asc") -> DataFrame:
-    """Any stored column may be named; an unknown one falls back to the file path."""
-    return metrics.orderBy(_directed(F.col(by if by in metrics.columns else "file_path"), order))
+    """Any stored column may be named; an unknown one falls back to the file path.
+
+    The tie-breaks also let a range-partitioned sort cut between equal values.
+    """
+    ties = [c for c in ("file_path", "id") if c in metrics.columns and c != by]
+    return metrics.orderBy(_directed(F.col(by if by in metrics.columns else "file_path"), order), *ties)
 
 
 def _directed(key: Column, order: str) -> Column:

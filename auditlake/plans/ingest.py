@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auditlake.functions.paths import relative_path
 from auditlake.functions.severity import map_severity
 from auditlake.operators import joins
-from auditlake.schemas import FINDINGS
+from auditlake.sinks.store import conform
 from auditlake.sources.reports import parse_reports, reported_findings
 
 
@@ -18,15 +18,10 @@ def finding_id() -> Column:
 
 
 def to_store(findings: DataFrame) -> DataFrame:
-    """Findings with every store column, in order; missing ones are NULL, status starts as 'new'."""
-    columns = []
-    for field in FINDINGS.fields:
-        if field.name in findings.columns:
-            value = F.col(field.name)
-        else:
-            value = F.lit("new" if field.name == "status" else None)
-        columns.append(value.cast(field.dataType).alias(field.name))
-    return findings.select(columns)
+    """Findings with every store column, in order; status starts as 'new'."""
+    if "status" not in findings.columns:
+        findings = findings.withColumn("status", F.lit("new"))
+    return conform(findings, "findings")
 
 
 def normalise(parsed: DataFrame, root: str = "") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from auditlake.session import shared_path
 from auditlake.sources.adapters import Host
 from auditlake.streaming import feed as S
 
-_NOW = dt.datetime(2000, 1, 1, tzinfo=dt.timezone.utc)
+_NOW = "2000-01-01 00:00:00"
 _STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -48,7 +46,8 @@ def first_seen_repositories_stream(spark: SparkSession, folder: str) -> DataFram
 
 
 def new_commits_by_poll(spark: SparkSession, folder: str) -> DataFrame:
-    seen = P.new_commits_by_poll(_pushes(Host(spark, folder)), "6 hours")
+    pushes = _pushes(Host(spark, folder)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    seen = P.new_commits_by_poll(pushes, "6 hours")
     return seen.withColumn("polled_at", F.date_format("polled_at", _STAMP))
 
 
@@ -86,7 +85,7 @@ def new_scan_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def due_scans(spark: SparkSession, folder: str) -> DataFrame:
     host = Host(spark, folder)
-    return P.due_scans(host.repositories(), host.scans(), _NOW)
+    return P.due_scans(host.repositories(), host.scans(), F.lit(_NOW).cast("timestamp"))
 
 
 def reconciled_scans(spark: SparkSession, folder: str) -> DataFrame:

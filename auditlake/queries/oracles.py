@@ -367,6 +367,11 @@ SELECT 'advisory', 'UNKNOWN', count(*) FROM (SELECT DISTINCT scan_id, summary, a
        CASE WHEN l_suppkey % 3 = 2 AND l_linestatus = 'F' THEN 'HIGH' ELSE {_SEVERITY} END AS severity, 'new' AS status
 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber < 7""",
     "appended_findings": f"""SELECT {_SEVERITY} AS severity, 'new' AS status, count(*) AS n, count(*) AS ids FROM lineitem GROUP BY 1""",
+    "stored_tables": """SELECT name, count(*) AS n, count(*) AS ids FROM (
+  SELECT 'repository' AS name FROM customer UNION ALL SELECT 'scan' FROM orders UNION ALL SELECT 'findings' FROM lineitem
+  UNION ALL SELECT 'evidence' FROM lineitem JOIN conversations ON conv_id = l_orderkey WHERE l_linenumber = 1
+  UNION ALL SELECT 'quality_metric' FROM lineitem WHERE l_linestatus = 'O'
+  UNION ALL SELECT 'chat_message' FROM conversations) GROUP BY name""",
     "exported_findings": _with(REPOSITORY, SCAN, FINDINGS, _ANY)
     + """SELECT url, f.id, f.scan_id, file_path, line_number, code_snippet, description, severity, confidence_score,
        f.status, cve_id FROM findings f JOIN latest USING (scan_id) JOIN repository r ON r.id = repository_id""",
@@ -440,14 +445,17 @@ _SHINGLES = r"""tokens AS (
   SELECT repo, path, unnest(t) AS token, line_number, generate_subscripts(t, 1) AS k
   FROM (SELECT split_part(path, '/', 1) AS repo, path, line_number,
                regexp_extract_all(line, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n\f]') AS t FROM lines)),
-texts AS (
-  SELECT repo, path, list(token ORDER BY line_number, k) AS toks, list(line_number ORDER BY line_number, k) AS nums
-  FROM tokens GROUP BY repo, path),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_number, k) AS rn, count(*) OVER (PARTITION BY path) AS n
+  FROM tokens),
 shingles AS (
-  SELECT repo, path, start, array_to_string(toks[start:start + 69], ' ') AS shingle, nums[start:start + 69] AS nums
-  FROM (SELECT *, unnest(range(1, len(toks) - 68)) AS start FROM texts WHERE len(toks) >= 70)),
-repeated AS (SELECT repo, shingle FROM shingles GROUP BY repo, shingle HAVING count(*) > 1),
-doubled AS (SELECT DISTINCT repo, path, unnest(nums) AS line_number FROM shingles JOIN repeated USING (repo, shingle))"""
+  SELECT *, CASE WHEN rn <= n - 69 THEN string_agg(token, ' ') OVER
+           (PARTITION BY path ORDER BY rn ROWS BETWEEN CURRENT ROW AND 69 FOLLOWING) END AS shingle FROM placed),
+counted AS (SELECT *, shingle IS NOT NULL AND count(*) OVER (PARTITION BY repo, shingle) > 1 AS starts FROM shingles),
+covered AS (
+  SELECT *, bool_or(starts) OVER (PARTITION BY path ORDER BY rn ROWS BETWEEN 69 PRECEDING AND CURRENT ROW) AS inside
+  FROM counted),
+doubled AS (SELECT DISTINCT repo, path, line_number FROM covered WHERE inside)"""
 _DIFF = r"""added AS (
   SELECT CAST(split_part(path, '/', 2) AS BIGINT) AS commit_hash, path || '.py' AS path, line,
          CAST(5 + line_number - 1 - (line_number - 1) // 3 AS INTEGER) AS line_number

@@ -91,6 +91,32 @@ def appended_findings(spark: SparkSession, folder: str) -> DataFrame:
     return stored.groupBy("severity", "status").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
 
 
+def stored_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables written in the store's schemas and scanned back: rows and distinct ids of each."""
+    host = Host(spark, folder)
+    messages = host.messages().select(
+        F.concat_ws("-", "thread_id", "turn").alias("id"), F.col("thread_id").alias("finding_id"), "sender", "message"
+    )
+    evidence = host.evidence().withColumn("id", F.concat_ws("-", "finding_id", "type"))
+    tables = {
+        "repository": host.repositories(),
+        "scan": host.scans(),
+        "findings": host.findings(),
+        "evidence": evidence,
+        "quality_metric": host.metrics(),
+        "chat_message": messages,
+    }
+    root, counts = S.new_store(spark), []
+    for name, rows in tables.items():
+        S.append_batch(S.conform(rows, name), root, name, "first")
+        scanned = S.read_appended(spark, root, name)
+        counts.append(scanned.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).withColumn("name", F.lit(name)))
+    union = counts[0]
+    for part in counts[1:]:
+        union = union.unionByName(part)
+    return union
+
+
 def exported_findings(spark: SparkSession, folder: str) -> DataFrame:
     host = Host(spark, folder)
     return S.export_rows(host.findings(), host.scans(), host.repositories()).select("url", *EXPORT_COLUMNS)
@@ -136,6 +162,7 @@ QUERIES = [
     deep_scan_findings,
     ingested_findings,
     appended_findings,
+    stored_tables,
     exported_findings,
     nested_findings_report,
     transcripts,

@@ -15,6 +15,16 @@ def new_store(spark: SparkSession) -> str:
     return shared_path(spark, "store")
 
 
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """Exactly the table's columns and types, in order; columns that are missing are NULL."""
+    return df.select(
+        [
+            (F.col(field.name) if field.name in df.columns else F.lit(None)).cast(field.dataType).alias(field.name)
+            for field in STORE[name].fields
+        ]
+    )
+
+
 def append_batch(df: DataFrame, root: str, name: str, batch_id: str) -> str:
     """Write one batch to its own folder of a table.
 

@@ -17,7 +17,7 @@ QUERIES = queries()
 LAZY = [
     name
     for name in sorted(QUERIES)
-    if not name.endswith("_stream") and name not in {"appended_findings", "file_inventory"}
+    if not name.endswith("_stream") and name not in {"appended_findings", "stored_tables", "file_inventory"}
 ]
 
 
