@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ COMMENT_OPENERS = {
 }
 ANY_COMMENT_OPENER = "#|//"
 
-OPERATOR = r"[-+*/%=<>!&|^~?:.,;(){}\[\]]"
+OPERATORS = "-+*/%=<>!&|^~?:.,;(){}[]"
 OPERAND = r"[A-Za-z0-9_]+"
 
 
@@ -67,12 +69,18 @@ def cyclomatic_complexity(content: Column, language: Column) -> Column:
 
 
 def halstead_volume(content: Column) -> Column:
-    """Token count times the bits a token of the file's vocabulary takes."""
-    operators = F.regexp_extract_all(content, F.lit(OPERATOR), F.lit(0))
+    """Token count times the bits a token of the file's vocabulary takes.
+
+    Operators are single characters, so they are counted by length and presence;
+    only operands are extracted.
+    """
     operands = F.regexp_extract_all(content, F.lit(OPERAND), F.lit(0))
-    vocabulary = F.size(F.array_distinct(operators)) + F.size(F.array_distinct(operands))
-    length = F.size(operators) + F.size(operands)
-    return F.when(vocabulary > 0, length * F.log2(vocabulary.cast("double"))).otherwise(0.0)
+    operators = F.length(content) - F.length(F.translate(content, OPERATORS, ""))
+    kinds = [F.contains(content, F.lit(sign)).cast("int") for sign in OPERATORS]
+    vocabulary = reduce(lambda a, b: a + b, kinds) + F.size(F.array_distinct(operands))
+    length = operators + F.size(operands)
+    # No CASE: an empty text has length 0, and unconditional parts are worked out once.
+    return length * F.log2(F.greatest(vocabulary, F.lit(1)).cast("double"))
 
 
 def maintainability_index(volume: Column, complexity: Column, sloc: Column, comments: Column) -> Column:

@@ -48,10 +48,13 @@ def fill_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
 
     Each file that is needed meets its distinct line numbers once and is split
     once, so neither many findings in a file nor in a line repeat its content;
-    findings with a snippet of their own take no part in a join.
+    findings with a snippet of their own take no part in a join. Rejected
+    findings are left alone: the line numbers of the others are within the file.
     """
     snippet = F.col("code_snippet")
     withheld = F.coalesce(snippet == WITHHELD, F.lit(False)) & F.col("line_number").isNotNull()
+    if "reject_reason" in findings.columns:
+        withheld = withheld & F.col("reject_reason").isNull()
     wanted = findings.filter(withheld)
     numbers = wanted.groupBy("file_path").agg(F.collect_set("line_number").alias("_numbers"))
     pieces = files.select(F.col("path").alias("file_path"), F.split("content", NEWLINE, -1).alias("_pieces"))

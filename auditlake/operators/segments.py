@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.session import written
+
 
 def ordered_lists(df: DataFrame, keys: list[str], order: list[str], item: Column, limit: int = 10_000) -> DataFrame:
     """(keys, segment, items): each group's items in order, at most ``limit`` per row.
@@ -13,20 +15,25 @@ def ordered_lists(df: DataFrame, keys: list[str], order: list[str], item: Column
     globally on (keys, order), which range-partitions one group over many tasks,
     and cut into consecutive segments; ``segment`` grows with the order, nothing
     is dropped. ``order`` must identify an item within its group.
+
+    The keys of large groups are few (at most rows / limit). They are written
+    once, so their size is known: below the session's broadcast threshold their
+    rows leave the grouping before its shuffle, above it the joins shuffle.
     """
     rows = df.select(*keys, *order, item.alias("_item"))
     sizes = rows.groupBy(keys).agg(F.count("*").alias("_n"))
+    large = written(sizes.filter(F.col("_n") > limit).select(keys), "large-groups")
     listed = F.sort_array(F.collect_list(F.struct(*order, "_item"))).alias("_items")
 
     short = (
-        rows.join(sizes.filter(F.col("_n") <= limit).select(keys), keys, "left_semi")
+        rows.join(large, keys, "left_anti")
         .groupBy(keys)
         .agg(listed)
         .withColumn("segment", F.lit(0).cast("bigint"))
     )
     position = F.monotonically_increasing_id()
     long = (
-        rows.join(sizes.filter(F.col("_n") > limit).select(keys), keys, "left_semi")
+        rows.join(large, keys, "left_semi")
         .orderBy(*keys, *order)
         .withColumn("segment", F.floor(position / limit).cast("bigint"))
         .groupBy(*keys, "segment")

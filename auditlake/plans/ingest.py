@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlake.functions.paths import relative_path
 from auditlake.functions.severity import map_severity
 from auditlake.operators import joins
+from auditlake.session import written
 from auditlake.sinks.store import conform
 from auditlake.sources.reports import parse_reports, reported_findings
 
@@ -38,12 +39,14 @@ def ingest(
 ) -> DataFrame:
     """Reports to findings with a ``reject_reason``; NULL there means accepted.
 
-    Order of the steps: verdicts, file and line check, withheld snippets.
+    Order of the steps: verdicts, file and line check, withheld snippets. Checked
+    findings are written once, since accepting, rejecting and filling snippets
+    each read them and would parse every report again.
     """
     findings = normalise(parse_reports(reports), root)
     if verdicts is not None:
         findings = joins.suppress(findings, verdicts, ["description", "code_snippet"])
     if files is None:
         return findings.withColumn("reject_reason", F.lit(None).cast("string"))
-    checked = joins.check_source(findings, files)
+    checked = written(joins.check_source(findings, files), "checked-findings")
     return joins.fill_snippets(checked, files)

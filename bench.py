@@ -22,7 +22,6 @@ HEADLINE = [
     "scan_listing",
     "ingested_findings",
     "source_check_counts",
-    "advisory_findings",
     "linked_cves",
     "rule_scan",
     "secret_scan",
