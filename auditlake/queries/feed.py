@@ -63,8 +63,8 @@ def new_commits(spark: SparkSession, folder: str) -> DataFrame:
 
 def commit_state_stream(spark: SparkSession, folder: str) -> DataFrame:
     host, root = Host(spark, folder), shared_path(spark, "commits")
-    query = S.track_commits(_push_stream(host), root)
-    return S.commit_state(spark, root, query).select("url", "commit_hash", "event_id", "needs_scan")
+    S.track_commits(_push_stream(host), root)
+    return S.commit_state(spark, root).select("url", "commit_hash", "event_id", "needs_scan")
 
 
 def commit_scan_requests(spark: SparkSession, folder: str) -> DataFrame:

@@ -46,7 +46,7 @@ def reported_advisories(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    return Host(spark, folder).table("lineitem").withColumn("id", Host.line_id())
+    return Host(spark, folder).texts("lineitem").withColumn("id", Host.line_id())
 
 
 def javascript_quality(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.functions.paths import base_name
 from auditlake.plans import feed, ingest
 from auditlake.sources.reports import parse_reports
 
@@ -87,11 +89,23 @@ def track_commits(pushes: DataFrame, root: str, available_now: bool = True):
     return run_batches(pushes, root, handle, available_now=available_now)
 
 
-def commit_state(spark: SparkSession, root: str, query) -> DataFrame:
-    """State after the query's last finished batch."""
-    last = query.lastProgress
-    version = -1 if last is None else last["batchId"]
-    return spark.read.schema(STATE).parquet(f"{root}/state/version={version}")
+def commit_state(spark: SparkSession, root: str) -> DataFrame:
+    """State after the last batch that the query committed, whoever ran it.
+
+    Older versions are not read; they may be removed once a newer one is committed.
+    """
+    return spark.read.schema(STATE).parquet(f"{root}/state/version={last_batch(spark, root)}")
+
+
+def last_batch(spark: SparkSession, root: str) -> int:
+    """Highest batch in the checkpoint's commit log, -1 before the first one."""
+    log = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*")
+    try:
+        batches = log.load(f"{root}/checkpoint/commits").select(base_name(F.col("path")).cast("bigint").alias("k"))
+    except AnalysisException:
+        return -1
+    highest = batches.agg(F.max("k")).first()[0]
+    return -1 if highest is None else highest
 
 
 def ingest_reports(reports: DataFrame, root: str, available_now: bool = True):

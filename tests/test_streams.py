@@ -60,14 +60,31 @@ def test_intake_sorts_by_outcome(spark, folder, tmp_path):
 def test_commit_state_does_not_depend_on_batches(spark, folder, tmp_path):
     pushes = P.accepted_pushes(P.classify_pushes(stream(spark, folder)))
     root = str(tmp_path / "out")
-    query = S.track_commits(pushes, root)
-    state = S.commit_state(spark, root, query)
+    assert S.last_batch(spark, root) == -1
+    S.track_commits(pushes, root)
+    S.track_commits(pushes, root)
+    assert S.last_batch(spark, root) == len(ROUNDS) - 1
+    state = S.commit_state(spark, root)
     empty = spark.createDataFrame([], S.STATE)
     at_once = P.advance_state(empty, P.accepted_pushes(P.classify_pushes(batch(spark, folder))))
     assert rows(state) == rows(at_once)
     assert {row.url: row.commit_hash for row in state.collect()} == {"u/a": "h1", "u/b": "h3", "u/c": "h7"}
 
 
+def test_restarted_tracking_goes_on_from_its_state(spark, folder, tmp_path):
+    pushes = P.accepted_pushes(P.classify_pushes(stream(spark, folder)))
+    root = str(tmp_path / "out")
+    S.track_commits(pushes, root)
+    late = spark.createDataFrame([event(10, 30, "u/b")], "event_id bigint, ts string, event_type string, body string")
+    late.withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(folder)
+    S.track_commits(pushes, root)
+    assert {row.url: row.commit_hash for row in S.commit_state(spark, root).collect()} == {
+        "u/a": "h1",
+        "u/b": "h10",
+        "u/c": "h7",
+    }
+
+
 def test_replayed_and_unchanged_pushes_request_no_scan(spark):
     state = spark.createDataFrame(
         [("u/a", "h1", None, 1, False), ("u/b", "old", None, 1, False)], S.STATE
