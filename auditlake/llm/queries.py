@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import sharding, simhash
+from auditlake.llm import bpe, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +32,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-QUERIES = [op1_sharding, op2_simhash]
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    """Encode, decode, and digest both."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    both = bpe.decode(bpe.encode(docs, path), path)
+    return both.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op1_sharding, op2_simhash, op4_bpe]
 
 
 def queries():
