@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.llm.workers import map_arrow
+
 # The public pattern of byte-level pieces, with Unicode white space
 # written out, and the printable bytes that stand for themselves in its alphabet.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -314,7 +316,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id") -
                 yield pa.RecordBatch.from_arrays([keys, counts, pa.array(ids, pa.binary())], names=["_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, f"_id {id_type}, n_tokens bigint, ids binary").withColumnRenamed("_id", id)
+    return map_arrow(rows, run, f"_id {id_type}, n_tokens bigint, ids binary").withColumnRenamed("_id", id)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", id: str = "doc_id") -> DataFrame:
@@ -330,4 +332,4 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", id: str = "doc_id")
 
     rows = encoded.select(F.col(id).alias("_id"), "n_tokens", F.col(ids).alias("ids"))
     schema = f"_id {id_type}, n_tokens bigint, ids binary, text string"
-    return rows.mapInArrow(run, schema).withColumnRenamed("_id", id)
+    return map_arrow(rows, run, schema).withColumnRenamed("_id", id)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, sharding, simhash
+from auditlake.llm import bpe, decontaminate, langid, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,16 +44,64 @@ def encoded_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~langid.held_out()))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_sharding, op2_simhash, op4_bpe]
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+QUERIES = [op1_sharding, op2_simhash, op3_language, op4_bpe, op5_decontamination]
 
 
 def queries():
     return {query.__name__: query for query in QUERIES}
 
 
+# Words of decontamination: A-Z lower-cased, then digits, a-z and everything beyond ASCII.
+_WORDS = r"""regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"""
+
+ORACLES = {
+    "op5_decontamination": f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+lengths AS (SELECT DISTINCT least(13, len(ws)) AS l FROM b WHERE len(ws) > 0),
+windows AS (
+  SELECT DISTINCT item_id, l, ws[i : i + l - 1] AS w
+  FROM (SELECT item_id, ws, least(13, len(ws)) AS l, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
+places AS (
+  SELECT doc_id, i, l, ws[i : i + l - 1] AS w
+  FROM (SELECT doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) AS i FROM d, lengths WHERE len(ws) >= l)),
+hits AS (SELECT p.doc_id, p.i, p.l, x.item_id FROM places p JOIN windows x ON p.l = x.l AND p.w = x.w),
+covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + l)) AS place FROM hits) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.ws) AS contaminated
+FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.components import components
+from auditlake.llm.workers import map_arrow
 from auditlake.session import written
 
 SEED = 42
@@ -52,7 +53,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", width:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["_id", "fingerprint"])
 
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInArrow(hashed, f"_id {id_type}, fingerprint bigint").withColumnRenamed("_id", id)
+    return map_arrow(rows, hashed, f"_id {id_type}, fingerprint bigint").withColumnRenamed("_id", id)
 
 
 def anchors(fingerprint: Column) -> Column:
@@ -170,7 +171,7 @@ def fingerprint_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFr
             yield from out(np.concatenate(held_a), np.concatenate(held_p))
 
     dealt = rows.select("anchor", "fingerprint").repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(compared, "a bigint, b bigint").distinct()
+    return map_arrow(dealt, compared, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(
