@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, decontaminate, langid, sharding, simhash
+from auditlake.llm import bpe, decontaminate, langid, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = [op1_sharding, op2_simhash, op3_language, op4_bpe, op5_decontamination]
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    grammar = toxicity.fit(docs, labels.filter(~toxicity.held_out()))
+    found = toxicity.score(docs, grammar)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", toxicity.predicted().alias("predicted"))
+
+
+QUERIES = [op1_sharding, op2_simhash, op3_language, op4_bpe, op5_decontamination, op10_toxicity]
 
 
 def queries():
