@@ -14,11 +14,11 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.workers import map_arrow
+from auditlake.llm.workers import keep_rows, map_arrow
 
 BLOCK_CHARS = 8 << 20  # benchmark text in one automaton
 
@@ -171,17 +171,13 @@ def scan(
     return found.toDF(*names, *RESULT.names)
 
 
-def contaminated(n_words: str = "n_words", n_hit: str = "n_hit"):
+def contaminated(n_words: str | Column = "n_words", n_hit: str | Column = "n_hit") -> Column:
     """At least a twentieth of the words, and at least one, lie in windows."""
-    return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
+    words, hit = (F.col(c) if isinstance(c, str) else c for c in (n_words, n_hit))
+    return (hit > 0) & (20 * hit >= words)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, text: str = "text", id: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, as they are, that are not contaminated; no shuffle."""
-    others = [c for c in docs.columns if c != id]
-    found = scan(docs, benchmark, width, text, id, keep=others)
-    places = [F.col(c).alias(f"_c{k}") for k, c in enumerate(found.columns)]  # any name may clash
-    n = len(docs.columns)
-    flat = found.toDF(*(f"_c{k}" for k in range(len(places))))
-    kept = flat.filter(~contaminated(f"_c{n}", f"_c{n + 1}"))
-    return kept.select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate([id, *others]))).select(*docs.columns)
+    found = scan(docs, benchmark, width, text, id, keep=[c for c in docs.columns if c != id])
+    return keep_rows(found, docs, id, lambda n_words, n_hit, *_: ~contaminated(n_words, n_hit))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.workers import map_arrow
+from auditlake.llm.workers import keep_rows, map_arrow
 
 SAMPLE_ROWS = 3000  # labelled rows the model is fitted on, at most
 BUCKETS = 1 << 15
@@ -204,3 +204,9 @@ def identify(
 
     found = map_arrow(rows, run, ", ".join([*kinds, "_lang string, _score double, _rejected boolean"]))
     return found.toDF(*names, "lang_pred", "score", "rejected")
+
+
+def clean(docs: DataFrame, model: Model | None, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, as they are, whose language is told with enough confidence; no shuffle."""
+    found = identify(docs, model, text, id, keep=[c for c in docs.columns if c != id])
+    return keep_rows(found, docs, id, lambda lang, score, rejected: ~rejected)

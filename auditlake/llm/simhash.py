@@ -198,3 +198,14 @@ def near_duplicates(
     roots = known.groupBy("_root").agg(F.min("_least").alias("component_id"))
     classes = known.join(roots, "_root").select("fingerprint", "component_id")
     return rows.join(classes, "fingerprint").select(id, "fingerprint", "component_id")
+
+
+def clean(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 3, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, as they are, whose id is the smallest of their class.
+
+    Rows that share an id stand or fall together, and rows without id stay. Only the
+    ids of rows to drop are joined; where they are few, texts are not shuffled.
+    """
+    found = near_duplicates(docs, text, id, width, threshold)
+    dropped = found.filter(F.col(id) != F.col("component_id")).select(id)
+    return docs.join(dropped, id, "left_anti").select(*docs.columns)

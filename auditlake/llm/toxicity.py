@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from auditlake.llm.workers import map_arrow
+from auditlake.llm.workers import keep_rows, map_arrow
 from auditlake.session import written
 
 LABELLED_ROWS = 20_000  # labelled rows the model is fitted on, at most
@@ -33,7 +33,7 @@ STEMS = range(4, 9)  # letters of a stem
 LEVELS = (1, 2, 3, 5)  # a form ``stem*n``: at least n different words of the text begin so
 LEAST = 4  # labelled texts that must hold a candidate
 PURITY = 0.75  # least share of toxic ones among them
-FALSE_COST = 4  # clean texts weigh so much more than toxic ones when a candidate is chosen
+FALSE_COST = 2  # clean texts weigh so much more than toxic ones when a candidate is chosen
 LEAST_GAIN = 3
 PRIOR_WEIGHT = 3.0  # of words the labels say nothing about
 PREDICTED = 0.3
@@ -366,5 +366,11 @@ def score(docs: DataFrame, grammar: Grammar, text: str = "text", id: str = "doc_
     return map_arrow(rows, run, ", ".join([*kinds, "_score double"])).toDF(*names, "score")
 
 
-def predicted(score: str = "score") -> Column:
-    return (F.col(score) >= PREDICTED).cast("int")
+def predicted(score: str | Column = "score") -> Column:
+    return ((F.col(score) if isinstance(score, str) else score) >= PREDICTED).cast("int")
+
+
+def clean(docs: DataFrame, grammar: Grammar, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, as they are, that are not predicted toxic; no shuffle."""
+    found = score(docs, grammar, text, id, keep=[c for c in docs.columns if c != id])
+    return keep_rows(found, docs, id, lambda value: predicted(value) == 0)

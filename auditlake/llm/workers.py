@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -36,3 +37,16 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     """``df.mapInArrow`` with a function that may use this package."""
     ship_package(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def keep_rows(found: DataFrame, docs: DataFrame, id: str, condition: Callable[..., Column]) -> DataFrame:
+    """The rows of ``docs`` whose results meet a condition, with the columns of ``docs``.
+
+    ``found``: the id, the other columns of ``docs`` in order, then results, which
+    go to ``condition`` as columns. Columns are told by place, so names may clash.
+    """
+    names = [id, *(c for c in docs.columns if c != id)]
+    flat = found.toDF(*(f"_c{k}" for k in range(len(found.columns))))
+    results = [F.col(f"_c{k}") for k in range(len(names), len(found.columns))]
+    kept = flat.filter(condition(*results))
+    return kept.select(*(F.col(f"_c{names.index(c)}").alias(c) for c in docs.columns))
