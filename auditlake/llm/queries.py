@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, decontaminate, langid, sharding, simhash, toxicity
+from auditlake.llm import bpe, covertree, decontaminate, langid, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     grammar = toxicity.fit(docs, labels.filter(~toxicity.held_out()))
@@ -74,7 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", toxicity.predicted().alias("predicted"))
 
 
-QUERIES = [op1_sharding, op2_simhash, op3_language, op4_bpe, op5_decontamination, op10_toxicity]
+QUERIES = [op1_sharding, op2_simhash, op3_language, op4_bpe, op5_decontamination, op8_embeddings, op10_toxicity]
 
 
 def queries():
@@ -86,6 +90,19 @@ _WORDS = r"""regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
     '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"""
 
 ORACLES = {
+    "op8_embeddings": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+    ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links,
+  coalesce(least(vec_id, (SELECT min(b) FROM reach WHERE a = vec_id)), vec_id) AS component_id,
+  coalesce(least(vec_id, (SELECT min(b) FROM reach WHERE a = vec_id)), vec_id) = vec_id AS kept
+FROM embeddings""",
     "op5_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS.format("text")}, []) AS ws FROM documents),
 b AS (SELECT item_id, {_WORDS.format("text")} AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
