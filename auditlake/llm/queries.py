@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, covertree, decontaminate, langid, sharding, simhash, toxicity
+from auditlake.llm import bpe, covertree, decontaminate, langid, lm_score, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
+    docs = table(spark, sf_dir, "documents").withColumn("train", F.coalesce(number != 0, F.lit(False)))
+    found = lm_score.score(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), "train")
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), *found.columns[2:])
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
 
@@ -78,7 +85,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", toxicity.predicted().alias("predicted"))
 
 
-QUERIES = [op1_sharding, op2_simhash, op3_language, op4_bpe, op5_decontamination, op8_embeddings, op10_toxicity]
+QUERIES = [op1_sharding, op2_simhash, op3_language, op4_bpe, op5_decontamination, op7_lm_score, op8_embeddings, op10_toxicity]
 
 
 def queries():
