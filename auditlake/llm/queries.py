@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, covertree, decontaminate, langid, lm_score, sharding, simhash, toxicity
+from auditlake.llm import bpe, covertree, decontaminate, html_text, langid, lm_score, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"), keep=["url"])
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
     docs = table(spark, sf_dir, "documents").withColumn("train", F.coalesce(number != 0, F.lit(False)))
@@ -85,7 +90,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", toxicity.predicted().alias("predicted"))
 
 
-QUERIES = [op1_sharding, op2_simhash, op3_language, op4_bpe, op5_decontamination, op7_lm_score, op8_embeddings, op10_toxicity]
+QUERIES = [op1_sharding, op2_simhash, op3_language, op4_bpe, op5_decontamination, op6_html, op7_lm_score, op8_embeddings, op10_toxicity]
 
 
 def queries():
