@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, covertree, decontaminate, html_text, langid, lm_score, sharding, simhash, toxicity
+from auditlake.llm import bpe, covertree, decontaminate, html_text, langid, lm_score, packing, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,11 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_texts(table(spark, sf_dir, "documents"), path, eos=50256, length=2048)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     grammar = toxicity.fit(docs, labels.filter(~toxicity.held_out()))
@@ -90,7 +95,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", toxicity.predicted().alias("predicted"))
 
 
-QUERIES = [op1_sharding, op2_simhash, op3_language, op4_bpe, op5_decontamination, op6_html, op7_lm_score, op8_embeddings, op10_toxicity]
+QUERIES = [op1_sharding, op2_simhash, op3_language, op4_bpe, op5_decontamination, op6_html, op7_lm_score, op8_embeddings, op9_packing, op10_toxicity]
 
 
 def queries():
