@@ -28,7 +28,8 @@ from auditlake.llm.workers import keep_rows, map_arrow
 from auditlake.session import written
 
 LABELLED_ROWS = 20_000  # labelled rows the model is fitted on, at most
-CANDIDATES = 50_000  # words and stems considered for the lexicon, at most
+CANDIDATES = 100_000  # words and stems considered for the lexicon, those in most toxic texts, at most
+FLUSH = 200_000  # counts a task holds before it passes them on
 STEMS = range(4, 9)  # letters of a stem
 LEVELS = (1, 2, 3, 5)  # a form ``stem*n``: at least n different words of the text begin so
 LEAST = 4  # labelled texts that must hold a candidate
@@ -295,20 +296,31 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     alike = map_arrow(rows_in, keyed, "h bigint, y int, t string, k bigint").groupBy("k", "y")
     train = written(alike.agg(F.min_by("t", "h").alias("t")).select("y", "t"), "labelled-texts")
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = (Counter(), Counter())
-            for y, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts[y > 0].update(_forms(t.as_py()))
-            forms = list(counts[1])  # one that no toxic text of a batch holds can't add toxic ones there
-            clean = [f for f in counts[0] if f not in counts[1]]
-            values = [pa.array(forms + clean, pa.string()), pa.array([counts[1][f] for f in forms + clean], pa.int64()), pa.array([counts[0][f] for f in forms + clean], pa.int64())]
-            yield pa.RecordBatch.from_arrays(values, names=["form", "toxic", "clean"])
-
-    totals = map_arrow(train, counted, "form string, toxic bigint, clean bigint").groupBy("form")
-    totals = totals.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    pure = totals.filter((F.col("toxic") >= LEAST) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean"))))
-    candidates = {r["form"]: (r["toxic"], r["clean"]) for r in pure.orderBy(F.desc("toxic"), "form").limit(CANDIDATES).collect()}
+    def count(rows: DataFrame, only: Callable[[], frozenset[str] | None]) -> DataFrame:
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts: Counter[str] = Counter()
+
+            def out():
+                found = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["form", "n"])
+                counts.clear()
+                return found
+
+            wanted = only()
+            for batch in batches:
+                for t in batch.column(0):
+                    forms = _forms(t.as_py())
+                    counts.update(forms if wanted is None else forms & wanted)
+                    if len(counts) > FLUSH:
+                        yield out()
+            yield out()
+
+        return map_arrow(rows.select("t"), counted, "form string, n bigint").groupBy("form").agg(F.sum("n").alias("n"))
+
+    held_by = count(train.filter("y > 0"), lambda: None).filter(F.col("n") >= LEAST)
+    in_toxic = {r["form"]: r["n"] for r in held_by.orderBy(F.desc("n"), "form").limit(CANDIDATES).collect()}
+    common = docs.sparkSession.sparkContext.broadcast(frozenset(in_toxic))
+    in_clean = {r["form"]: r["n"] for r in count(train.filter("y <= 0"), lambda: common.value).toLocalIterator()}
+    candidates = {f: (n, in_clean.get(f, 0)) for f, n in in_toxic.items() if n >= PURITY * (n + in_clean.get(f, 0))}
 
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(candidates))
 
