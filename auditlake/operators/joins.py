@@ -21,30 +21,34 @@ def spread_key(key: Column, applies: Column, row_id: Column) -> Column:
     return F.when(applies & key.isNotNull(), key).otherwise(F.concat(F.lit("\u0000"), row_id))
 
 
-def check_source(findings: DataFrame, files: DataFrame) -> DataFrame:
+def check_source(findings: DataFrame, files: DataFrame, checkout: str = "scan_id") -> DataFrame:
     """Add ``reject_reason``: the file is missing, or the line lies behind its end.
 
-    Pathless findings pass, and so do lines of 0 or NULL and files without
-    readable content. Only (path, line count) of the files is shuffled.
+    ``checkout`` names the column of both sides that tells whose tree a path is in:
+    a scan or a repository. Pathless findings pass, and so do lines of 0 or NULL and
+    files without readable content. Each finding stays one row, also where a file
+    is listed twice. Only (checkout, path, line count) of the files is shuffled.
     """
     path, line = F.col("file_path"), F.col("line_number")
     has_path = F.coalesce(path != "", F.lit(False))
-    known = files.select(
-        F.col("path").alias("_key"), F.lit(True).alias("_present"), line_count(F.col("content")).alias("_lines")
+    known = (
+        files.select(checkout, F.col("path").alias("_key"), line_count(F.col("content")).alias("_n"))
+        .groupBy(checkout, "_key")
+        .agg(F.lit(True).alias("_present"), F.max("_n").alias("_lines"))
     )
     reason = F.when(has_path & F.col("_present").isNull(), "file not found").when(
         has_path & (line != 0) & (line > F.col("_lines")), "line out of bounds"
     )
     return (
         findings.withColumn("_key", spread_key(path, has_path, F.col("id")))
-        .join(known, "_key", "left")
+        .join(known, [checkout, "_key"], "left")
         .withColumn("reject_reason", reason)
         .drop("_key", "_present", "_lines")
     )
 
 
-def fill_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Replace withheld snippets by the seven lines around the finding.
+def fill_snippets(findings: DataFrame, files: DataFrame, checkout: str = "scan_id") -> DataFrame:
+    """Replace withheld snippets by the seven lines around the finding, within its own checkout.
 
     Each file that is needed meets its distinct line numbers once and is split
     once, so neither many findings in a file nor in a line repeat its content;
@@ -56,16 +60,18 @@ def fill_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
     if "reject_reason" in findings.columns:
         withheld = withheld & F.col("reject_reason").isNull()
     wanted = findings.filter(withheld)
-    numbers = wanted.groupBy("file_path").agg(F.collect_set("line_number").alias("_numbers"))
-    pieces = files.select(F.col("path").alias("file_path"), F.split("content", NEWLINE, -1).alias("_pieces"))
+    file = [checkout, "file_path"]
+    numbers = wanted.groupBy(file).agg(F.collect_set("line_number").alias("_numbers"))
+    contents = files.select(checkout, F.col("path").alias("file_path"), "content").groupBy(file).agg(F.max("content").alias("content"))
+    pieces = contents.select(*file, F.split("content", NEWLINE, -1).alias("_pieces"))
     around = F.transform(
         "_numbers", lambda n: F.struct(n.alias("line_number"), around_line(F.col("_pieces"), n).alias("_text"))
     )
     texts = (
-        numbers.join(pieces, "file_path").select("file_path", F.explode(around).alias("_a")).select("file_path", "_a.*")
+        numbers.join(pieces, file).select(*file, F.explode(around).alias("_a")).select(*file, "_a.*")
     )
     filled = (
-        wanted.join(texts, ["file_path", "line_number"], "left")
+        wanted.join(texts, [*file, "line_number"], "left")
         .withColumn("code_snippet", F.coalesce("_text", snippet))
         .select(findings.columns)
     )
@@ -73,8 +79,13 @@ def fill_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def suppress(findings: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataFrame:
-    """Drop findings with a positive false-positive verdict; no or a broken verdict keeps them."""
-    return findings.join(verdicts.filter(F.col("false_positive")).select(keys), keys, "left_anti")
+    """Drop findings with a positive false-positive verdict; no or a broken verdict keeps them.
+
+    NULLs compare equal: a finding without a snippet has its verdict under NULL.
+    """
+    positive = verdicts.filter(F.col("false_positive")).select([F.col(k).alias(f"_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return findings.join(positive, same, "left_anti")
 
 
 def match_advisories(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -105,11 +116,11 @@ def advisory_findings(matches: DataFrame) -> DataFrame:
 
 
 def link_cves(findings: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Give findings without a CVE their package's advisory when it has exactly one."""
+    """Give findings without a CVE their package's advisory when it has exactly one, in however many versions."""
     only = (
         advisories.groupBy("package")
-        .agg(F.count("*").alias("n"), F.min("advisory_id").alias("_only"))
-        .filter(F.col("n") == 1)
+        .agg(F.min("advisory_id").alias("_only"), F.max("advisory_id").alias("_last"))
+        .filter(F.col("_only") == F.col("_last"))
         .select(F.col("package").alias("_key"), "_only")
     )
     key = spread_key(F.col("package"), F.col("cve_id").isNull(), F.col("id"))

@@ -46,10 +46,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) ->
     return old.join(newest.select(keys), keys, "left_anti").unionByName(newest, allowMissingColumns=True)
 
 
-def merge_scores(findings: DataFrame, answers: DataFrame, key: str) -> DataFrame:
-    """Rechecked confidence replaces the stored one; an answer that is no number scores 0."""
+def merge_scores(findings: DataFrame, answers: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rechecked confidence replaces the stored one; an answer that is no number scores 0.
+
+    Of several answers about a finding the newest by ``order`` counts.
+    """
     score = F.coalesce(strip(F.col("answer")).try_cast("double"), F.lit(0.0))
-    scores = answers.select(key, score.alias("_score"))
+    scores = answers.groupBy(key).agg(F.max_by(score, F.struct(*order, "answer")).alias("_score"))
     return (
         findings.join(scores, key, "left")
         .withColumn("confidence_score", F.coalesce("_score", "confidence_score"))

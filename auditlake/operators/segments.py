@@ -2,44 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.session import written
 
 
 def ordered_lists(df: DataFrame, keys: list[str], order: list[str], item: Column, limit: int = 10_000) -> DataFrame:
-    """(keys, segment, items): each group's items in order, at most ``limit`` per row.
+    """(keys, segment, items): each group's items in order, ``limit`` per row but for the last.
 
-    Groups up to the limit are one row with segment 0. Larger groups are sorted
-    globally on (keys, order), which range-partitions one group over many tasks,
-    and cut into consecutive segments; ``segment`` grows with the order, nothing
-    is dropped. ``order`` must identify an item within its group.
-
-    The keys of large groups are few (at most rows / limit). They are written
-    once, so their size is known: below the session's broadcast threshold their
-    rows leave the grouping before its shuffle, above it the joins shuffle.
+    Rows are sorted globally on (keys, order), which range-partitions one group over
+    many tasks, and numbered: a task's rows by their place in it, after all rows of
+    the tasks before. ``segment`` is an item's place in its group over ``limit``, so
+    it depends on the data alone. Nothing is dropped; ``order`` must identify an
+    item within its group. Only one row a task goes through one window.
     """
-    rows = df.select(*keys, *order, item.alias("_item"))
-    sizes = rows.groupBy(keys).agg(F.count("*").alias("_n"))
-    large = written(sizes.filter(F.col("_n") > limit).select(keys), "large-groups")
-    listed = F.sort_array(F.collect_list(F.struct(*order, "_item"))).alias("_items")
-
-    short = (
-        rows.join(large, keys, "left_anti")
-        .groupBy(keys)
-        .agg(listed)
-        .withColumn("segment", F.lit(0).cast("bigint"))
+    rows = df.select(*keys, *order, item.alias("_item")).orderBy(*keys, *order)
+    placed = written(rows.withColumn("_at", F.monotonically_increasing_id()), "ordered-rows")
+    task = F.shiftright("_at", 33)
+    counts = placed.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_task")) - F.col("_n")
+    numbered = (
+        placed.withColumn("_task", task)
+        .join(counts.select("_task", before.alias("_before")), "_task")
+        .withColumn("_place", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    position = F.monotonically_increasing_id()
-    long = (
-        rows.join(large, keys, "left_semi")
-        .orderBy(*keys, *order)
-        .withColumn("segment", F.floor(position / limit).cast("bigint"))
-        .groupBy(*keys, "segment")
-        .agg(listed)
+    starts = numbered.groupBy([F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("_place").alias("_start"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    segment = F.floor((F.col("_place") - F.col("_start")) / limit).cast("bigint").alias("segment")
+    return (
+        numbered.join(starts, same)
+        .groupBy(*keys, segment)
+        .agg(F.sort_array(F.collect_list(F.struct("_place", "_item"))).alias("_items"))
+        .select(*keys, "segment", F.col("_items._item").alias("items"))
     )
-    return short.unionByName(long).select(*keys, "segment", F.col("_items._item").alias("items"))
 
 
 def pages(df: DataFrame, keys: list[str], row_id: str, page_size: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from auditlake.operators.joins import spread_key
 from auditlake.operators.latest import last_scan_by_time
+from auditlake.session import written
 
 # Fixed value: the hash a push carries when its branch was deleted.
 NO_COMMIT = "0" * 40
@@ -91,7 +92,7 @@ def new_commits_by_poll(pushes: DataFrame, interval: str = "5 minutes") -> DataF
 
 def detect_new_commits(repositories: DataFrame, refs: DataFrame) -> DataFrame:
     """Repositories after one poll of (url, commit_hash); a missing hash changes nothing."""
-    seen = refs.select("url", F.col("commit_hash").alias("_seen"))
+    seen = refs.groupBy("url").agg(F.max("commit_hash").alias("_seen"))  # one row a repository
     changed = F.col("_seen").isNotNull() & ~F.col("_seen").eqNullSafe(F.col("last_commit_hash"))
     return (
         repositories.join(seen, "url", "left")
@@ -115,15 +116,27 @@ def commit_scan_requests(repositories: DataFrame) -> DataFrame:
     )
 
 
-def without_requests(repositories: DataFrame) -> DataFrame:
-    """The repository snapshot after its requests were taken."""
-    return repositories.withColumn("needs_scan", F.lit(False))
+def take_requests(repositories: DataFrame, requests: DataFrame) -> DataFrame:
+    """The repository snapshot after some requests became scans.
+
+    A request clears its repository's flag only if the repository is still at the
+    commit that the request is for; a push in between keeps the flag.
+    """
+    taken = requests.groupBy(F.col("repository_id").alias("id"), F.col("triggering_commit_hash").alias("_hash")).agg(F.lit(True).alias("_taken"))
+    same = (F.col("r.id") == F.col("t.id")) & F.col("r.last_commit_hash").eqNullSafe(F.col("t._hash"))
+    cleared = F.col("r.needs_scan") & F.col("t._taken").isNull()
+    columns = [cleared.alias(c) if c == "needs_scan" else F.col(f"r.{c}") for c in repositories.columns]
+    return repositories.alias("r").join(taken.alias("t"), same, "left").select(columns)
 
 
 def with_scan_ids(requests: DataFrame, scans: DataFrame) -> DataFrame:
-    """Ids above all stored ones. They are unique and growing, not dense, and need no ordering job."""
+    """Ids above all stored ones: unique and growing, not dense.
+
+    The requests are written with their ids once, so that inserting the scans and
+    clearing the flags see the same ones however often the result is evaluated.
+    """
     base = F.coalesce(scans.agg(F.max("id")).scalar(), F.lit(0))
-    return requests.withColumn("id", base + 1 + F.monotonically_increasing_id())
+    return written(requests.withColumn("id", base + 1 + F.monotonically_increasing_id()), "scan-requests")
 
 
 def due_scans(repositories: DataFrame, scans: DataFrame, now: Column) -> DataFrame:
@@ -138,6 +151,12 @@ def due_scans(repositories: DataFrame, scans: DataFrame, now: Column) -> DataFra
     )
 
 
+def _one_per_job(jobs: DataFrame) -> DataFrame:
+    """(_key, job_status): a job listed twice counts as failed if one of its rows says so."""
+    failed = F.max(F.when(F.col("job_status") == "failed", F.col("job_status")))
+    return jobs.groupBy(F.col("job_id").alias("_key")).agg(F.coalesce(failed, F.max("job_status")).alias("job_status"))
+
+
 def reconcile(scans: DataFrame, jobs: DataFrame) -> DataFrame:
     """Open scans without a job, with an unknown job or with a failed one become failed."""
     is_open = F.col("status").isin("running", "queued")
@@ -145,7 +164,7 @@ def reconcile(scans: DataFrame, jobs: DataFrame) -> DataFrame:
     lost = is_open & (F.col("job_status").isNull() | (F.col("job_status") == "failed"))
     return (
         scans.withColumn("_key", key)
-        .join(jobs.withColumnRenamed("job_id", "_key"), "_key", "left")
+        .join(_one_per_job(jobs), "_key", "left")
         .withColumn("status", F.when(lost, "failed").otherwise(F.col("status")))
         .drop("_key", "job_status")
     )
@@ -161,7 +180,7 @@ def scan_overview(scans: DataFrame, jobs: DataFrame) -> DataFrame:
     na = F.lit("N/A")
     return (
         scans.withColumn("_key", key)
-        .join(jobs.withColumnRenamed("job_id", "_key"), "_key", "left")
+        .join(_one_per_job(jobs), "_key", "left")
         .select(
             "id",
             "status",

@@ -10,7 +10,7 @@ from auditlake.functions.severity import map_severity
 from auditlake.operators import joins
 from auditlake.session import written
 from auditlake.sinks.store import conform
-from auditlake.sources.reports import parse_reports, reported_findings
+from auditlake.sources.reports import parse_reports, rejected_reports, reported_findings
 
 
 def finding_id() -> Column:
@@ -34,19 +34,49 @@ def normalise(parsed: DataFrame, root: str = "") -> DataFrame:
     return findings.withColumn("severity", severity)
 
 
-def ingest(
-    reports: DataFrame, files: DataFrame | None = None, verdicts: DataFrame | None = None, root: str = ""
+# Reports whose findings are stored as they are: nothing in them is a line of a source file.
+UNCHECKED = ["misconfiguration"]
+VERDICT_KEYS = ["description", "code_snippet"]
+
+
+def accept(
+    parsed: DataFrame,
+    files: DataFrame | None = None,
+    verdicts: DataFrame | None = None,
+    root: str = "",
+    checkout: str = "scan_id",
 ) -> DataFrame:
-    """Reports to findings with a ``reject_reason``; NULL there means accepted.
+    """Parsed reports to findings with a ``reject_reason``; NULL there means accepted.
 
-    Order of the steps: verdicts, file and line check, withheld snippets. Checked
-    findings are written once, since accepting, rejecting and filling snippets
-    each read them and would parse every report again.
+    Order of the steps: verdicts, file and line check, withheld snippets.
+    ``verdicts`` are keyed by description and snippet, and by ``checkout`` too where
+    they have that column. Misconfigurations take none of the steps.
     """
-    findings = normalise(parse_reports(reports), root)
+    findings = normalise(parsed, root)
+    unchecked = F.col("tool").isin(UNCHECKED)
+    plain = findings.filter(unchecked).withColumn("reject_reason", F.lit(None).cast("string"))
+    findings = findings.filter(~unchecked)
     if verdicts is not None:
-        findings = joins.suppress(findings, verdicts, ["description", "code_snippet"])
+        scope = [checkout] if checkout in verdicts.columns else []
+        findings = joins.suppress(findings, verdicts, [*scope, *VERDICT_KEYS])
     if files is None:
-        return findings.withColumn("reject_reason", F.lit(None).cast("string"))
-    checked = written(joins.check_source(findings, files), "checked-findings")
-    return joins.fill_snippets(checked, files)
+        return findings.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(plain)
+    checked = written(joins.check_source(findings, files, checkout), "checked-findings")
+    return joins.fill_snippets(checked, files, checkout).unionByName(plain)
+
+
+def ingest(
+    reports: DataFrame,
+    files: DataFrame | None = None,
+    verdicts: DataFrame | None = None,
+    root: str = "",
+    checkout: str = "scan_id",
+) -> DataFrame:
+    """``accept`` for raw reports; a report is one row and is parsed by one task, whatever its size."""
+    return accept(parse_reports(reports), files, verdicts, root, checkout)
+
+
+def ingest_all(reports: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(findings as of ``ingest``, rejected reports with their reason) from one parse, written once."""
+    parsed = written(parse_reports(reports), "parsed-reports")
+    return accept(parsed, **options), rejected_reports(parsed)

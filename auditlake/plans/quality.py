@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import metrics as M
+from auditlake.session import written
 
 # Project-wide metrics; the first three are averaged over scanners, the rest summed.
 AVERAGED = ["code_coverage", "coupling", "cohesion"]
@@ -30,19 +31,37 @@ def churn(commits: DataFrame) -> DataFrame:
     return commits.groupBy("repo", "file").agg(F.count_distinct("commit_hash").alias("code_churn"))
 
 
-def follow_renames(commits: DataFrame, renames: DataFrame, hops: int = 1) -> DataFrame:
-    """Count a file's commits under its present name: one join per rename hop.
+def last_names(renames: DataFrame) -> DataFrame:
+    """(repo, old_file, new_file): each renamed file with the end of its chain of renames.
 
-    ``renames`` is (repo, old_file, new_file). Keys are equi-joined, so each hop
-    is a plain join; files never renamed keep their name.
+    The table is joined with itself, which doubles the hops it spans, until no name
+    moves: a chain of n renames takes log2(n) joins. Of several renames of a file
+    the last by name counts; files whose chain runs into a cycle have no end and
+    are left out.
     """
-    for _ in range(hops):
-        commits = (
-            commits.join(renames.withColumnRenamed("old_file", "file"), ["repo", "file"], "left")
-            .withColumn("file", F.coalesce("new_file", "file"))
-            .drop("new_file")
+    table = written(renames.groupBy("repo", "old_file").agg(F.max("new_file").alias("new_file")), "renames")
+    for _ in range(table.count().bit_length() + 1):
+        onward = table.select("repo", F.col("old_file").alias("new_file"), F.col("new_file").alias("_next"))
+        moved = table.join(onward, ["repo", "new_file"], "left")
+        table = written(
+            moved.select("repo", "old_file", F.coalesce("_next", "new_file").alias("new_file"), F.col("_next").isNotNull().alias("_open")),
+            "renames",
         )
-    return commits
+        if table.filter("_open").isEmpty():
+            break
+    return table.filter(~F.col("_open")).drop("_open") if "_open" in table.columns else table
+
+
+def follow_renames(commits: DataFrame, renames: DataFrame) -> DataFrame:
+    """Count a file's commits under its present name.
+
+    ``renames`` is (repo, old_file, new_file); files never renamed keep their name.
+    """
+    return (
+        commits.join(last_names(renames).withColumnRenamed("old_file", "file"), ["repo", "file"], "left")
+        .withColumn("file", F.coalesce("new_file", "file"))
+        .drop("new_file")
+    )
 
 
 def bug_risk(metrics: DataFrame, churned: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.paths import is_source_file, is_test_path
+from auditlake.functions.text import strip
 from auditlake.operators.segments import ordered_lists, pages
 
 
@@ -18,24 +19,29 @@ def transcripts(messages: DataFrame, thread: list[str], order: list[str], limit:
     return listed.select(*thread, "segment", F.array_join("items", "\n").alias("transcript"))
 
 
-def model_inputs(files: DataFrame, findings: DataFrame, include_tests: bool = False, limit: int = 1_000) -> DataFrame:
-    """One row per source file: content, bullets of its known findings, whether it is a test.
+def model_inputs(
+    files: DataFrame, findings: DataFrame, checkout: str = "scan_id", include_tests: bool = False, limit: int = 1_000
+) -> DataFrame:
+    """One row per source file of a checkout: content, bullets of its known findings, whether it is a test.
 
-    A file with more findings than ``limit`` has several rows, one per segment of
+    ``checkout`` names the column of both sides that tells whose tree a path is in.
+    Files without anything but white space are left out. A file with more findings than ``limit`` has several rows, one per segment of
     its bullets, so that no list grows without bound and none is cut.
     """
+    # Fixed value: how a known finding is listed.
     bullet = F.concat(
         F.lit("- **Line "), F.coalesce(F.col("line_number").cast("string"), F.lit("None")), F.lit(":** "), "description"
     )
     known = findings.filter(F.col("file_path").isNotNull()).withColumn("path", F.col("file_path"))
-    bullets = ordered_lists(known, ["path"], ["line_number", "description", "id"], bullet, limit).select(
-        "path", "segment", F.array_join("items", "\n").alias("existing_findings")
+    file = [checkout, "path"]
+    bullets = ordered_lists(known, file, ["line_number", "description", "id"], bullet, limit).select(
+        *file, "segment", F.array_join("items", "\n").alias("existing_findings")
     )
     return (
-        files.filter(is_source_file(F.col("path"), include_tests))
-        .join(bullets, "path", "left")
+        files.filter(is_source_file(F.col("path"), include_tests) & (strip(F.col("content")) != ""))
+        .join(bullets, file, "left")
         .select(
-            "path",
+            *file,
             F.coalesce("segment", F.lit(0).cast("bigint")).alias("segment"),
             "content",
             F.coalesce("existing_findings", F.lit("")).alias("existing_findings"),
@@ -54,12 +60,16 @@ def nested_report(
 ) -> DataFrame:
     """Per repository the number of its findings and the findings with their evidence.
 
-    A finding has at most one piece of evidence per type, so its list is small. A
-    repository's list is paged: each row holds one page of about ``page_size``
-    findings next to the repository's total.
+    A finding keeps one piece of evidence per type, the last by content, so its list
+    is small. A repository's list is paged: each row holds one page of about
+    ``page_size`` findings next to the repository's total; (repository, page) is the
+    key of the result.
     """
-    proofs = evidence.groupBy("finding_id").agg(
-        F.sort_array(F.collect_list(F.struct("type", "content"))).alias("evidence")
+    proofs = (
+        evidence.groupBy("finding_id", "type")
+        .agg(F.max("content").alias("content"))
+        .groupBy("finding_id")
+        .agg(F.sort_array(F.collect_list(F.struct("type", "content"))).alias("evidence"))
     )
     owners = scans.select(F.col("id").alias("scan_id"), "repository_id")
     rows = pages(findings.join(owners, "scan_id"), ["repository_id"], "id", page_size).join(

@@ -11,13 +11,28 @@ from auditlake.plans import quality as Q
 from auditlake.sources.adapters import Host
 
 
+# A rule for the hosted documents, whose language is that of their prose.
+HOST_RULES = [*rules.RULES, rules.Rule("noise", r"(\$\$\$|%%%|###)", "INFO", "Placeholder characters", "en")]
+ANCHORED_RULES = [
+    rules.Rule("opening", r"^The ", "INFO", "Opens with an article"),
+    rules.Rule("closing", r"ing\.$", "INFO", "Closes with a participle"),
+    rules.Rule("short", r"^[A-Za-z]+\.$", "WARNING", "One word"),
+]
+
+
+def anchored_rule_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules that hold for a whole line, wherever it stands in its file."""
+    hits = rules.rule_scan(Host(spark, folder).files(), ANCHORED_RULES)
+    return hits.select("path", "line_number", "rule_id")
+
+
 def rule_scan(spark: SparkSession, folder: str) -> DataFrame:
-    hits = rules.rule_scan(Host(spark, folder).files())
+    hits = rules.rule_scan(Host(spark, folder).files(), HOST_RULES)
     return hits.select("path", "line_number", "code_snippet", "rule_id", "severity", "description")
 
 
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    hits = rules.secret_scan(Host(spark, folder).files())
+    hits = rules.secret_scan(Host(spark, folder).files(), salt="of the host|")
     return hits.select("path", "line_number", "rule_id", "severity", "description", "code_snippet", "fingerprint")
 
 
@@ -44,7 +59,7 @@ def code_churn(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def code_churn_renamed(spark: SparkSession, folder: str) -> DataFrame:
-    """Churn after every other-numbered file took over its predecessor's name."""
+    """Churn after each file was renamed to the one of the next number, and that one to the next, to the last."""
     commits = Host(spark, folder).commits()
     renames = commits.select("repo", F.col("file").alias("old_file"), (F.col("file") + 20).alias("new_file")).distinct()
     return Q.churn(Q.follow_renames(commits, renames))
@@ -95,6 +110,7 @@ def diff_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = [
     rule_scan,
+    anchored_rule_scan,
     secret_scan,
     line_metrics,
     code_complexity,

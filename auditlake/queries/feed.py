@@ -71,6 +71,13 @@ def commit_scan_requests(spark: SparkSession, folder: str) -> DataFrame:
     return P.commit_scan_requests(Host(spark, folder).repositories())
 
 
+def commit_requests_taken(spark: SparkSession, folder: str) -> DataFrame:
+    """Repositories after the requests of every other one became scans."""
+    repositories = Host(spark, folder).repositories()
+    requests = P.commit_scan_requests(repositories).filter(F.col("repository_id") % 2 == 0)
+    return P.take_requests(repositories, requests).select("id", "needs_scan")
+
+
 def new_scan_ids(spark: SparkSession, folder: str) -> DataFrame:
     """How many requested scans got an id of their own above every stored one."""
     host = Host(spark, folder)
@@ -122,6 +129,14 @@ def ingested_findings_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{root}/findings/table").select(columns)
 
 
+def ingest_rejects_stream(spark: SparkSession, folder: str) -> DataFrame:
+    host, root = Host(spark, folder), shared_path(spark, "reports")
+    host.reports().write.parquet(f"{root}/raw")
+    S.ingest_reports(S.report_stream(spark, f"{root}/raw"), f"{root}/findings")
+    rejects = spark.read.parquet(f"{root}/findings/rejects")
+    return rejects.groupBy("tool", "reject_reason").agg(F.count("*").alias("n"))
+
+
 def _without_failed_scans(host: Host) -> dict[str, DataFrame]:
     failed = host.scans().filter(F.col("status") == "failed").select(F.col("id").alias("scan_id"))
     store = {
@@ -155,7 +170,7 @@ def messages_after_reset(spark: SparkSession, folder: str) -> DataFrame:
 def upserted_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Answers replace the user message before them, or are added where there is none."""
     messages = Host(spark, folder).messages()
-    old = messages.filter(F.col("sender") == "user")
+    old = messages.filter(F.col("sender") != "assistant")
     new = messages.filter(F.col("sender") == "assistant").withColumn("turn", F.col("turn") - 1)
     return M.upsert(old, new, ["thread_id", "turn"], ["turn", "message"])
 
@@ -164,8 +179,10 @@ def rechecked_findings(spark: SparkSession, folder: str) -> DataFrame:
     host = Host(spark, folder)
     number = F.concat(F.lit(" "), F.get_json_object("props", "$.k"), F.lit("e-2\n"))
     answer = F.when(F.col("event_type") == "error", "no idea").otherwise(number)
-    answers = host.table("events").select(F.col("event_id").alias("scan_id"), answer.alias("answer"))
-    return M.merge_scores(host.lines(), answers, "scan_id").select("id", "confidence_score")
+    events = host.table("events").select("user_id", "ts", "event_id", answer.alias("answer"))
+    lines = host.table("lineitem").withColumn("id", Host.line_id())
+    answers = lines.join(events, F.col("user_id") == F.col("l_orderkey")).select("id", "ts", "event_id", "answer")
+    return M.merge_scores(host.lines(), answers, "id", ["ts", "event_id"]).select("id", "confidence_score")
 
 
 QUERIES = [
@@ -177,6 +194,7 @@ QUERIES = [
     new_commits,
     commit_state_stream,
     commit_scan_requests,
+    commit_requests_taken,
     new_scan_ids,
     due_scans,
     reconciled_scans,
@@ -184,6 +202,7 @@ QUERIES = [
     scan_progress,
     scan_progress_stream,
     ingested_findings_stream,
+    ingest_rejects_stream,
     findings_after_delete,
     evidence_after_delete,
     metrics_after_delete,

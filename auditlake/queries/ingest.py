@@ -9,6 +9,7 @@ from auditlake.functions import text
 from auditlake.sources import quality_reports as Q
 from auditlake.sources import reports as R
 from auditlake.sources import store
+from auditlake.session import shared_path
 from auditlake.sources.adapters import Host
 
 _PARSED = ["report_path", "file_path", "line_number", "code_snippet", "description", "severity"]
@@ -46,7 +47,7 @@ def reported_advisories(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    return Host(spark, folder).texts("lineitem").withColumn("id", Host.line_id())
+    return Host(spark, folder).table("lineitem").withColumn("id", Host.line_id())
 
 
 def javascript_quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,7 +126,12 @@ def ref_listings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    return store.file_inventory(spark, folder, "*.parquet").select("path", "name", "length")
+    """Documents laid out as text files below a folder of their source, listed and measured."""
+    root = shared_path(spark, "tree")
+    Host(spark, folder).table("documents").select("source", "text").write.partitionBy("source").text(root)
+    files = store.file_inventory(spark, root, "part-*")
+    repo = F.replace("repo", F.lit("source="), F.lit("")).alias("repo")
+    return files.groupBy(repo).agg(F.sum("length").alias("bytes"))
 
 
 QUERIES = [

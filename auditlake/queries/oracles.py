@@ -275,6 +275,7 @@ INGEST = {
     "misconfiguration_findings": f"""SELECT 'reports/' || {_LINE_ID} AS report_path, 'reports/' || {_LINE_ID} AS file_path,
        l_linenumber AS line_number, CAST(NULL AS VARCHAR) AS code_snippet, p_name AS description,
        CAST(NULL AS VARCHAR) AS severity FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "file_inventory": "SELECT source AS repo, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY source",
     "report_rejects": """SELECT CASE l_suppkey % 3 WHEN 0 THEN 'semgrep' WHEN 1 THEN 'bandit' ELSE 'gitleaks' END AS tool,
        'undecodable' AS reject_reason, count(*) AS n FROM lineitem WHERE l_linenumber = 7 GROUP BY 1""",
     "fenced_answers": """SELECT conv_id, turn, CASE WHEN role = 'user' THEN CASE WHEN trim(text) LIKE '{%' THEN trim(text) ELSE '{}' END
@@ -303,7 +304,8 @@ INGEST = {
 
 CORPUS_FINDINGS = rf"""corpus_findings AS (
   SELECT {_LINE_ID} AS id, l_orderkey AS scan_id,
-         CASE WHEN l_linenumber <> 7 THEN 'src' || (l_partkey % 20) || '/' || l_partkey END AS file_path,
+         'src' || (l_orderkey % 20) AS repo,
+         CASE WHEN l_linenumber <> 7 THEN 'f/' || (l_partkey // 20) END AS file_path,
          CASE WHEN l_linenumber = 6 THEN 0 ELSE CAST(l_quantity AS INTEGER) END AS line_number,
          CASE WHEN l_returnflag = 'A' THEN 'requires login' ELSE 'x' END AS code_snippet,
          CASE l_suppkey % 3 WHEN 0 THEN 'semgrep' WHEN 1 THEN 'bandit' ELSE 'gitleaks' END || ': ' || {RAW_LEVEL} AS description
@@ -312,10 +314,14 @@ FILES = r"""files AS (
   SELECT source AS repo, source || '/' || doc_id AS path, text AS content, lang AS language,
          length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN 0 ELSE 1 END AS n_lines
   FROM documents)"""
-_CHECKED = """checked AS (SELECT c.id, c.file_path, c.line_number,
+CHECKOUT = r"""checkout AS (
+  SELECT source AS repo, 'f/' || (doc_id // 20) AS path, text AS content,
+         length(text) - length(replace(text, chr(10), '')) + CASE WHEN text = '' OR text LIKE '%' || chr(10) THEN 0 ELSE 1 END AS n_lines
+  FROM documents)"""
+_CHECKED = """checked AS (SELECT c.id, c.repo, c.file_path, c.line_number,
        CASE WHEN c.file_path IS NOT NULL AND f.path IS NULL THEN 'file not found'
             WHEN c.line_number <> 0 AND c.line_number > f.n_lines THEN 'line out of bounds' END AS reject_reason
-  FROM corpus_findings c LEFT JOIN files f ON f.path = c.file_path)"""
+  FROM corpus_findings c LEFT JOIN checkout f ON f.repo = c.repo AND f.path = c.file_path)"""
 DEPENDENCY = r"""dependency AS (
   SELECT DISTINCT l_orderkey AS scan_id, p_brand AS package,
          CASE WHEN p_size < 50 THEN CAST(p_size AS VARCHAR) END AS version
@@ -326,16 +332,16 @@ MATCHED = r"""matched AS (
 _TOOLS = "CASE l_suppkey % 3 WHEN 0 THEN 'semgrep' WHEN 1 THEN 'bandit' ELSE 'gitleaks' END"
 
 VALIDATION = {
-    "source_checks": _with(CORPUS_FINDINGS, FILES, _CHECKED) + "SELECT * FROM checked",
-    "source_check_counts": _with(CORPUS_FINDINGS, FILES, _CHECKED)
+    "source_checks": _with(CORPUS_FINDINGS, CHECKOUT, _CHECKED) + "SELECT * FROM checked",
+    "source_check_counts": _with(CORPUS_FINDINGS, CHECKOUT, _CHECKED)
     + "SELECT reject_reason, count(*) AS n FROM checked GROUP BY reject_reason",
-    "filled_snippets": _with(CORPUS_FINDINGS, FILES)
-    + r"""SELECT id, file_path, line_number, CASE WHEN code_snippet = 'requires login' AND f.path IS NOT NULL
+    "filled_snippets": _with(CORPUS_FINDINGS, CHECKOUT)
+    + r"""SELECT id, corpus_findings.repo, file_path, line_number, CASE WHEN code_snippet = 'requires login' AND f.path IS NOT NULL
        THEN array_to_string(string_split(content, chr(10))[greatest(line_number - 3, 1):line_number + 3], chr(10)) ||
             CASE WHEN line_number + 3 < len(string_split(content, chr(10)))
                   AND len(string_split(content, chr(10))[greatest(line_number - 3, 1):line_number + 3]) > 0 THEN chr(10) ELSE '' END
        ELSE code_snippet END AS code_snippet
-FROM corpus_findings LEFT JOIN files f ON f.path = file_path""",
+FROM corpus_findings LEFT JOIN checkout f ON f.repo = corpus_findings.repo AND f.path = file_path""",
     "confirmed_documents": """SELECT doc_id, source, lang FROM documents
 WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""",
     "advisory_matches": _with(DEPENDENCY, MATCHED)
@@ -344,8 +350,9 @@ WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""",
     + "SELECT DISTINCT scan_id, summary AS description, 'UNKNOWN' AS severity, advisory_id AS cve_id FROM matched",
     "linked_cves": _with(
         FINDINGS,
-        """one AS (SELECT p_brand || '/' || p_size AS package, min('ADV-' || p_partkey) AS only_one FROM part
-  GROUP BY 1 HAVING count(*) = 1)""",
+        """one AS (SELECT p_brand || '/' || p_size AS package,
+       min('ADV-' || p_brand || CASE WHEN p_partkey % 7 = 0 THEN '-2' ELSE '-1' END) AS only_one FROM part
+  GROUP BY 1 HAVING count(DISTINCT p_partkey % 7 = 0) = 1)""",
     )
     + "SELECT id, package, coalesce(cve_id, only_one) AS cve_id FROM findings LEFT JOIN one USING (package)",
     "unreported_findings": _with(
@@ -367,11 +374,19 @@ SELECT 'advisory', 'UNKNOWN', count(*) FROM (SELECT DISTINCT scan_id, summary, a
        CASE WHEN l_suppkey % 3 = 2 AND l_linestatus = 'F' THEN 'HIGH' ELSE {_SEVERITY} END AS severity, 'new' AS status
 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber < 7""",
     "appended_findings": f"""SELECT {_SEVERITY} AS severity, 'new' AS status, count(*) AS n, count(*) AS ids FROM lineitem GROUP BY 1""",
-    "stored_tables": """SELECT name, count(*) AS n, count(*) AS ids FROM (
+    "stored_tables": _with(FINDINGS, "f AS (SELECT severity FROM findings)")
+    + """SELECT name, count(*) AS n, count(*) AS ids FROM (
   SELECT 'repository' AS name FROM customer UNION ALL SELECT 'scan' FROM orders UNION ALL SELECT 'findings' FROM lineitem
   UNION ALL SELECT 'evidence' FROM lineitem JOIN conversations ON conv_id = l_orderkey WHERE l_linenumber = 1
   UNION ALL SELECT 'quality_metric' FROM lineitem WHERE l_linestatus = 'O'
+  UNION ALL SELECT 'quality_interpretation' FROM lineitem WHERE l_linestatus = 'O'
+  UNION ALL SELECT 'patch' FROM f WHERE severity = 'CRITICAL'
   UNION ALL SELECT 'chat_message' FROM conversations) GROUP BY name""",
+    "ingest_rejects": f"""SELECT {_TOOLS} AS tool, CASE WHEN l_linenumber = 7 THEN 'undecodable' END AS reject_reason, count(*) AS reports
+FROM lineitem GROUP BY 1, 2""",
+    "suppressed_findings": _with(FINDINGS)
+    + """SELECT id, description, CASE WHEN code_snippet <> 'SMALL' THEN code_snippet END AS code_snippet
+FROM findings WHERE length(description) % 2 = 1""",
     "exported_findings": _with(REPOSITORY, SCAN, FINDINGS, _ANY)
     + """SELECT url, f.id, f.scan_id, file_path, line_number, code_snippet, description, severity, confidence_score,
        f.status, cve_id FROM findings f JOIN latest USING (scan_id) JOIN repository r ON r.id = repository_id""",
@@ -387,11 +402,12 @@ FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber < 7""",
 FROM findings f JOIN scan s ON s.id = scan_id JOIN repository r ON r.id = repository_id LEFT JOIN e ON e.id = f.id""",
     "transcripts": """SELECT conv_id AS thread_id, CAST(0 AS BIGINT) AS segment,
        string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id""",
-    "model_inputs": _with(CORPUS_FINDINGS, FILES)
-    + """SELECT path, CAST(0 AS BIGINT) AS segment, content,
+    "model_inputs": _with(CORPUS_FINDINGS, CHECKOUT)
+    + """SELECT checkout.repo, path, CAST(0 AS BIGINT) AS segment, content,
        coalesce(string_agg('- **Line ' || line_number || ':** ' || description, chr(10)
          ORDER BY line_number, description, id), '') AS existing_findings, false AS is_test
-FROM files LEFT JOIN corpus_findings ON file_path = path GROUP BY path, content""",
+FROM checkout LEFT JOIN corpus_findings ON file_path = path AND corpus_findings.repo = checkout.repo
+WHERE trim(content, E' \t\n\v\f\r') <> '' GROUP BY checkout.repo, path, content""",
 }
 
 
@@ -406,7 +422,6 @@ _RULES = r"""rules(rule_id, pattern, severity, description, lang) AS (VALUES
   ('noise', '(\$\$\$|%%%|###)', 'INFO', 'rules: Placeholder characters', 'en'))"""
 _SECRETS = [
     ("token", r'token\s*=\s*"([0-9a-f]{40})"', "HIGH", "Access token"),
-    ("card-number", r"([0-9]{16})", "HIGH", "Payment card number"),
     ("email", r"([A-Za-z0-9.]+@[A-Za-z0-9]+(?:\.[A-Za-z0-9]+)+)", "MEDIUM", "E-mail address"),
     ("private-key", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", "CRITICAL", "Private key"),
 ]
@@ -414,7 +429,8 @@ _SECRET_UNION = " UNION ALL ".join(
     f"SELECT path, line_number, '{rule}' AS rule_id, '{severity}' AS severity, 'Gitleaks: {message}' AS description,"
     f" unnest(regexp_extract_all(line, '{pattern}', 1)) AS secret FROM lines"
     for rule, pattern, severity, message in _SECRETS
-)
+) + """ UNION ALL SELECT path, line_number, 'card-number', 'HIGH', 'Gitleaks: Payment card number',
+       unnest(list_filter(regexp_extract_all(line, '[0-9]+'), lambda x: length(x) = 16)) FROM lines"""
 METRICS = r"""words AS (
   SELECT path, regexp_extract_all(content, '[A-Za-z0-9_]+') AS words,
          regexp_extract_all(content, '[-+*/%=<>!&|^~?:.,;(){}\[\]]') AS signs,
@@ -467,7 +483,10 @@ CORPUS = {
 FROM lines JOIN rules ON regexp_matches(line, pattern) AND (lang IS NULL OR lang = language)""",
     "secret_scan": _with(FILES, LINES, f"secrets AS ({_SECRET_UNION})")
     + """SELECT path, CAST(line_number AS INTEGER) AS line_number, rule_id, severity, description,
-       left(secret, 2) || '********' AS code_snippet, sha256(secret) AS fingerprint FROM secrets""",
+       left(secret, 2) || '********' AS code_snippet, sha256('of the host|' || secret) AS fingerprint FROM secrets""",
+    "anchored_rule_scan": _with(FILES, LINES)
+    + """SELECT path, CAST(line_number AS INTEGER) AS line_number, rule_id FROM lines JOIN (VALUES
+  ('opening', '^The '), ('closing', 'ing\\.$'), ('short', '^[A-Za-z]+\\.$')) r(rule_id, pattern) ON regexp_matches(line, pattern)""",
     "line_metrics": _with(FILES, LINES, METRICS) + "SELECT path, lines, blank, comments, sloc FROM metrics",
     "code_complexity": _with(FILES, LINES, METRICS) + "SELECT path, cyclomatic_complexity FROM metrics",
     "halstead_volume": _with(FILES, LINES, METRICS) + f"SELECT path, {_half_up('volume', 4)} AS halstead_volume FROM metrics",
@@ -476,8 +495,13 @@ FROM lines JOIN rules ON regexp_matches(line, pattern) AND (lang IS NULL OR lang
 FROM metrics""",
     "code_churn": """SELECT user_id % 20 AS repo, user_id AS file, count(DISTINCT event_id) AS code_churn
 FROM events GROUP BY 1, 2""",
-    "code_churn_renamed": """SELECT user_id % 20 AS repo, user_id + 20 AS file, count(DISTINCT event_id) AS code_churn
-FROM events GROUP BY 1, 2""",
+    "code_churn_renamed": """WITH RECURSIVE f AS (SELECT DISTINCT user_id AS file FROM events),
+chain AS (
+  SELECT file AS old, file + 20 AS name FROM f
+  UNION ALL SELECT old, name + 20 FROM chain JOIN f ON f.file = chain.name),
+ends AS (SELECT old, max(name) AS name FROM chain GROUP BY old)
+SELECT user_id % 20 AS repo, name AS file, count(DISTINCT event_id) AS code_churn
+FROM events JOIN ends ON old = user_id GROUP BY 1, 2""",
     "bug_risk": _with(
         FILES,
         LINES,
@@ -551,6 +575,7 @@ FROM repository LEFT JOIN newest ON newest.url = 'https://github.com/u/r' || id
     "commit_scan_requests": _with(REPOSITORY)
     + """SELECT id AS repository_id, 'commit' AS scan_type, 'queued' AS status, last_commit_hash AS triggering_commit_hash
 FROM repository WHERE needs_scan""",
+    "commit_requests_taken": _with(REPOSITORY) + "SELECT id, needs_scan AND id % 2 <> 0 AS needs_scan FROM repository",
     "new_scan_ids": _with(REPOSITORY)
     + "SELECT count(*) AS requests, count(*) AS ids, true AS above_stored FROM repository WHERE needs_scan",
     "due_scans": _with(
@@ -572,6 +597,7 @@ WHERE periodic_scan_enabled AND (deep.created_at IS NULL
     "scan_progress": _PROGRESS,
     "scan_progress_stream": _PROGRESS,
     "ingested_findings_stream": VALIDATION["ingested_findings"],
+    "ingest_rejects_stream": INGEST["report_rejects"],
     "findings_after_delete": _with(FINDINGS) + f"SELECT id, scan_id FROM findings WHERE scan_id {_KEPT}",
     "evidence_after_delete": f"""SELECT {_LINE_ID} AS finding_id, role || turn AS type
 FROM lineitem JOIN conversations ON conv_id = l_orderkey WHERE l_linenumber = 1 AND l_orderkey {_KEPT}""",
@@ -580,12 +606,13 @@ FROM lineitem JOIN conversations ON conv_id = l_orderkey WHERE l_linenumber = 1
 WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')""",
     "upserted_messages": """SELECT conv_id AS thread_id, turn - 1 AS turn, role AS sender, text AS message
 FROM conversations WHERE role = 'assistant' UNION ALL
-SELECT conv_id, turn, role, text FROM conversations u WHERE role = 'user' AND NOT EXISTS (
+SELECT conv_id, turn, role, text FROM conversations u WHERE role <> 'assistant' AND NOT EXISTS (
   SELECT 1 FROM conversations a WHERE a.role = 'assistant' AND a.conv_id = u.conv_id AND a.turn = u.turn + 1)""",
     "rechecked_findings": _with(FINDINGS)
     + """SELECT f.id, CASE WHEN e.event_id IS NULL THEN f.confidence_score WHEN e.event_type = 'error' THEN 0
        ELSE CAST(json_extract_string(props, '$.k') || 'e-2' AS DOUBLE) END AS confidence_score
-FROM findings f LEFT JOIN events e ON e.event_id = f.scan_id""",
+FROM findings f LEFT JOIN (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) e
+  ON e.user_id = f.scan_id""",
 }
 
 

@@ -15,8 +15,8 @@ from auditlake.sources.adapters import Host
 
 def source_checks(spark: SparkSession, folder: str) -> DataFrame:
     host = Host(spark, folder)
-    checked = J.check_source(host.corpus_findings(), host.files())
-    return checked.select("id", "file_path", "line_number", "reject_reason")
+    checked = J.check_source(host.corpus_findings(), host.checkout_files(), "repo")
+    return checked.select("id", "repo", "file_path", "line_number", "reject_reason")
 
 
 def source_check_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,8 +25,8 @@ def source_check_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def filled_snippets(spark: SparkSession, folder: str) -> DataFrame:
     host = Host(spark, folder)
-    filled = J.fill_snippets(host.corpus_findings(), host.files())
-    return filled.select("id", "file_path", "line_number", "code_snippet")
+    filled = J.fill_snippets(host.corpus_findings(), host.checkout_files(), "repo")
+    return filled.select("id", "repo", "file_path", "line_number", "code_snippet")
 
 
 def confirmed_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,7 +49,7 @@ def advisory_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 def linked_cves(spark: SparkSession, folder: str) -> DataFrame:
     host = Host(spark, folder)
-    return J.link_cves(host.findings(), host.advisories(versioned_name=True)).select("id", "package", "cve_id")
+    return J.link_cves(host.findings(), host.package_advisories()).select("id", "package", "cve_id")
 
 
 def unreported_findings(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,6 +78,22 @@ def ingested_findings(spark: SparkSession, folder: str) -> DataFrame:
     return P.to_store(accepted).select(columns)
 
 
+def ingest_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings and rejected reports of one parse, counted by tool."""
+    findings, rejects = P.ingest_all(Host(spark, folder).reports())
+    kept = findings.groupBy("tool").agg(F.count_distinct("report_path").alias("reports")).withColumn("reject_reason", F.lit(None).cast("string"))
+    lost = rejects.groupBy("tool", "reject_reason").agg(F.count("*").alias("reports"))
+    return kept.unionByName(lost).select("tool", "reject_reason", "reports")
+
+
+def suppressed_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings, some without a snippet; verdicts by description and snippet, some of them under NULL."""
+    host = Host(spark, folder)
+    rows = host.findings().withColumn("code_snippet", F.when(F.col("code_snippet") != "SMALL", F.col("code_snippet")))
+    verdicts = rows.select("description", "code_snippet").distinct().withColumn("false_positive", F.length("description") % 2 == 0)
+    return J.suppress(rows, verdicts, ["description", "code_snippet"]).select("id", "description", "code_snippet")
+
+
 def appended_findings(spark: SparkSession, folder: str) -> DataFrame:
     """Two batches written to a store, the second twice; the rerun leaves no second copy."""
     host = Host(spark, folder)
@@ -98,12 +114,16 @@ def stored_tables(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws("-", "thread_id", "turn").alias("id"), F.col("thread_id").alias("finding_id"), "sender", "message"
     )
     evidence = host.evidence().withColumn("id", F.concat_ws("-", "finding_id", "type"))
+    patches = host.lines().filter(F.col("severity") == "CRITICAL").select(F.col("id").alias("finding_id"), F.concat("id", F.lit("-p")).alias("id"))
+    read = host.metrics().select(F.col("id").alias("quality_metric_id"), F.concat("id", F.lit("-i")).alias("id"))
     tables = {
         "repository": host.repositories(),
         "scan": host.scans(),
         "findings": host.findings(),
         "evidence": evidence,
+        "patch": patches,
         "quality_metric": host.metrics(),
+        "quality_interpretation": read,
         "chat_message": messages,
     }
     root, counts = S.new_store(spark), []
@@ -147,7 +167,7 @@ def transcripts(spark: SparkSession, folder: str) -> DataFrame:
 
 def model_inputs(spark: SparkSession, folder: str) -> DataFrame:
     host = Host(spark, folder)
-    return T.model_inputs(host.files(), host.corpus_findings())
+    return T.model_inputs(host.checkout_files(), host.corpus_findings(), "repo")
 
 
 QUERIES = [
@@ -161,6 +181,8 @@ QUERIES = [
     unreported_findings,
     deep_scan_findings,
     ingested_findings,
+    ingest_rejects,
+    suppressed_findings,
     appended_findings,
     stored_tables,
     exported_findings,

@@ -19,15 +19,6 @@ class Host:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def texts(self, name: str) -> DataFrame:
-        """A table whose rows are costly to work on; one with fewer splits than cores is spread once.
-
-        A table of many files is left as it is read, without a shuffle.
-        """
-        table = self.table(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
-
     def repositories(self) -> DataFrame:
         name = F.col("c_name")
         exclusions = F.when(F.col("c_mktsegment") == "BUILDING", "*.rs, p1*").when(
@@ -201,13 +192,21 @@ class Host:
 
     def files(self) -> DataFrame:
         """Source files: documents, their source playing the repository."""
-        return self.texts("documents").select(
+        return self.table("documents").select(
             F.col("source").alias("repo"),
             F.concat_ws("/", "source", "doc_id").alias("path"),
             F.col("text").alias("content"),
             F.col("lang").alias("language"),
         )
 
+    def checkout_files(self) -> DataFrame:
+        """Source files of twenty checkouts whose paths collide: a document's path does not name its source."""
+        return self.table("documents").select(
+            F.col("source").alias("repo"),
+            F.concat(F.lit("f/"), F.floor(F.col("doc_id") / 20)).alias("path"),
+            F.col("text").alias("content"),
+        )
+
     def dependencies(self) -> DataFrame:
         part = self.table("part").select(
             F.col("p_partkey").alias("l_partkey"),
@@ -221,15 +220,23 @@ class Host:
             .select("scan_id", "package", "version")
         )
 
-    def advisories(self, versioned_name: bool = False) -> DataFrame:
-        package = F.concat_ws("/", "p_brand", "p_size") if versioned_name else F.col("p_brand")
+    def advisories(self) -> DataFrame:
+        """Advisories of brands; those of one size are known by the same number for all its parts."""
         return self.table("part").select(
-            package.alias("package"),
+            F.col("p_brand").alias("package"),
             F.col("p_size").cast("string").alias("version"),
             F.concat(F.lit("ADV-"), "p_partkey").alias("advisory_id"),
             F.col("p_name").alias("summary"),
         )
 
+    def package_advisories(self) -> DataFrame:
+        """Advisories of brand and container, in as many versions as there are parts: some packages have one, some two."""
+        return self.table("part").select(
+            F.concat_ws("/", "p_brand", "p_size").alias("package"),
+            F.col("p_partkey").cast("string").alias("version"),
+            F.concat_ws("-", F.lit("ADV"), "p_brand", F.when(F.col("p_partkey") % 7 == 0, 2).otherwise(1)).alias("advisory_id"),
+        )
+
     def commits(self) -> DataFrame:
         """Commit x file rows."""
         return self.table("events").select(
@@ -268,7 +275,7 @@ class Host:
     def report_lines(self) -> DataFrame:
         """lineitem with its part, the raw material of the hosted reports."""
         part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type", "p_size")
-        return self.texts("lineitem").join(part, "l_partkey")
+        return self.table("lineitem").join(part, "l_partkey")
 
     @staticmethod
     def report_text(tool: str) -> Column:
@@ -381,14 +388,13 @@ class Host:
         )
 
     def corpus_findings(self) -> DataFrame:
-        """Findings about documents: some files are missing, some lines lie behind the end."""
+        """Findings about the files of a scan's checkout: some files are missing, some lines lie behind the end."""
         number = F.col("l_linenumber")
         return self.table("lineitem").select(
             self.line_id().alias("id"),
             F.col("l_orderkey").alias("scan_id"),
-            F.when(number != 7, F.concat(F.lit("src"), F.col("l_partkey") % 20, F.lit("/"), F.col("l_partkey"))).alias(
-                "file_path"
-            ),
+            F.concat(F.lit("src"), F.col("l_orderkey") % 20).alias("repo"),
+            F.when(number != 7, F.concat(F.lit("f/"), F.floor(F.col("l_partkey") / 20))).alias("file_path"),
             F.when(number == 6, 0).otherwise(F.col("l_quantity").cast("int")).alias("line_number"),
             F.when(F.col("l_returnflag") == "A", "requires login").otherwise("x").alias("code_snippet"),
             F.concat(self.tool(), F.lit(": "), self.raw_level()).alias("description"),
@@ -428,7 +434,7 @@ class Host:
         )
         path = F.concat_ws("/", "source", F.concat("doc_id", F.lit(".py")))
         header = F.format_string("diff --git a/%s b/%s\n--- a/%s\n+++ b/%s\n@@ -5,9 +5,9 @@ def f\n", path, path, path, path)
-        return self.texts("documents").select(
+        return self.table("documents").select(
             F.col("doc_id").alias("commit_hash"), F.concat(header, F.array_join(body, "\n"), F.lit("\n")).alias("diff")
         )
 

@@ -31,7 +31,7 @@ def read_jdbc_table(
 
 
 def file_inventory(spark: SparkSession, root: str, name_glob: str | None = None) -> DataFrame:
-    """Every file below ``root``: path relative to it, name, length, content.
+    """Every file below ``root``: path relative to it, its first folder as ``repo``, name, length, content.
 
     ``content`` is read only by plans that use it, so path predicates come free.
     """
@@ -40,7 +40,10 @@ def file_inventory(spark: SparkSession, root: str, name_glob: str | None = None)
         reader = reader.option("pathGlobFilter", name_glob)
     full = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
     path = relative_path(full, root)
-    return reader.load(root).select(path.alias("path"), base_name(path).alias("name"), "length", "content")
+    repo = F.when(F.contains(path, F.lit("/")), F.substring_index(path, "/", 1))
+    return reader.load(root).select(
+        path.alias("path"), repo.alias("repo"), base_name(path).alias("name"), "length", "content"
+    )
 
 
 def text_files(inventory: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.paths import base_name
 from auditlake.plans import feed, ingest
-from auditlake.sources.reports import parse_reports
 
 STATE = "url string, commit_hash string, ts timestamp, event_id bigint, needs_scan boolean"
 REPOSITORY_ROW = "url string, name string"
@@ -109,9 +108,18 @@ def last_batch(spark: SparkSession, root: str) -> int:
 
 
 def ingest_reports(reports: DataFrame, root: str, available_now: bool = True):
-    """Raw reports as they arrive -> findings table; ids come from the report, so a re-read file adds nothing new."""
-    findings = ingest.to_store(ingest.normalise(parse_reports(reports)))
-    return run_files(findings, root, available_now=available_now)
+    """Raw reports as they arrive -> ``table`` of findings and ``rejects``, one folder a batch.
+
+    A batch is parsed once and written to both. Finding ids come from the report's
+    place, so a batch that runs again replaces its folders by the same rows.
+    """
+
+    def handle(batch: DataFrame, k: int) -> None:
+        findings, rejects = ingest.ingest_all(batch)
+        ingest.to_store(findings).write.mode("overwrite").parquet(f"{root}/table/batch={k}")
+        rejects.write.mode("overwrite").parquet(f"{root}/rejects/batch={k}")
+
+    return run_batches(reports, root, handle, available_now=available_now)
 
 
 def report_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:

@@ -182,3 +182,25 @@ def test_line_arithmetic(spark, tmp_path, content):
     for n in range(0, 6):
         around = one(spark, lambda c: lines.around_line(F.split(c, lines.NEWLINE, -1), F.lit(n)), content)
         assert around == "".join(expected[max(0, n - 4) : min(len(expected), n + 3)])
+
+
+def test_stripping_a_long_padded_text_is_linear(spark):
+    import time
+
+    from auditlake.functions.text import strip
+
+    df = spark.sql("SELECT concat('  x', repeat(' ', 1000000), 'y \\n') AS t")
+    start = time.perf_counter()
+    assert df.select(F.length(strip(F.col("t")))).first()[0] == 1000002
+    assert time.perf_counter() - start < 5
+
+
+def test_anchored_rules_hit_inside_a_file(spark):
+    from auditlake.operators.rules import Rule, rule_scan, secret_scan
+
+    df = spark.createDataFrame([("a", "Python", "import os\npassword = 1\nx")], "path string, language string, content string")
+    hits = rule_scan(df, [Rule("p", "^password", "E", "m"), Rule("o", "os$", "E", "m")]).collect()
+    assert sorted((h.rule_id, h.line_number) for h in hits) == [("o", 1), ("p", 2)]
+    digits = spark.createDataFrame([("a", "x", "1" * 40 + " " + "2" * 16)], "path string, language string, content string")
+    plain, salted = (secret_scan(digits, salt=s).collect() for s in ("", "pepper"))
+    assert [h.rule_id for h in plain] == ["card-number"] and plain[0].fingerprint != salted[0].fingerprint

@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from auditlake.operators import joins, maintenance
 from auditlake.operators.segments import ordered_lists
 from auditlake.plans import findings as L
-from auditlake.plans import ingest, texts
+from auditlake.plans import feed, ingest, quality, texts
 from auditlake.schemas import EXPORT_COLUMNS, FINDINGS
 from auditlake.sinks import store as sink
 from auditlake.sources import store
 import pytest
 
-FILES = [("r", "a.py", "one\ntwo\nthree\nfour\nfive\n"), ("r", "b.py", "single"), ("r", "bad.bin", None)]
+FILES = [
+    (1, "a.py", "one\ntwo\nthree\nfour\nfive\n"),
+    (1, "b.py", "single"),
+    (1, "bad.bin", None),
+    (2, "a.py", "other"),
+    (2, "gone.py", "here"),
+]
 
 
 def files(spark):
-    return spark.createDataFrame(FILES, "repo string, path string, content string")
+    return spark.createDataFrame(FILES, "scan_id bigint, path string, content string")
 
 
 def report(path, line, code="x", message="m"):
@@ -54,6 +60,93 @@ def test_source_checks_reject_with_a_reason(spark):
     assert checked[0].file_path == "a.py"
 
 
+def test_files_of_other_checkouts_do_not_count(spark):
+    def of(scan, *results):
+        text = json.dumps({"results": list(results)})
+        return (scan, "semgrep", f"p{scan}", text)
+
+    places = [report("a.py", 2, "requires login"), report("a.py", 1, "requires login"), report("gone.py", 1)]
+    rows = spark.createDataFrame([of(1, *places), of(2, *places)], "scan_id bigint, tool string, path string, text string")
+    twice = files(spark).unionByName(files(spark))
+    got = {(r.scan_id, r.file_path, r.line_number): r for r in ingest.ingest(rows, twice).collect()}
+    assert len(got) == 6
+    reasons = {key: row.reject_reason for key, row in got.items()}
+    assert reasons == {
+        (1, "a.py", 2): None,
+        (1, "a.py", 1): None,
+        (1, "gone.py", 1): "file not found",
+        (2, "a.py", 2): "line out of bounds",
+        (2, "a.py", 1): None,
+        (2, "gone.py", 1): None,
+    }
+    assert got[2, "a.py", 1].code_snippet == "other" and got[1, "a.py", 1].code_snippet.startswith("one\n")
+
+
+def test_misconfigurations_are_not_checked_and_rejects_are_kept(spark):
+    answer = "```json\n" + json.dumps({"misconfigurations": [{"line_number": 99, "description": "root"}]}) + "\n```"
+    rows = spark.createDataFrame(
+        [(1, "misconfiguration", "Dockerfile", answer), (1, "semgrep", "r1", "{"), (1, "bandit", "r2", "no")],
+        "scan_id bigint, tool string, path string, text string",
+    )
+    findings, rejects = ingest.ingest_all(rows, files=files(spark))
+    (row,) = findings.collect()
+    assert (row.line_number, row.reject_reason) == (99, None)
+    assert sorted(r.report_path for r in rejects.collect()) == ["r1", "r2"]
+
+
+def test_verdicts_match_missing_snippets(spark):
+    schema = "id string, description string, code_snippet string"
+    rows = spark.createDataFrame([("1", "d", None), ("2", "d", "x"), ("3", "e", None)], schema)
+    verdicts = spark.createDataFrame([("d", None, True)], "description string, code_snippet string, false_positive boolean")
+    kept = joins.suppress(rows, verdicts, ["description", "code_snippet"])
+    assert sorted(r.id for r in kept.collect()) == ["2", "3"]
+
+
+def test_one_advisory_in_several_versions_is_linked(spark):
+    findings = spark.createDataFrame([("1", "p", None), ("2", "q", None)], "id string, package string, cve_id string")
+    advisories = spark.createDataFrame(
+        [("p", "1", "A"), ("p", "2", "A"), ("p", "3", "A"), ("q", "1", "B"), ("q", "1", "C")],
+        "package string, version string, advisory_id string",
+    )
+    assert {r.id: r.cve_id for r in joins.link_cves(findings, advisories).collect()} == {"1": "A", "2": None}
+
+
+def test_the_newest_answer_about_a_finding_counts(spark):
+    findings = spark.createDataFrame([("1", 0.1), ("2", 0.2)], "id string, confidence_score double")
+    answers = spark.createDataFrame([("1", 1, "0.5"), ("1", 3, " 0.9\n"), ("1", 2, "no")], "id string, at int, answer string")
+    scored = maintenance.merge_scores(findings, answers, "id", ["at"]).collect()
+    assert {r.id: r.confidence_score for r in scored} == {"1": 0.9, "2": 0.2} and len(scored) == 2
+
+
+def test_a_request_clears_its_flag_until_the_next_push(spark):
+    schema = "id bigint, last_commit_hash string, needs_scan boolean"
+    repositories = spark.createDataFrame([(1, "a", True), (2, "b", True), (3, None, True), (4, "d", False)], schema)
+    requests = feed.commit_scan_requests(repositories)
+    after = feed.take_requests(repositories, requests)
+    assert after.filter("needs_scan").count() == 0 and after.count() == 4
+    pushed = spark.createDataFrame([(1, "a2", True), (2, "b", True), (3, None, True), (4, "d", False)], schema)
+    assert [r.id for r in feed.take_requests(pushed, requests).filter("needs_scan").collect()] == [1]
+    scans = spark.createDataFrame([(7,)], "id bigint")
+    numbered = feed.with_scan_ids(requests, scans)
+    assert numbered.collect() == numbered.collect() and all(r.id > 7 for r in numbered.collect())
+
+
+def test_chains_of_renames_are_followed_to_their_end(spark):
+    renames = [(1, f"f{i}", f"f{i + 1}") for i in range(9)] + [(1, "x", "y"), (1, "y", "x"), (1, "z", "x"), (2, "f0", "g")]
+    table = spark.createDataFrame(renames, "repo int, old_file string, new_file string")
+    commits = spark.createDataFrame(
+        [(1, "f0"), (1, "f8"), (1, "f9"), (1, "x"), (1, "z"), (1, "other"), (2, "f0")], "repo int, file string"
+    ).withColumn("commit_hash", F.monotonically_increasing_id())
+    followed = quality.follow_renames(commits, table).groupBy("repo", "file").count().collect()
+    assert {(r.repo, r.file): r["count"] for r in followed} == {
+        (1, "f9"): 3,
+        (1, "x"): 1,
+        (1, "z"): 1,
+        (1, "other"): 1,
+        (2, "g"): 1,
+    }
+
+
 def test_withheld_snippets_come_from_the_file(spark):
     rows = raw(spark, *[report("a.py", n, "requires login") for n in (1, 3, 3)], report("b.py", 1, "kept"))
     filled = ingest.ingest(rows, files(spark)).orderBy("position").collect()
@@ -184,23 +277,25 @@ def test_nested_report_pages_hold_everything(spark):
 
 def test_model_inputs_and_the_annotate_hook(spark):
     sources = spark.createDataFrame(
-        [("src/test_a.py", "x"), ("src/b.py", "y"), ("tests/c.py", "z")], "path string, content string"
+        [(1, "src/test_a.py", "x"), (1, "src/b.py", "y"), (1, "tests/c.py", "z"), (2, "src/b.py", "w"), (2, "src/d.py", " \n")],
+        "scan_id bigint, path string, content string",
     )
     known = spark.createDataFrame(
-        [("1", "src/b.py", 2, "late"), ("2", "src/b.py", 1, "early"), ("3", None, 1, "none")],
-        "id string, file_path string, line_number int, description string",
+        [("1", 1, "src/b.py", 2, "late"), ("2", 1, "src/b.py", 1, "early"), ("3", 1, None, 1, "none")],
+        "id string, scan_id bigint, file_path string, line_number int, description string",
     )
     inputs = texts.model_inputs(sources, known)
-    rows = {row.path: row for row in inputs.collect()}
-    assert set(rows) == {"src/test_a.py", "src/b.py"}
-    assert rows["src/b.py"].existing_findings == "- **Line 1:** early\n- **Line 2:** late"
-    assert rows["src/test_a.py"].is_test and not rows["src/b.py"].is_test
+    rows = {(row.scan_id, row.path): row for row in inputs.collect()}
+    assert set(rows) == {(1, "src/test_a.py"), (1, "src/b.py"), (2, "src/b.py")}
+    assert rows[1, "src/b.py"].existing_findings == "- **Line 1:** early\n- **Line 2:** late"
+    assert rows[2, "src/b.py"].existing_findings == ""
+    assert rows[1, "src/test_a.py"].is_test and not rows[1, "src/b.py"].is_test
 
     def stub(batches):
         for batch in batches:
             yield batch[["path"]].assign(answer="{}")
 
-    assert texts.annotate(inputs, stub, "path string, answer string").count() == 2
+    assert texts.annotate(inputs, stub, "path string, answer string").count() == 3
 
 
 def test_sorts(spark):
@@ -246,9 +341,9 @@ def test_file_inventory(spark, tmp_path):
     (tmp_path / "src" / "a.py").write_text("x\n")
     (tmp_path / "Dockerfile").write_text("FROM y")
     rows = store.text_files(store.file_inventory(spark, str(tmp_path))).collect()
-    assert {(row.path, row.name, row.content) for row in rows} == {
-        ("src/a.py", "a.py", "x\n"),
-        ("Dockerfile", "Dockerfile", "FROM y"),
+    assert {(row.path, row.repo, row.name, row.content) for row in rows} == {
+        ("src/a.py", "src", "a.py", "x\n"),
+        ("Dockerfile", None, "Dockerfile", "FROM y"),
     }
 
 
