@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from auditlake.session import written
 
 BIN_BITS = 12  # running sums are windows over 2^12 ranges of the hash
-SUMMARY_ROWS = 1 << 14  # rows the driver reads per refinement, whatever the input
+SUMMARY_ROWS = 1 << 14  # rows the driver reads per refinement (16 a shard for over 1024 shards), whatever the input
 SLOT_PARTS = 8192  # windows that number the rows of all shards
 
 
@@ -78,9 +78,9 @@ class Ends:
         return low
 
 
-def _summary(groups: DataFrame, ranges: list[tuple[int, int]]) -> list[Run]:
-    """First and last end in each of at most ``SUMMARY_ROWS`` (+ 2 a range) equal steps of the ranges."""
-    width = max(1, -(-sum(high - low + 1 for low, high in ranges) // SUMMARY_ROWS))
+def _summary(groups: DataFrame, ranges: list[tuple[int, int]], steps: int) -> list[Run]:
+    """First and last end in each of at most ``steps`` (+ 2 a range) equal steps of the ranges."""
+    width = max(1, -(-sum(high - low + 1 for low, high in ranges) // steps))
     inside = F.lit(False)
     for low, high in ranges:
         inside = inside | F.col("end").between(low, high)
@@ -101,7 +101,8 @@ def _cuts(groups: DataFrame, total: int, shards: int) -> list[int]:
     wherever one may be, and reads the ranges finer in which the cuts of the two
     can still differ, until both agree: the result is exact at any size.
     """
-    ends = Ends(_summary(groups, [(0, total)]))
+    steps, length = max(SUMMARY_ROWS, 16 * shards), total
+    ends = Ends(_summary(groups, [(0, total)], steps))
     while True:
         upper = ends.smallest(shards, ends.known)
         lower = ends.smallest(shards, ends.possible)
@@ -119,7 +120,10 @@ def _cuts(groups: DataFrame, total: int, shards: int) -> list[int]:
                 ranges[-1][1] = max(ranges[-1][1], high)
             else:
                 ranges.append([low, high])
-        finer = _summary(groups, [(low, high) for low, high in ranges])
+        before, length = length, sum(high - low + 1 for low, high in ranges)
+        if 2 * length > before:  # so that ranges always get finer
+            steps *= 2
+        finer = _summary(groups, [(low, high) for low, high in ranges], steps)
         outside = [r for r in ends.runs if not any(low <= r.first and r.last <= high for low, high in ranges)]
         ends = Ends(sorted(outside + finer, key=lambda run: run.first))
 
