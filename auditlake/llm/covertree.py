@@ -170,7 +170,7 @@ def dual(points: np.ndarray, copies: np.ndarray, left: list[Node], right: list[N
                 links[b.rows] += copies[a.rows].sum()
                 forest.join(np.broadcast_to(a.rows[0], len(b.rows)), b.rows)
                 forest.join(a.rows[1:], np.broadcast_to(b.rows[0], len(a.rows) - 1))
-            elif len(a.rows) * len(b.rows) <= DIRECT:
+            elif len(a.rows) * len(b.rows) <= DIRECT or max(a.radius, b.radius) < SLACK:
                 compare(a.rows, b.rows, False)
             else:
                 parts = [n.children(points) if len(n.rows) > 1 and n.radius >= 0.5 * m.radius else [n] for n, m in ((a, b), (b, a))]
