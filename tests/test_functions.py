@@ -66,10 +66,10 @@ def test_language(spark, path, language):
 @pytest.mark.parametrize(
     "url, base, branch",
     [
-        ("https://github.com/user/repo", "https://github.com/user/repo.git", None),
-        ("https://github.com/user/repo.git", "https://github.com/user/repo.git", None),
-        ("https://github.com/user/repo/tree/my-branch", "https://github.com/user/repo.git", "my-branch"),
-        ("https://invalid.com/user/repo", None, None),
+        ("https://github.com/acme-co/till.app", "https://github.com/acme-co/till.app.git", None),
+        ("https://github.com/acme-co/till.app.git", "https://github.com/acme-co/till.app.git", None),
+        ("https://github.com/acme-co/till.app/tree/fix/rounding", "https://github.com/acme-co/till.app.git", "fix/rounding"),
+        ("https://code.acme.example/till/app", None, None),
     ],
 )
 def test_urls(spark, url, base, branch):
@@ -91,12 +91,12 @@ def test_push_url(spark, url, expected):
 
 
 def test_ref_listings(spark):
-    listing = "some_hash\trefs/heads/main\nanother_hash\trefs/heads/dev"
+    listing = "5f0c\trefs/heads/trunk\n91be\trefs/heads/release/7"
     branches = one(spark, lambda c: F.transform(F.split(c, "\n"), text.branch_of_ref), listing)
-    assert branches == ["main", "dev"]
-    assert one(spark, text.primary_branch, "ref: refs/heads/main\tHEAD\nh\tHEAD") == "main"
+    assert branches == ["trunk", "release/7"]
+    assert one(spark, text.primary_branch, "ref: refs/heads/trunk\tHEAD\nh\tHEAD") == "trunk"
     assert one(spark, text.primary_branch, "h\tHEAD") is None
-    assert one(spark, text.first_hash, "some_hash\trefs/heads/main") == "some_hash"
+    assert one(spark, text.first_hash, "5f0c\trefs/heads/trunk") == "5f0c"
     assert one(spark, text.first_hash, "") is None
 
 
