@@ -84,8 +84,13 @@ def _directed(key: Column, order: str) -> Column:
     return key.desc_nulls_last() if order == "desc" else key.asc_nulls_last()
 
 
+# Fixed value: the group of findings without a file.
+PATHLESS = "General"
+SALTS = 16
+
+
 def file_group(path: Column) -> Column:
-    return F.coalesce(F.nullif(path, F.lit("")), F.lit("General"))
+    return F.coalesce(F.nullif(path, F.lit("")), F.lit(PATHLESS))
 
 
 def scan_files(findings: DataFrame) -> DataFrame:
@@ -100,11 +105,16 @@ def scan_files(findings: DataFrame) -> DataFrame:
 def scan_listing(findings: DataFrame) -> DataFrame:
     """Every finding with its file group and that group's size.
 
-    The counts come from a grouped join rather than a window, so the rows of one
-    huge group stay spread over tasks.
+    The counts come from a grouped join rather than a window. Findings of a file are
+    bounded by the file; the pathless ones of a scan are not, so they are dealt over
+    ``SALTS`` keys and their one count is repeated for each.
     """
-    counts = scan_files(findings)
-    return findings.withColumn("file_group", file_group(F.col("file_path"))).join(counts, ["scan_id", "file_group"])
+    pathless = F.col("file_group") == PATHLESS
+    salts = F.when(pathless, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    counts = scan_files(findings).withColumn("_salt", F.explode(salts))
+    salt = F.when(pathless, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int")
+    grouped = findings.withColumn("file_group", file_group(F.col("file_path"))).withColumn("_salt", salt)
+    return grouped.join(counts, ["scan_id", "file_group", "_salt"]).drop("_salt")
 
 
 def tool_totals(findings: DataFrame) -> DataFrame:
