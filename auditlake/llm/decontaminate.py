@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.workers import keep_rows, map_arrow
+from auditlake.llm.workers import keep_rows, map_arrow, with_text
 
 BLOCK_CHARS = 8 << 20  # benchmark text in one automaton
 
@@ -143,13 +143,14 @@ def scan(
     blocks.append(spark.sparkContext.broadcast(tuple(block)))
 
     names = [id, *(keep or [])]
-    rows = docs.select(*(F.col(n).alias(f"_{k}") for k, n in enumerate(names)), F.col(text).alias("_text"))
-    schema = T.StructType([*rows.schema.fields[:-1], *RESULT.fields])
+    rows, _, at = with_text(docs, names, text)
+    schema = T.StructType([*rows.schema.fields[: len(names)], *RESULT.fields])
+    width_of = len(names)
     arrow = [pa.int64(), pa.int64(), pa.list_(pa.string()), *[pa.list_(pa.list_(pa.int64()))] * 2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            folded = [normalised(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            folded = [normalised(t.as_py()) for t in batch.column(at)]
             counts = [0] * len(folded)
             runs = [[] for _ in folded]
             items = [set() for _ in folded]
@@ -165,7 +166,7 @@ def scan(
             spans = [_offsets(t, r) if r else [] for t, r in zip(folded, runs)]
             values = [counts, [sum(b - a for a, b in r) for r in runs], [sorted(x) for x in items], runs, spans]
             columns = [pa.array(v, kind) for v, kind in zip(values, arrow)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width_of], *columns], names=schema.names)
 
     found = map_arrow(rows, run, schema)
     return found.toDF(*names, *RESULT.names)

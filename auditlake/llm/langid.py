@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.workers import keep_rows, map_arrow
+from auditlake.llm.workers import keep_rows, map_arrow, with_text
 
 SAMPLE_ROWS = 3000  # labelled rows the model is fitted on, at most
 BUCKETS = 1 << 15
@@ -188,15 +188,15 @@ def identify(
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages
     names = [id, *(keep or [])]
-    places = [f"_{k}" for k in range(len(names))]
-    rows = docs.select(*(F.col(n).alias(p) for n, p in zip(names, places)), F.col(text).alias("_text"))
-    rows = rows.withColumn("_letters", F.coalesce(F.col("_text").rlike(r"\p{L}"), F.lit(False)))
-    kinds = [f"{p} {rows.schema[p].dataType.simpleString()}" for p in places]
+    rows, kinds, at = with_text(docs, names, text)
+    rows = rows.withColumn("_letters", F.coalesce(F.col(rows.columns[at]).rlike(r"\p{L}"), F.lit(False)))
+
+    places = rows.columns[: len(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts, letters = batch.column(len(names)), batch.column(len(names) + 1)
+            texts, letters = batch.column(at), batch.column(batch.num_columns - 1)
             found = [model.predict(t.as_py()) if model and y.as_py() else ("und", 0.0) for t, y in zip(texts, letters)]
             low = [lang == "und" or score < model.threshold for lang, score in found]
             columns = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64()), pa.array(low, pa.bool_())]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from auditlake.llm.workers import keep_rows, map_arrow
+from auditlake.llm.workers import keep_rows, map_arrow, with_text
 from auditlake.session import written
 
 LABELLED_ROWS = 20_000  # labelled rows the model is fitted on, at most
@@ -364,15 +364,14 @@ def score(docs: DataFrame, grammar: Grammar, text: str = "text", id: str = "doc_
     no kept column's name clashes.
     """
     names = [id, *(keep or [])]
-    places = [f"_{k}" for k in range(len(names))]
-    rows = docs.select(*(F.col(n).alias(p) for n, p in zip(names, places)), F.col(text).alias("_text"))
-    kinds = [f"{p} {rows.schema[p].dataType.simpleString()}" for p in places]
+    rows, kinds, at = with_text(docs, names, text)
+    places = rows.columns[: len(names)]
     shared = docs.sparkSession.sparkContext.broadcast((grammar.insults, grammar.threats, grammar.worth, grammar.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Grammar(*shared.value)
         for batch in batches:
-            scores = pa.array([own.score(t.as_py()) for t in batch.column(len(names))], pa.float64())
+            scores = pa.array([own.score(t.as_py()) for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], scores], names=[*places, "_score"])
 
     return map_arrow(rows, run, ", ".join([*kinds, "_score double"])).toDF(*names, "score")

@@ -14,12 +14,21 @@ from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
+# Whole texts make wide rows: unless the session says otherwise, a batch holds a few MB, in the JVM as in Python.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "8388608"),
+}
+
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the Python workers of the session this package, once an application.
+    """Give the Python workers of the session this package, once an application, and batches of bounded size.
 
     Spark serves the archive from the driver, so workers need no path of it.
     """
+    for key, (default, value) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -39,6 +48,17 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(function, schema)
 
 
+def with_text(docs: DataFrame, names: list[str], text: str) -> tuple[DataFrame, list[str], int]:
+    """``docs`` as columns ``_0``, ``_1``, ... of ``names``, their types, and the place of the text, sent once."""
+    places = [f"_{k}" for k in range(len(names))]
+    columns = [F.col(n).alias(p) for n, p in zip(names, places)]
+    if text not in names:
+        columns.append(F.col(text).alias("_text"))
+    rows = docs.select(*columns)
+    kinds = [f"{p} {rows.schema[p].dataType.simpleString()}" for p in places]
+    return rows, kinds, names.index(text) if text in names else len(names)
+
+
 def keep_rows(found: DataFrame, docs: DataFrame, id: str, condition: Callable[..., Column]) -> DataFrame:
     """The rows of ``docs`` whose results meet a condition, with the columns of ``docs``.
 
