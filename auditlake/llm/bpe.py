@@ -28,10 +28,11 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
 
-NONE = np.int64(1) << 62
+NONE = np.int32((1 << 31) - 1)
 ROW_BYTES = 64  # longer pieces get a tree of their own
-MARKS = list(".,;:!?")
-KEPT = 400_000  # segments a worker remembers between batches, each of at most KEPT_CHARS
+WIDE_ASCII = ["  ", " \n", " \t", " \r", " \v", " \f"]
+MARKS = ".,;:!?"
+KEPT = 200_000  # segments a worker remembers between batches, each of at most KEPT_CHARS
 KEPT_CHARS = 64
 
 
@@ -45,7 +46,8 @@ def _alphabet() -> dict[str, int]:
 class ByteBpe:
     """The tokenizer of one vocabulary file (the JSON of a byte-level BPE)."""
 
-    def __init__(self, spec: bytes):
+    def __init__(self, spec: bytes, decoder: bool = False):
+        """``decoder``: only what decoding needs."""
         read = json.loads(spec)
         alphabet = _alphabet()
         vocab = read["model"]["vocab"]
@@ -57,18 +59,22 @@ class ByteBpe:
                 self.token_bytes[number] = bytes(alphabet[c] for c in token)
         for token, number in added.items():
             self.token_bytes[number] = token.encode()
-        merges = [m.split(" ") if isinstance(m, str) else m for m in read["model"]["merges"]]
         self.size = size
-        self.byte_ids = np.zeros(256, np.int64)
+        self.added = {token: np.array([number], "<u4").tobytes() for token, number in added.items()}
+        if decoder:
+            return
+        merges = [m.split(" ") if isinstance(m, str) else m for m in read["model"]["merges"]]
+        self.byte_ids = np.zeros(256, np.int32)
         for char, byte in alphabet.items():
             self.byte_ids[byte] = vocab[char]
-        keys = np.array([vocab[a] * size + vocab[b] for a, b in merges], np.int64)
-        self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
+        if len(merges) * ROW_BYTES >= NONE or size >= 1 << 16:
+            raise ValueError("vocabularies of up to 65535 tokens fit the trees")
+        keys = np.array([vocab[a] * size + vocab[b] for a, b in merges], np.uint32)
+        self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
         order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.rank_of = dict(zip(keys.tolist(), range(len(keys))))
         self.merged_list = self.merged.tolist()
-        self.added = {token: np.array([number], "<u4").tobytes() for token, number in added.items()}
         longest_first = sorted(map(regex.escape, added), key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(longest_first) + ")") if added else None
         self.pieces = regex.compile(PIECES)
@@ -77,7 +83,7 @@ class ByteBpe:
         self.plain: dict[str, bytes] = {}
 
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * self.size + right
+        key = left.astype(np.uint32) * np.uint32(self.size) + right.astype(np.uint32)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
@@ -87,17 +93,17 @@ class ByteBpe:
         sizes = np.fromiter(map(len, pieces), np.int64, n)
         columns = np.arange(width)
         inside = columns < sizes[:, None]
-        ids = np.zeros((n, width + 1), np.int64)
+        ids = np.zeros((n, width + 1), np.int32)
         ids[:, :width][inside] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
-        after = np.minimum(np.broadcast_to(columns + 1, (n, width)), sizes[:, None]).astype(np.int64)
-        after = np.where(after >= sizes[:, None], width, after)
+        after = np.where(columns + 1 < sizes[:, None], columns + 1, width)
         before = np.broadcast_to(columns - 1, (n, width)).copy()
         alive = inside.copy()
-        tree = np.full((n, 2 * width), NONE, np.int64)
+        tree = np.full((n, 2 * width), NONE, np.int32)
 
         def leaf(row, at, right):
             ranks = self._pair_ranks(ids[row, at], ids[row, right])
-            return np.where((right < width) & (ranks != NONE), ranks * ROW_BYTES + at, NONE)
+            found = (right < width) & (ranks != NONE)
+            return np.where(found, np.where(found, ranks, 0) * np.int32(ROW_BYTES) + at.astype(np.int32), NONE)
 
         rows, starts = np.nonzero(inside)
         tree[rows, width + starts] = leaf(rows, starts, after[rows, starts])
@@ -201,18 +207,14 @@ class ByteBpe:
         another; the pattern cuts all other segments.
         """
         for segments, known, space in ((lead, self.after_space, " "), (plain, self.plain, "")):
-            letters, marked, others = [], [], []
-            for s in segments:
-                if s.isalpha():
-                    letters.append(s)
-                elif s[-1:] in MARKS and s[:-1].isalpha():
-                    marked.append(s)
-                else:
-                    others.append(s)
+            letters = [s for s in segments if s.isalpha()]
+            rest = segments.difference(letters)
+            marked = [s for s in rest if s[:-1].isalpha() and s[-1] in MARKS]
+            others = rest.difference(marked)
             stems = {s[:-1] for s in marked}.difference(known, letters)
             letters.extend(stems)
             known.update(zip(letters, self._ids_of_pieces([space + s for s in letters])))
-            marks = dict(zip(MARKS, self._ids_of_pieces(MARKS)))
+            marks = dict(zip(MARKS, self._ids_of_pieces(list(MARKS))))
             for s in marked:
                 known[s] = known[s[:-1]] + marks[s[-1]]
             cut = [self.pieces.findall(space + s) for s in others]
@@ -221,6 +223,12 @@ class ByteBpe:
             for s, c in zip(others, cut):
                 known[s] = b"".join(map(ids.__getitem__, c))
 
+    def _wide(self, text: str) -> bool:
+        """Whether white space follows a space anywhere."""
+        if text.isascii():
+            return any(pair in text for pair in WIDE_ASCII)
+        return self.wide_space.search(text) is not None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
 
@@ -232,34 +240,40 @@ class ByteBpe:
             if len(known) > KEPT:  # those met first are the frequent ones
                 for s in list(islice(known, KEPT // 2, None)):
                     del known[s]
-        plans, lead, plain = [], set(), set()
+        plans, missing = [], (set(), set())
+        look = (self.plain.get, self.after_space.get)
         for text in texts:
-            parts = []
+            plan: list[list[bytes | None]] = []  # ids of segments, in order
+            gaps = []  # what is not known yet: (segments, ids, places, with a space before)
             for part in self.special.split(text) if self.special else [text]:
                 if part in self.added:
-                    parts.append((part, None))
+                    plan.append([self.added[part]])
                 elif part:
-                    if self.wide_space.search(part):
-                        first, rest = self.pieces.findall(part), []
+                    if self._wide(part):
+                        groups = [(0, self.pieces.findall(part))]
                     else:
                         head, *rest = part.split(" ")
-                        first = [head] if head else []
-                    plain.update(first)
-                    lead.update(rest)
-                    parts.append((first, rest))
-            plans.append(parts)
-        self._learn(lead.difference(self.after_space), plain.difference(self.plain))
-        after_space, whole = self.after_space.__getitem__, self.plain.__getitem__
-        result = [
-            b"".join(
-                self.added[first] if rest is None else b"".join(map(whole, first)) + b"".join(map(after_space, rest))
-                for first, rest in parts
-            )
-            for parts in plans
-        ]
-        for segments, known in ((lead, self.after_space), (plain, self.plain)):
+                        groups = [(0, [head] if head else []), (1, rest)]
+                    for spaced, segments in groups:
+                        found = list(map(look[spaced], segments))
+                        plan.append(found)
+                        if None in found:
+                            places = [k for k, ids in enumerate(found) if ids is None]
+                            missing[spaced].update([segments[k] for k in places])
+                            gaps.append((segments, found, places, spaced))
+            plans.append((plan, gaps))
+        self._learn(missing[1], missing[0])
+        known = (self.plain, self.after_space)
+        result = []
+        for plan, gaps in plans:
+            for segments, found, places, spaced in gaps:
+                ids = known[spaced]
+                for k in places:
+                    found[k] = ids[segments[k]]
+            result.append(b"".join([b"".join(found) for found in plan]))
+        for segments, ids in zip(missing, known):
             for s in [s for s in segments if len(s) > KEPT_CHARS]:
-                known.pop(s, None)
+                ids.pop(s, None)
         return result
 
     def decode(self, ids: bytes) -> str:
@@ -269,8 +283,8 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(spec: bytes) -> ByteBpe:
-    return ByteBpe(spec)
+def tokenizer(spec: bytes, decoder: bool = False) -> ByteBpe:
+    return ByteBpe(spec, decoder)
 
 
 def _spec(docs: DataFrame, path: str):
@@ -279,7 +293,7 @@ def _spec(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(file.read())
 
 
-def pieces_of_batch(column: pa.Array, limit: int = 4 << 20) -> Iterator[list[str]]:
+def pieces_of_batch(column: pa.Array, limit: int = 2 << 20) -> Iterator[list[str]]:
     """The texts of a column in turns of about ``limit`` characters; null is empty."""
     turn, held = [], 0
     for value in column:
@@ -293,9 +307,11 @@ def pieces_of_batch(column: pa.Array, limit: int = 4 << 20) -> Iterator[list[str
         yield turn
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id", decoded: bool = False) -> DataFrame:
     """(id, n_tokens bigint, ids binary) per row: little-endian unsigned 32-bit token ids.
 
+    ``decoded`` adds ``text``: what the ids decode to, in the same pass.
+
     ``path`` is a tokenizer JSON of the byte-level BPE kind. Strings of added
     tokens in a text become those tokens; no token is added. Null and empty texts
     have no ids. Rows are independent: repeats, ties and null ids are kept as they
@@ -313,10 +329,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", id: str = "doc_id") -
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                 keys = batch.column(0).slice(done, len(texts))
                 done += len(texts)
-                yield pa.RecordBatch.from_arrays([keys, counts, pa.array(ids, pa.binary())], names=["_id", "n_tokens", "ids"])
+                columns = [keys, counts, pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "n_tokens", "ids", "text"][: len(columns)])
 
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    return map_arrow(rows, run, f"_id {id_type}, n_tokens bigint, ids binary").withColumnRenamed("_id", id)
+    schema = f"_id {id_type}, n_tokens bigint, ids binary" + ", text string" * decoded
+    return map_arrow(rows, run, schema).withColumnRenamed("_id", id)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", id: str = "doc_id") -> DataFrame:
@@ -325,7 +345,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", id: str = "doc_id")
     id_type = dict(encoded.dtypes)[id]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(spec.value)
+        bpe = tokenizer(spec.value, decoder=True)
         for batch in batches:
             texts = pa.array([bpe.decode(x.as_py() or b"") for x in batch.column(2)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=["_id", "n_tokens", "ids", "text"])

@@ -35,8 +35,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encoded_digests(docs: DataFrame) -> DataFrame:
     """Encode, decode, and digest both."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    both = bpe.decode(bpe.encode(docs, path), path)
-    return both.select(
+    return bpe.encode(docs, path, decoded=True).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

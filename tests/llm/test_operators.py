@@ -231,6 +231,8 @@ def test_encoding_equals_the_library(spark):
     library = Tokenizer.from_file(BPE)
     rows = bpe.decode(bpe.encode(docs(spark, texts), BPE), BPE).collect()
     assert len(rows) == len(texts)
+    at_once = {r.doc_id: (r.n_tokens, r.ids, r.text) for r in bpe.encode(docs(spark, texts), BPE, decoded=True).collect()}
+    assert at_once == {r.doc_id: (r.n_tokens, r.ids, r.text) for r in rows}
     for row in rows:
         ids = library.encode(texts[row.doc_id] or "", add_special_tokens=False).ids
         assert np.frombuffer(row.ids, "<u4").tolist() == ids and row.n_tokens == len(ids)
