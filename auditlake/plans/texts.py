@@ -56,25 +56,28 @@ def annotate(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 
 
 def nested_report(
-    findings: DataFrame, evidence: DataFrame, scans: DataFrame, repositories: DataFrame, page_size: int = 10_000
+    findings: DataFrame,
+    evidence: DataFrame,
+    scans: DataFrame,
+    repositories: DataFrame,
+    page_size: int = 10_000,
+    limit: int = 1_000,
 ) -> DataFrame:
     """Per repository the number of its findings and the findings with their evidence.
 
-    A finding keeps one piece of evidence per type, the last by content, so its list
-    is small. A repository's list is paged: each row holds one page of about
-    ``page_size`` findings next to the repository's total; (repository, page) is the
-    key of the result.
+    A finding keeps all its evidence, by type and content. A repository's list is
+    paged: each row holds one page of about ``page_size`` findings next to the
+    repository's total. Findings with more evidence than ``limit`` come again in
+    further rows, one per segment of it: (repository, page, segment) is the key of
+    the result, and segment 0 holds every finding once.
     """
-    proofs = (
-        evidence.groupBy("finding_id", "type")
-        .agg(F.max("content").alias("content"))
-        .groupBy("finding_id")
-        .agg(F.sort_array(F.collect_list(F.struct("type", "content"))).alias("evidence"))
+    known = evidence.filter(F.col("finding_id").isNotNull())
+    order = ["type", "content", *(c for c in ["id"] if c in evidence.columns)]  # pieces equal in both are alike in the list
+    proofs = ordered_lists(known, ["finding_id"], order, F.struct("type", "content"), limit).select(
+        F.col("finding_id").alias("id"), "segment", F.col("items").alias("evidence")
     )
     owners = scans.select(F.col("id").alias("scan_id"), "repository_id")
-    rows = pages(findings.join(owners, "scan_id"), ["repository_id"], "id", page_size).join(
-        proofs.withColumnRenamed("finding_id", "id"), "id", "left"
-    )
+    rows = pages(findings.join(owners, "scan_id"), ["repository_id"], "id", page_size).join(proofs, "id", "left")
     none: Column = F.array().cast("array<struct<type:string,content:string>>")
     entry = F.struct(
         "id",
@@ -89,8 +92,14 @@ def nested_report(
     )
     names = repositories.select(F.col("id").alias("repository_id"), "name")
     return (
-        rows.groupBy("repository_id", "page", "pages", F.col("group_size").alias("finding_count"))
+        rows.groupBy(
+            "repository_id",
+            "page",
+            "pages",
+            F.coalesce("segment", F.lit(0).cast("bigint")).alias("segment"),
+            F.col("group_size").alias("finding_count"),
+        )
         .agg(F.sort_array(F.collect_list(entry)).alias("findings"))
         .join(names, "repository_id")
-        .select("repository_id", "name", "finding_count", "page", "pages", "findings")
+        .select("repository_id", "name", "finding_count", "page", "pages", "segment", "findings")
     )

@@ -275,6 +275,24 @@ def test_nested_report_pages_hold_everything(spark):
     assert [len(f.evidence) for f in listed if f.id == "f1"] == [1]
 
 
+def test_nested_report_keeps_every_piece_of_evidence(spark):
+    findings = ingest.to_store(
+        spark.createDataFrame([(f"f{i}", 1, f"d{i}") for i in range(3)], "id string, scan_id bigint, description string")
+    )
+    rows = [("a", "f1", "test_output", "x"), ("b", "f1", "test_output", "w"), ("c", "f1", "root_cause_analysis", None)]
+    rows += [("d", "f1", "test_output", "x"), ("e", None, "test_output", "x"), ("f", "f2", "patch", "p")]
+    evidence = spark.createDataFrame(rows, "id string, finding_id string, type string, content string")
+    scans = spark.createDataFrame([(1, 7)], "id bigint, repository_id bigint")
+    repositories = spark.createDataFrame([(7, "r")], "id bigint, name string")
+    pieces = [("root_cause_analysis", None), ("test_output", "w"), ("test_output", "x"), ("test_output", "x")]
+    for table in (evidence, evidence.drop("id")):
+        (row,) = texts.nested_report(findings, table, scans, repositories).collect()
+        assert [(f.id, [tuple(e) for e in f.evidence]) for f in row.findings] == [("f0", []), ("f1", pieces), ("f2", [("patch", "p")])]
+    parts = texts.nested_report(findings, evidence, scans, repositories, limit=3).orderBy("segment").collect()
+    assert [(p.segment, p.finding_count, [f.id for f in p.findings]) for p in parts] == [(0, 3, ["f0", "f1", "f2"]), (1, 3, ["f1"])]
+    assert [tuple(e) for p in parts for f in p.findings if f.id == "f1" for e in f.evidence] == pieces
+
+
 def test_model_inputs_and_the_annotate_hook(spark):
     sources = spark.createDataFrame(
         [(1, "src/test_a.py", "x"), (1, "src/b.py", "y"), (1, "tests/c.py", "z"), (2, "src/b.py", "w"), (2, "src/d.py", " \n")],
