@@ -8,11 +8,16 @@ distinct training words. Words and passages have their training counts,
 discounted, and what the discount leaves goes to the arcs below:
 
     lattice(w) = sum over segmentations of w of the product of piece probabilities
-    P(w) = max(c(w) - D, 0) / N + D V / N * ((1 - e) lattice(w) + e [w is the end])
+    P(w) = max(c(w) - D, 0) / N + D V / N * ((1 - 2e) lattice(w) + e [w is the end] + e [w is a line break])
     P(p) = max(c(p) - D', 0) / M + D' V' / M * product of P(w) over the words of p
 
-A passage ends where a word ends in a full stop after one of a few letters, or
-with the text, whose end is a token of its last passage. Each level sums to 1.
+A passage ends at every sentence end and every line break. A sentence ends where
+a word ends in a sentence mark of any script, closing quotes and brackets
+included, and after the marks beyond ASCII also inside what white space leaves
+one word (Chinese, Japanese). Words cut there are units of their own for the
+lattice; a line break without a mark before it is a token of the passage it
+ends, the end of a text closes its last line and is a passage of its own. The
+base score knows nothing of this: it counts words. Each level sums to 1.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +43,28 @@ from auditlake.session import written
 LONGEST = 16  # bytes of a piece
 FREQUENT = 200_000  # words whose scores every task holds; all others are joined
 ROW = 64  # longer words have a recursion of their own
-END_SHARE = 0.001  # of the lattice's distribution
+END_SHARE = 0.001  # of the lattice's distribution, for the end of a text and for a line break each
+JOINED_SHARE = 0.5  # of a unit that ends in a mark beyond ASCII, without white space after it
 FLUSH = 400_000  # distinct words a task counts before it passes them on
 SPACE = b" \t\n\x0b\x0c\r"
-PASSAGE_END = re.compile(rb"(?<=[d-h]\.) ")
+BREAK = b"\n"  # a line break as a token
+JOINED = b"\v"  # ends a unit that its word goes on after
+# Unicode's sentence terminals beyond ASCII, ellipsis, Greek question mark, line and paragraph separators; closing marks.
+MARKS = "".join(
+    chr(c)
+    for x in (
+        "37E 589 61D-61F 6D4 700-702 7F9 837 839 83D-83E 964-965 104A-104B 1362 1367-1368 166E 1735-1736 17D4-17D5 1803 1809 1944-1945 "
+        "1AA8-1AAB 1B5A-1B5B 1B5E-1B5F 1B7D-1B7F 1C3B-1C3C 1C7E-1C7F 2026 203C-203D 2047-2049 2E2E 2E3C 2E53-2E54 3002 A4FF A60E-A60F "
+        "A6F3 A6F7 A876-A877 A8CE-A8CF A92F A9C8-A9C9 AA5D-AA5F AAF0-AAF1 ABEB FE52 FE56-FE57 FF01 FF0E FF1F FF61 10A56-10A57 10F55-10F59 "
+        "10F86-10F89 11047-11048 110BE-110C1 11141-11143 111C5-111C6 111CD 111DE-111DF 11238-11239 1123B-1123C 112A9 1144B-1144C "
+        "115C2-115C3 115C9-115D7 11641-11642 1173C-1173E 11944 11946 11A42-11A43 11A9B-11A9C 11C41-11C42 11EF7-11EF8 11F43-11F44 "
+        "16A6E-16A6F 16AF5 16B37-16B38 16B44 16E98 1BC9F 1DA88 85 2028-2029"
+    ).split()
+    for c in range(int(x.split("-")[0], 16), int(x.split("-")[-1], 16) + 1)
+)
+CLOSING = "\"')]}»›”’」』】）］｝〉》〕"
+SENTENCE_END = re.compile(f"[.!?{MARKS}][.!?{MARKS}{re.escape(CLOSING)}]*+")
+BEYOND = re.compile(f"[{MARKS}]")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -48,8 +72,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _passage_hash(passage: bytes) -> int:
-    return xxh64_intdigest(passage) - (1 << 63)
+def _passage_hash(units: list[bytes]) -> int:
+    return xxh64_intdigest(b" ".join(units)) - (1 << 63)
 
 
 def _hashes(piece: bytes) -> int:
@@ -183,56 +207,106 @@ def estimated(pieces: list[bytes], weights: np.ndarray, end: float) -> Vocabular
     return Vocabulary(pieces, np.log(weights / sums) + np.where(first, 0.0, math.log(1 - end)), math.log(end))
 
 
-def passages_of(text: str | None) -> list[bytes]:
-    """The words of a text, blank-separated, cut into passages; the last one carries the end as a line break."""
-    parts = PASSAGE_END.split(b" ".join(words_of(text)))
-    parts[-1] += b"\n"
+def passages_of(text: str | None) -> list[list[bytes]]:
+    """The units of each passage of a text; its end, a passage of its own, is left out.
+
+    Units are the words but where a sentence ends inside a word, and the token ``BREAK``.
+    """
+    text = (text or "").replace("\r", "\n").replace("\v", "\n").replace("\f", "\n")
+
+    def end(found: re.Match) -> str:
+        mark, after = found[0], text[found.end() : found.end() + 1]
+        if not after or after in " \t\n":
+            return mark + "\r"
+        return mark + "\v\r" if not mark.isascii() and BEYOND.search(mark) else mark
+
+    parts = []
+    for line in SENTENCE_END.sub(end, text).encode("utf-8", "surrogatepass").lower().split(b"\n"):
+        *ended, rest = line.split(b"\r")
+        for sentence in ended:
+            units = sentence.split()
+            if sentence.endswith(JOINED):
+                units[-1] += JOINED
+            parts.append(units)
+        if units := rest.split():
+            parts.append([*units, BREAK])
     return parts
 
 
+def _joined(parts: list[list[bytes]]) -> bool:
+    """Whether a sentence ends inside a word."""
+    return any(units[-1].endswith(JOINED) for units in parts)
+
+
+def unit_logs(model: Vocabulary, units: list[bytes]) -> np.ndarray:
+    """The log probability of each unit below the counts; the end of a text has what is missing to 1."""
+    plain = [u.removesuffix(JOINED) for u in units]
+    logs = model.log_likelihoods(plain) + math.log(1 - 2 * END_SHARE)
+    for k, unit in enumerate(units):
+        if unit == BREAK:
+            logs[k] = math.log(END_SHARE)
+        elif not unit.isascii():
+            text = plain[k].decode("utf-8", "surrogatepass")
+            if BEYOND.search(text, len(text.rstrip(".!?" + MARKS + CLOSING))):
+                logs[k] += math.log(JOINED_SHARE if unit.endswith(JOINED) else 1 - JOINED_SHARE)
+    return logs
+
+
 def token_counts(docs: DataFrame, train: str, text: str = "text") -> DataFrame:
-    """(word binary, passage bigint, c): words and passages with their counts where ``train`` holds.
+    """(word binary, passage bigint, c, u): words and passages with their counts where ``train`` holds.
 
-    A row has a word or the hash of a passage. Words of other rows have count 0.
+    A row has a word or the hash of a passage. ``c`` counts a word as a word (or the
+    passage), ``u`` as a unit. Words and units of other rows have count 0.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        units: Counter[bytes] = Counter()
+        more: Counter[bytes] = Counter()  # words less units, where they differ
         passages: Counter[int] = Counter()
         others: set[bytes] = set()
 
         def out():
-            words = [*counts, *others.difference(counts)]
+            words = [*units, *others.union(more).difference(units)]
             hashes = pa.array(list(passages), pa.int64())
             word = pa.concat_arrays([pa.array(words, pa.binary()), pa.nulls(len(hashes), pa.binary())])
             passage = pa.concat_arrays([pa.nulls(len(words), pa.int64()), hashes])
-            c = pa.array([*(counts[w] for w in words), *passages.values()], pa.int64())
-            for x in (counts, passages, others):
+            c = pa.array([*(0 if w == BREAK else units[w] + more[w] for w in words), *passages.values()], pa.int64())
+            u = pa.array([*(units[w] for w in words), *[0] * len(hashes)], pa.int64())
+            for x in (units, more, passages, others):
                 x.clear()
-            return pa.RecordBatch.from_arrays([word, passage, c], names=["word", "passage", "c"])
+            return pa.RecordBatch.from_arrays([word, passage, c, u], names=["word", "passage", "c", "u"])
 
         for batch in batches:
             for value, learn in zip(batch.column(0), batch.column(1).to_pylist()):
+                value = value.as_py()
+                parts = passages_of(value)
+                joined = _joined(parts)
                 if learn:
-                    parts = passages_of(value.as_py())
                     passages.update(map(_passage_hash, parts))
                     for part in parts:
-                        counts.update(part.split())
+                        units.update(part)
+                    if joined:
+                        more.update(words_of(value))
+                        for part in parts:
+                            more.subtract(part)
                 else:
-                    others.update(words_of(value.as_py()))
-                if len(counts) + len(others) + len(passages) > FLUSH:
+                    for part in parts:
+                        others.update(part)
+                    if joined:
+                        others.update(words_of(value))
+                if len(units) + len(more) + len(others) + len(passages) > FLUSH:
                     yield out()
         yield out()
 
     source = docs.select(F.col(text).alias("t"), F.col(train).alias("train"))
-    rows = map_arrow(source, counted, "word binary, passage bigint, c bigint")
-    return rows.groupBy("word", "passage").agg(F.sum("c").alias("c"))
+    rows = map_arrow(source, counted, "word binary, passage bigint, c bigint, u bigint")
+    return rows.groupBy("word", "passage").agg(F.sum("c").alias("c"), F.sum("u").alias("u"))
 
 
-def _discount(counts: DataFrame) -> tuple[int, int, float]:
+def _discount(counts: DataFrame, c: str = "c") -> tuple[int, int, float]:
     """(sum, kinds above 0, discount) of a column of counts; the discount from the kinds met once and twice."""
-    of = lambda n: F.sum((F.col("c") == n).cast("bigint"))
-    found = [x or 0 for x in counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("bigint")), of(1), of(2)).head()]
+    of = lambda n: F.sum((F.col(c) == n).cast("bigint"))
+    found = [x or 0 for x in counts.agg(F.sum(c), F.sum((F.col(c) > 0).cast("bigint")), of(1), of(2)).head()]
     return found[0], found[1], found[2] / (found[2] + 2 * found[3]) if found[2] and found[3] else 0.5
 
 
@@ -260,12 +334,15 @@ def score(docs: DataFrame, path: str, train: str, text: str = "text", id: str =
     id_type = dict(docs.dtypes)[id]
     source = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
     counts = written(token_counts(source, "_train", "_text"), "token-counts")
-    words = counts.filter(F.col("word").isNotNull()).select("word", "c")
+    words = counts.filter(F.col("word").isNotNull()).select("word", "c", "u")
     passages = counts.filter(F.col("passage").isNotNull()).select("passage", "c")
-    word_tokens, known, discount = _discount(words)
+    word_tokens, known, _ = _discount(words)
+    unit_tokens, unit_kinds, discount = _discount(words, "u")
     n_passages, passage_kinds, passage_discount = _discount(passages)
     trained = source.filter("_train").count()
     tokens, kinds = word_tokens + trained, known + (trained > 0)
+    n_units, unit_kinds = unit_tokens + trained, unit_kinds + (trained > 0)
+    n_passages, passage_kinds = n_passages + trained, passage_kinds + (trained > 0)
 
     pieces = vocabulary(path)
     start = spark.sparkContext.broadcast((pieces.pieces, pieces.logs, pieces.end))  # the vocabulary: a few MB
@@ -274,38 +351,40 @@ def score(docs: DataFrame, path: str, train: str, text: str = "text", id: str =
         model = Vocabulary(*start.value)
         total = np.zeros(len(model.pieces))
         for batch in batches:
-            total += model.expected(batch.column(0).to_pylist())
+            total += model.expected([w.removesuffix(JOINED) for w in batch.column(0).to_pylist()])
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
 
-    learned = map_arrow(words.filter("c > 0").select("word"), expectations, "piece bigint, uses double")
+    learned = map_arrow(words.filter((F.col("u") > 0) & (F.col("word") != F.lit(BREAK))).select("word"), expectations, "piece bigint, uses double")
     uses = np.zeros(len(pieces.pieces))
     for row in learned.groupBy("piece").agg(F.sum("uses").alias("uses")).toLocalIterator():  # one row a piece
         uses[row["piece"]] = row["uses"]
     inner = uses[[p[0] != 0x20 for p in pieces.pieces]].sum()
-    pieces = estimated(pieces.pieces, uses + 20 * np.exp(pieces.logs) + 1e-3, (known + 1) / (known + inner + 5))
+    pieces = estimated(pieces.pieces, uses + 20 * np.exp(pieces.logs) + 1e-3, (unit_kinds + 1) / (unit_kinds + inner + 5))
     model = spark.sparkContext.broadcast((pieces.pieces, pieces.logs, pieces.end))
 
-    back_off = discount * kinds / tokens if tokens else 1.0
+    back_off = discount * unit_kinds / n_units if n_units else 1.0
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Vocabulary(*model.value)
         for batch in batches:
-            logs = lattice.log_likelihoods(batch.column(0).to_pylist()) + math.log(1 - END_SHARE)
-            c = batch.column(1).to_numpy()
+            logs = unit_logs(lattice, batch.column(0).to_pylist())
+            u = batch.column(2).to_numpy()
             with np.errstate(divide="ignore"):
-                counted = np.log(np.maximum(c - discount, 0) / max(tokens, 1))
+                counted = np.log(np.maximum(u - discount, 0) / max(n_units, 1))
             total = np.logaddexp(counted, logs + math.log(back_off)) / math.log(10)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], names=["word", "c", "log"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], names=["word", "c", "u", "log"])
 
-    lexicon = written(map_arrow(words, scored, "word binary, c bigint, log double"), "word-scores")
+    lexicon = written(map_arrow(words, scored, "word binary, c bigint, u bigint, log double"), "word-scores")
     base_all = math.log10(tokens + 0.1 * (kinds + 1))
     base = (F.log10(F.col("c") + 0.1) - F.lit(base_all)).alias("base")
-    lexicon = lexicon.select("word", base, "log", (F.col("c") > 0).cast("bigint").alias("known"), "c")
+    lexicon = lexicon.select("word", base, "log", (F.col("c") > 0).cast("bigint").alias("known"), F.greatest("c", "u").alias("c"))
     top = lexicon.orderBy(F.desc("c"), "word").limit(FREQUENT).drop("c").toArrow()
     frequent = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), zip(*(top[c].to_pylist() for c in ("base", "log", "known"))))))
-    end = max(trained - discount, 0) / max(tokens, 1) + back_off * END_SHARE
-    end_entry = (math.log10(trained + 0.1) - base_all, math.log10(end), int(trained > 0))
+    end = max(trained - discount, 0) / max(n_units, 1) + back_off * END_SHARE
+    left_over = passage_discount * passage_kinds / n_passages if n_passages else 1.0
+    end_log = math.log10(max(trained - passage_discount, 0) / max(n_passages, 1) + left_over * end)
+    end_base, end_known = math.log10(trained + 0.1) - base_all, int(trained > 0)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = frequent.value.get
@@ -313,64 +392,91 @@ def score(docs: DataFrame, path: str, train: str, text: str = "text", id: str =
         for batch in batches:
             out = []
             for value in batch.column(1):
-                n_tokens, base, _, found = 1, end_entry[0], 0, end_entry[2]
-                hashes, logs, rest = [], [], ([], [], [])
-                for at, part in enumerate(passages_of(value.as_py())):
-                    part_words = part.split()
-                    n_tokens += len(part_words)
-                    log, rare = 0.0, Counter()
-                    for word in part_words:
-                        entry = look(word)
+                value = value.as_py()
+                parts = passages_of(value)
+                joined = _joined(parts)
+                n_tokens, base, found = 1, end_base, end_known
+                hashes, logs, rest = [], [], ([], [], [], [])
+
+                def rare(units: Counter, at: int, as_word: bool, as_unit: bool):
+                    rest[0].extend(units)
+                    rest[1].extend(units.values() if as_word else [0] * len(units))
+                    rest[2].extend(units.values() if as_unit else [0] * len(units))
+                    rest[3].extend([at] * len(units))
+
+                for at, part in enumerate(parts):
+                    log, missed = 0.0, Counter()
+                    for unit in part:
+                        entry = look(unit)
                         if entry is None:
-                            rare[word] += 1
+                            missed[unit] += 1
                         else:
-                            base += entry[0]
                             log += entry[1]
-                            found += entry[2]
+                            if not joined and unit != BREAK:
+                                base += entry[0]
+                                found += entry[2]
+                    if not joined:
+                        n_tokens += len(part) - (part[-1] == BREAK)
                     hashes.append(_passage_hash(part))
                     logs.append(log)
-                    rest[0].extend(rare)
-                    rest[1].extend(rare.values())
-                    rest[2].extend([at] * len(rare))
-                logs[-1] += end_entry[1]
+                    if BREAK in missed:
+                        rare(Counter({BREAK: missed.pop(BREAK)}), at, False, True)
+                    rare(missed, at, not joined, True)
+                if joined:  # words differ from units
+                    missed = Counter()
+                    for word in words_of(value):
+                        n_tokens += 1
+                        entry = look(word)
+                        if entry is None:
+                            missed[word] += 1
+                        else:
+                            base += entry[0]
+                            found += entry[2]
+                    rare(missed, 0, True, False)
                 out.append((task + number, n_tokens, found, base, hashes, logs, *rest))
                 number += 1
-            lists = [pa.list_(t) for t in (pa.int64(), pa.float64(), pa.binary(), pa.int64(), pa.int64())]
+            lists = [pa.list_(t) for t in (pa.int64(), pa.float64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), *lists]
             columns = [pa.array(list(x), t) for x, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=names)
 
-    names = ["_id", "_train", "row", "n_tokens", "n_known", "base", "hashes", "logs", "words", "counts", "places"]
+    names = ["_id", "_train", "row", "n_tokens", "n_known", "base", "hashes", "logs", "words", "counts", "uses", "places"]
     schema = f"""_id {id_type}, _train boolean, row bigint, n_tokens bigint, n_known bigint, base double, hashes array<bigint>,
-        logs array<double>, words array<binary>, counts array<bigint>, places array<bigint>"""
+        logs array<double>, words array<binary>, counts array<bigint>, uses array<bigint>,
+        places array<bigint>"""
     rows = written(map_arrow(source.select("_id", "_text", "_train"), read, schema), "frequent-scores")
 
-    zipped = F.explode(F.arrays_zip("words", "counts", "places"))
+    zipped = F.explode(F.arrays_zip("words", "counts", "uses", "places"))
     rest = rows.select("row", zipped.alias("x")).select(
-        "row", F.col("x.places").alias("place"), F.col("x.words").alias("word"), F.col("x.counts").alias("n")
+        "row", F.col("x.places").alias("place"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"), F.col("x.uses").alias("u")
     )
     n = F.col("n")
-    rest = rest.join(lexicon.drop("c"), "word").groupBy("row", "place").agg(
-        F.sum(n * F.col("known")).alias("more_known"), F.sum(n * F.col("base")).alias("more_base"), F.sum(n * F.col("log")).alias("more_log")
-    )
-    parts = rows.select("row", F.posexplode(F.arrays_zip("hashes", "logs")).alias("place", "x")).select(
-        "row", F.col("place").cast("bigint").alias("place"), F.col("x.hashes").alias("passage"), F.col("x.logs").alias("log")
-    )
+    more = F.struct("place", (F.col("u") * F.col("log")).alias("log"))
+    rest = rest.join(lexicon.drop("c"), "word").groupBy("row").agg(
+        F.sum(n * F.col("known")).alias("more_known"), F.sum(n * F.col("base")).alias("more_base"), F.collect_list(more).alias("more")
+    )  # one row a text, no longer than the text
+    filled = written(rows.drop("words", "counts", "uses", "places").join(rest, "row", "left"), "filled-scores")
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, sizes = batch.column(0).to_numpy(), pc.list_value_length(batch.column(1)).to_numpy()
+            logs = batch.column(2).flatten().to_numpy().copy()
+            starts = np.cumsum(sizes) - sizes
+            held = pc.fill_null(pc.list_value_length(batch.column(3)), 0).to_numpy()
+            places, logs_of = batch.column(3).flatten().flatten()
+            np.add.at(logs, np.repeat(starts, held) + places.to_numpy(), logs_of.to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row, sizes)), batch.column(1).flatten(), pa.array(logs)], names=["row", "passage", "log"])
+
+    parts = map_arrow(filled.select("row", "hashes", "logs", "more").filter(F.size("hashes") > 0), dealt, "row bigint, passage bigint, log double")
     counted_log = F.log10((F.col("c") - F.lit(passage_discount)) / F.lit(float(max(n_passages, 1))))
-    left = F.lit(math.log10(passage_discount * passage_kinds / n_passages) if n_passages else 0.0)
+    left = F.lit(math.log10(left_over))
     sums = (
-        parts.join(rest, ["row", "place"], "left")
-        .join(passages, "passage", "left")
-        .select(
-            "row",
-            "more_known",
-            "more_base",
-            _log_sum(counted_log, left + F.col("log") + F.coalesce("more_log", F.lit(0.0))).alias("part_log"),
-        )
+        parts.join(passages, "passage", "left")
+        .select("row", _log_sum(counted_log, left + F.col("log")).alias("part_log"))
         .groupBy("row")
-        .agg(F.sum("more_known").alias("more_known"), F.sum("more_base").alias("more_base"), F.sum("part_log").alias("score"))
+        .agg(F.sum("part_log").alias("score"))
     )
-    whole = rows.select("_id", "_train", "row", "n_tokens", "n_known", "base").join(sums, "row")
+    whole = filled.select("_id", "_train", "row", "n_tokens", "n_known", "base", "more_known", "more_base").join(sums, "row", "left")
     return whole.select(
         F.col("_id").alias(id),
         F.col("_train").alias("train"),
@@ -378,5 +484,5 @@ def score(docs: DataFrame, path: str, train: str, text: str = "text", id: str =
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.coalesce("score", F.lit(0.0)) + F.lit(end_log)).alias("score"),
     )

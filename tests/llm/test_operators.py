@@ -386,6 +386,32 @@ def test_scores_equal_one_computed_from_the_counts(spark, monkeypatch, frequent)
         assert all(math.isclose(other[i], r.score, rel_tol=1e-9) for i, r in rows.items())
 
 
+def test_passages_end_at_every_sentence_and_line():
+    units = lambda text: [b" ".join(p).decode() for p in lm_score.passages_of(text)]
+    assert units("To a. Or b! (Is it c?) A\u0416.\r\nrow one 3.14 a.b\n\n | x | y") == ["to a.", "or b!", "(is it c?)", "a\u0416.", "row one 3.14 a.b \n", "| x | y \n"]
+    assert units("甲乙。丙丁！「戊。」 己") == ["甲乙。\v", "丙丁！\v", "「戊。」", "己 \n"]
+    assert units("क ख। ग؟ ") == ["क ख।", "ग؟"] and units(None) == units(" \n") == []
+    assert len(units("." * 100_000 + "x")) == 1
+
+
+@pytest.mark.parametrize("frequent", [3, 200_000])
+def test_recurring_passages_score_better_in_any_script(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lm_score, "FREQUENT", frequent)
+    rng = random.Random(21)
+    kana = [chr(c) for c in range(0x3042, 0x3090)]
+    letters = [chr(c) for c in range(0x430, 0x450)]
+    of = lambda pool, blank: blank.join("".join(rng.choice(pool) for _ in range(6)) for _ in range(8))
+    for end, pool, blank in [("! ", "klmnop", " "), ("\n", "klmnop", " "), (". ", letters, " "), ("。", kana, "")]:
+        fresh = lambda: of(pool, blank)
+        passage, other = fresh(), fresh()
+        texts = [fresh() + end + passage + end + fresh() + end + other[: len(other) // 2] + fresh() + end for _ in range(20)]
+        texts += [fresh() + end + passage + end + fresh(), fresh() + end + fresh() + end + fresh()]
+        table = docs(spark, texts).withColumn("train", F.col("doc_id") < 20)
+        rows = {r.doc_id: r for r in lm_score.score(table, RANKS, "train").collect()}
+        assert all(r.n_tokens == len(lm_score.words_of(texts[i])) + 1 for i, r in rows.items())
+        assert rows[20].score > rows[21].score + 20, end
+
+
 def test_without_training_the_lattice_scores(spark):
     table = docs(spark, ["a b", None]).withColumn("train", F.lit(False))
     rows = lm_score.score(table, RANKS, "train").collect()

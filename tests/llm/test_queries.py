@@ -68,6 +68,16 @@ def test_language_model_beats_counts_on_held_out_rows(spark, sf_dir, texts):
     assert all(r.score < 0 and np.isfinite(r.score) for r in rows)
 
 
+def test_held_out_scores_beat_the_base_score(spark, sf_dir):
+    """On sf0.01: below it a quarter of the held-out words are unseen, whose spelling the base score doesn't pay for."""
+    larger = sf_dir if not sf_dir.rstrip("/").endswith("sf0.001") else sf_dir.replace("sf0.001", "sf0.01")
+    rows = [r for r in QUERIES["op7_lm_score"](spark, larger).collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in rows)
+    score, base = (sum(r[c] for r in rows) / tokens for c in ("score", "base_score"))
+    print(f"log10 a token, held-out rows: score {score:.3f}, base {base:.3f}")
+    assert score > base
+
+
 def test_packed_rows_hold_every_token(spark, sf_dir, texts):
     tokens = QUERIES["op4_bpe"](spark, sf_dir).selectExpr("sum(n_tokens + 1)").first()[0]
     rows = QUERIES["op9_packing"](spark, sf_dir).collect()
