@@ -3,8 +3,10 @@
 The tags of a page make a tree of containers and blocks. A paragraph earns points
 for its length and its commas and passes them to its parent, half to the
 grandparent, and less to those above; a container's points are discounted by the
-share of its text that is in links. The best container is kept with the siblings
-that score well beside it; boilerplate containers inside are left out.
+share of its text that is in links. The best container is kept with what is not
+boilerplate or links in the same wrapper; boilerplate containers inside are left
+out. Around a container that is named as content, or right in the body, the
+siblings kept are those that score well, prose, and what lies between these.
 """
 
 from __future__ import annotations
@@ -59,7 +61,8 @@ UNWANTED = re.compile(
     re.I,
 )
 WANTED = re.compile(r"(?:^|[\s_-])(?:article\w*|main|content|post|entry|story|body|text)(?:$|[\s_-])", re.I)
-SIBLING_SHARE = 0.2  # of the best score that a kept sibling needs
+SIBLING_SHARE = 0.2  # of the best score that a sibling needs to be kept outside the wrapper
+LINKED = 0.3  # share of the text in links from which a sibling is no prose
 SHORT = 25  # characters below which a paragraph earns nothing
 
 
@@ -161,8 +164,8 @@ def _in_article(element: Element) -> bool:
 
 
 def _dropped(element: Element) -> bool:
-    """Boilerplate by element or by name; the header of an article is its title and stays."""
-    if element.name == "header" and not element.unwanted and _in_article(element):
+    """Boilerplate by element or by name; the header of an article is its title and stays, whatever its name."""
+    if element.name == "header" and _in_article(element):
         return False
     return element.name in DROPPED or (element.unwanted and not element.wanted and element.name not in ("body", "html", "article", "main"))
 
@@ -227,6 +230,43 @@ def _scored(root: Element) -> Element | None:
     return best
 
 
+def _top(element: Element) -> bool:
+    return element.parent is None or element.name in ("body", "html")
+
+
+def _with_siblings(child: Element, inner: Element, least: float) -> Element:
+    """The parent of an element with what is kept in it; ``inner`` stands for the element itself."""
+    groups: list[list[Element | str]] = []  # blocks, and runs of what is in line
+    inline = False
+    for part in child.parent.parts:
+        if isinstance(part, Element) and _dropped(part):
+            continue
+        block = part is child or (isinstance(part, Element) and part.name in BLOCKS)
+        if inline and not block:
+            groups[-1].append(part)
+        else:
+            groups.append([part])
+        inline = not block
+
+    chosen, prose = [], []
+    for group in groups:
+        elements = [p for p in group if isinstance(p, Element)]
+        chars = sum(p.chars for p in elements) + sum(len(p.strip()) for p in group if isinstance(p, str))
+        prose.append(chars > 0 and sum(p.linked for p in elements) < LINKED * chars)
+        named = any(p.name in ("p", "h1", "h2", "h3", "blockquote", "pre", "ul", "ol", "table") for p in elements)
+        chosen.append(group[0] is child or any(p.score >= least for p in elements) or (named and prose[-1]))
+    if not _top(child.parent) and not child.wanted:  # one wrapper
+        first, last = 0, len(groups)
+    else:
+        first, last = chosen.index(True), len(chosen) - chosen[::-1].index(True)
+    parts: list[Element | str] = []
+    for k, group in enumerate(groups):
+        bare = isinstance(group[0], Element) and group[0].name in BLOCKS and not group[0].chars  # a line break or the like
+        if chosen[k] or bare or (first <= k < last and prose[k]):
+            parts += [inner if p is child else p for p in group]
+    return Element(child.parent.name, child.parent.parent, parts=parts)
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: its blocks in order, joined by one blank; empty if there is none."""
     if not page:
@@ -249,14 +289,14 @@ def main_text(page: str | None) -> str:
         if best.parent is not None and best.name == "article":
             kept = [p for p in best.parent.parts if isinstance(p, Element) and not _dropped(p) and (p is best or p.name == "article")]
     else:
-        least = max(1.0, SIBLING_SHARE * best.score)
-        kept = []
-        for part in best.parent.parts:
-            if isinstance(part, Element) and not _dropped(part):
-                density = part.linked / part.chars if part.chars else 0.0
-                prose = part.name in ("p", "h1", "h2", "h3", "blockquote", "pre", "ul", "ol", "table") and density < 0.3
-                if part is best or part.score >= least or (prose and part.chars):
-                    kept.append(part)
+        kept, at = [best], best
+        while True:
+            kept, at = [_with_siblings(at, kept[0], max(1.0, SIBLING_SHARE * best.score))], at.parent
+            above = at
+            while not _top(above) and not above.parent.wanted:
+                above = above.parent
+            if _top(at) or _top(above) or _top(above.parent):
+                break
     return " ".join(text for element in kept for text in blocks(element))
 
 

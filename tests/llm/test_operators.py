@@ -328,6 +328,26 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = ("many words, and more " * 20).strip()
+LINKS = "<div><a href=x>one link</a> <a href=y>another link</a></div>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><div class=page-content><section><p>{LONG}</p></section><section><h4>Note</h4><p>Short.</p></section></div></body>", f"{LONG} Note Short."),
+        (f"<body><div><section><p>First.</p></section>{LINKS}<section><p>{LONG}</p></section><div class=share>s</div></div></body>", f"First. {LONG}"),
+        (f"<body><div>In <b>line</b>, <a href=x>l</a>!<br>More<section><p>{LONG}</p></section></div></body>", f"In line, l! More {LONG}"),
+        (f"<body><div class=content><div><section><p>{LONG}</p></section></div><div><section>Short.</section></div></div><div>Own site</div></body>", f"{LONG} Short."),
+        (f"<body><div>Own site</div><div><p>{LONG}</p></div><div>Short.</div><div><p>{LONG}</p></div><div>All rights</div></body>", f"{LONG} Short. {LONG}"),
+        (f'<body><article><header class="entry-header"><h1>Title</h1></header><p>{LONG}</p></article></body>', f"Title {LONG}"),
+        (f'<body><header class="header"><h1>Site</h1></header><article><header class="header">Title</header><p>{LONG}</p></article></body>', f"Title {LONG}"),
+    ],
+)
+def test_main_text_keeps_short_sections_and_titles(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages_keep_their_rows(spark):
     rows = [(1, "u", "<p>x</p>"), (1, "u", "<p>x</p>"), (None, None, None), (2, "v", "<" * 5000), (3, "w", "<div>" * 3000 + "deep")]
     table = spark.createDataFrame(rows, "page_id bigint, text string, html string")
