@@ -35,13 +35,15 @@ def normalised(text: str | None) -> bytes:
 class Windows:
     """The automaton over the windows of some items."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int):
+    def __init__(self, items: list[tuple[str | None, str]], width: int):
         self.numbers: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = defaultdict(set)
         for item, text in items:
             words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in normalised(text).split()]
             for start in range(max(1, len(words) - width + 1) if words else 0):
-                found[tuple(words[start : start + width])].add(item)
+                owners = found[tuple(words[start : start + width])]
+                if item is not None:
+                    owners.add(item)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for window, owners in found.items():
             self.automaton.add_word(window, (len(window), sorted(owners)))
@@ -65,7 +67,7 @@ class Windows:
 
 
 @lru_cache(maxsize=2)
-def _windows(items: tuple[tuple[str, str], ...], width: int) -> Windows:
+def _windows(items: tuple[tuple[str | None, str], ...], width: int) -> Windows:
     return Windows(list(items), width)
 
 
@@ -123,8 +125,8 @@ def scan(
     ``items``: ids (as strings, sorted as such) of the items with an occurring
     window; ``runs``: [first, end) of hit words; ``spans``: the same as UTF-8
     offsets of the original text. Null and empty texts have no words; items
-    without words have no windows and items without id are not named. Items that
-    repeat count once. An empty benchmark hits nothing, an empty ``docs`` gives no
+    without words have no windows. Windows of items without id hit like any other,
+    but nothing is named for them. Items that repeat count once. An empty benchmark hits nothing, an empty ``docs`` gives no
     row. ``keep`` names columns to pass through; no name of theirs clashes.
 
     The benchmark goes to the workers in blocks of bounded size, one automaton
@@ -134,7 +136,7 @@ def scan(
     spark = docs.sparkSession
     wanted = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text"))
     blocks, block, held = [], [], 0
-    for row in wanted.filter("item is not null and text is not null").toLocalIterator():
+    for row in wanted.filter("text is not null").toLocalIterator():
         block.append((row["item"], row["text"]))
         held += len(row["text"])
         if held > BLOCK_CHARS:

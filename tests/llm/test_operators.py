@@ -305,6 +305,17 @@ def test_contaminated_documents_go(spark):
     assert decontaminate.clean(docs(spark, texts), table.limit(0)).count() == 5
 
 
+@pytest.mark.parametrize("block", [1, 1 << 23])
+def test_items_without_id_hit_but_are_not_named(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block)
+    table = spark.createDataFrame([(None, "one two three four"), (1, "five six"), (None, "five six"), (None, None)], "item_id int, text string")
+    texts = ["so one two three four", "one two five six", "clean", "one two three"]
+    rows = decontaminate.scan(docs(spark, texts), table).orderBy("doc_id").collect()
+    assert [(r.n_hit, r["items"]) for r in rows] == [(4, []), (2, ["1"]), (0, []), (0, [])]
+    kept = decontaminate.clean(docs(spark, texts), table)
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3]
+
+
 # 6
 
 
