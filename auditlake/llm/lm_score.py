@@ -40,7 +40,6 @@ from xxhash import xxh64_intdigest
 from auditlake.llm.workers import map_arrow
 from auditlake.session import written
 
-LONGEST = 16  # bytes of a piece
 FREQUENT = 200_000  # words whose scores every task holds; all others are joined
 ROW = 64  # longer words have a recursion of their own
 END_SHARE = 0.001  # of the lattice's distribution, for the end of a text and for a line break each
@@ -95,6 +94,7 @@ class Vocabulary:
     end: float
 
     def __post_init__(self):
+        self.longest = max(map(len, self.pieces))
         size = 1 << 18
         while size < 4 * len(self.pieces):
             size *= 2
@@ -125,7 +125,7 @@ class Vocabulary:
         wide = raw.astype(np.uint64) + np.uint64(1)
         n = raw.shape[1]
         key = np.zeros((len(raw), n), np.uint64)
-        for k in range(1, min(LONGEST, n) + 1):
+        for k in range(1, min(self.longest, n) + 1):
             key = key[:, : n - k + 1] * np.uint64(0x100000001B3) + wide[:, k - 1 :]
             yield k, self.find(key.ravel()).reshape(key.shape)
 
@@ -144,23 +144,26 @@ class Vocabulary:
     def _forward(self, raw: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray]]]:
         n = raw.shape[1]
         logs = np.append(self.logs, -np.inf)
-        lattice = [(k, piece, logs[piece]) for k, piece in self.arcs(raw)]
+        lattice = [(k, piece, logs[piece]) for k, piece in self.arcs(raw) if (piece >= 0).any()]  # lengths that occur
         alpha = np.full((len(raw), n + 1), -np.inf)
         alpha[:, 0] = 0.0
         if len(raw) > 1 or n <= ROW:
             for at in range(1, n + 1):
-                for k, _, score in lattice[:at]:
+                for k, _, score in lattice:
+                    if k > at:
+                        break
                     np.logaddexp(alpha[:, at], alpha[:, at - k] + score[:, at - k], out=alpha[:, at])
         else:
-            table = np.full((n + 1, LONGEST), -np.inf)  # by end and length
+            longest = lattice[-1][0]
+            table = np.full((n + 1, longest), -np.inf)  # by end and length
             for k, _, score in lattice:
                 table[k:, k - 1] = score[0]
-            line = np.r_[np.full(LONGEST, -np.inf), np.zeros(1), np.empty(n)]
+            line = np.r_[np.full(longest, -np.inf), np.zeros(1), np.empty(n)]
             for at in range(1, n + 1):
-                paths = line[at : at + LONGEST][::-1] + table[at]
+                paths = line[at : at + longest][::-1] + table[at]
                 top = paths.max()
-                line[at + LONGEST] = top + math.log(np.exp(paths - top).sum()) if top > -np.inf else top
-            alpha[0] = line[LONGEST:]
+                line[at + longest] = top + math.log(np.exp(paths - top).sum()) if top > -np.inf else top
+            alpha[0] = line[longest:]
         return alpha, lattice
 
     def log_likelihoods(self, words: list[bytes]) -> np.ndarray:
@@ -179,7 +182,9 @@ class Vocabulary:
             beta = np.full((len(raw), n + 1), -np.inf)
             beta[:, n] = 0.0
             for at in range(n - 1, -1, -1):
-                for k, _, score in lattice[: n - at]:
+                for k, _, score in lattice:
+                    if k > n - at:
+                        break
                     np.logaddexp(beta[:, at], beta[:, at + k] + score[:, at], out=beta[:, at])
             whole = alpha[:, -1:]
             for k, piece, score in lattice:
@@ -197,7 +202,7 @@ def vocabulary(path: str) -> Vocabulary:
     space = set(SPACE)
     single = {bytes([b]) for b in range(256)}
     ranks = {**dict.fromkeys(single - ranks.keys(), len(ranks)), **ranks}
-    usable = [p for p in ranks if len(p) <= LONGEST and not space.intersection(p[1:]) and (p[0] == 0x20 or p[0] not in space)]
+    usable = [p for p in ranks if not space.intersection(p[1:]) and (p[0] == 0x20 or p[0] not in space)]
     return estimated(usable, np.array([1.0 / (ranks[p] + 100) for p in usable]), 0.2)
 
 

@@ -417,6 +417,16 @@ def test_scores_equal_one_computed_from_the_counts(spark, monkeypatch, frequent)
         assert all(math.isclose(other[i], r.score, rel_tol=1e-9) for i, r in rows.items())
 
 
+def test_lattice_has_the_longest_pieces():
+    model = lm_score.vocabulary(RANKS)
+    assert b" responsibilities" in model.pieces and model.longest > 16
+    pool = [b"responsibilities", b"-" * 18]
+    assert np.allclose(model.log_likelihoods(pool), [naive_lattice(w, model) for w in pool])
+    long = next(p for p in model.pieces if len(p) == model.longest)
+    score = model.logs[model.pieces.index(long)]
+    assert model.log_likelihoods([b"a" + long])[0] >= model.logs[model.pieces.index(b" a")] + score + model.end
+
+
 def test_passages_end_at_every_sentence_and_line():
     units = lambda text: [b" ".join(p).decode() for p in lm_score.passages_of(text)]
     assert units("To a. Or b! (Is it c?) A\u0416.\r\nrow one 3.14 a.b\n\n | x | y") == ["to a.", "or b!", "(is it c?)", "a\u0416.", "row one 3.14 a.b \n", "| x | y \n"]
