@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.functions.paths import is_source_file, is_test_path
+from auditlake.functions.paths import is_config_file, is_source_file, is_test_path
 from auditlake.functions.text import strip
 from auditlake.operators.segments import ordered_lists, pages
 
@@ -50,6 +50,16 @@ def model_inputs(
     )
 
 
+def config_inputs(inventory: DataFrame, files: DataFrame, checkout: str = "scan_id") -> DataFrame:
+    """(checkout, path, content) of the listed configuration files that hold more than white space.
+
+    Both sides keep configuration files only before they meet, so no other content moves.
+    """
+    listed = inventory.filter(is_config_file(F.col("path"))).select(checkout, "path")
+    contents = files.filter(is_config_file(F.col("path")) & (strip(F.col("content")) != "")).select(checkout, "path", "content")
+    return contents.join(listed, [checkout, "path"], "left_semi")
+
+
 def annotate(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """Hook for a user's own model or analyser: ``fn`` maps an iterator of pandas batches."""
     return df.mapInPandas(fn, schema)

@@ -10,6 +10,7 @@ from auditlake.plans import feed as P
 from auditlake.session import shared_path
 from auditlake.sources.adapters import Host
 from auditlake.streaming import feed as S
+from auditlake.streaming import keyed as K
 
 _NOW = "2000-01-01 00:00:00"
 _STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -67,6 +68,20 @@ def commit_state_stream(spark: SparkSession, folder: str) -> DataFrame:
     return S.commit_state(spark, root).select("url", "commit_hash", "event_id", "needs_scan")
 
 
+def commit_state_with_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """The state that pushes and taken requests leave, read as three batches in the order of time."""
+    host, root = Host(spark, folder), shared_path(spark, "followed")
+    events = host.table("events")
+    pushes = _pushes(host)
+    rounds = K.commit_events(pushes, Host.taken_requests(events, pushes))
+    first, last = pushes.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    third = F.floor((F.unix_micros("ts") - F.lit(first)) * 3 / F.lit(max(1, (last or 0) - (first or 0))))
+    for k in range(3):
+        rounds.filter(F.least(F.greatest(third, F.lit(0)), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    K.follow_commits(spark.readStream.schema(rounds.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), root)
+    return K.followed_commits(spark, root).select("url", "commit_hash", "event_id", "needs_scan")
+
+
 def commit_scan_requests(spark: SparkSession, folder: str) -> DataFrame:
     return P.commit_scan_requests(Host(spark, folder).repositories())
 
@@ -121,6 +136,15 @@ def scan_progress_stream(spark: SparkSession, folder: str) -> DataFrame:
     return P.progress(S.rolled_up(spark, root), _totals(host))
 
 
+def scan_progress_until_done(spark: SparkSession, folder: str) -> DataFrame:
+    """Units of work count until a scan has all of them; then it leaves the state."""
+    host, root = Host(spark, folder), shared_path(spark, "units")
+    events = host.event_stream().select(F.col("user_id").alias("scan_id"), F.col("ts").cast("timestamp").alias("ts"))
+    units = events.join(_totals(host), "scan_id", "left")
+    K.count_units(units, root)
+    return K.counted_units(spark, root)
+
+
 def ingested_findings_stream(spark: SparkSession, folder: str) -> DataFrame:
     host, root = Host(spark, folder), shared_path(spark, "reports")
     host.reports().write.parquet(f"{root}/raw")
@@ -193,6 +217,7 @@ QUERIES = [
     new_commits_by_poll,
     new_commits,
     commit_state_stream,
+    commit_state_with_requests,
     commit_scan_requests,
     commit_requests_taken,
     new_scan_ids,
@@ -201,6 +226,7 @@ QUERIES = [
     scan_overview,
     scan_progress,
     scan_progress_stream,
+    scan_progress_until_done,
     ingested_findings_stream,
     ingest_rejects_stream,
     findings_after_delete,

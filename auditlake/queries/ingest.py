@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions import text
+from auditlake.plans import quality_ingest
 from auditlake.sources import quality_reports as Q
 from auditlake.sources import reports as R
 from auditlake.sources import store
@@ -111,6 +112,26 @@ def text_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_FIGURES = ["maintainability_index", "code_coverage", "coupling", "cohesion", "bug_risk_score"]
+
+
+def ingested_quality_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw quality reports as stored metric rows, with the churn of some files."""
+    host = Host(spark, folder)
+    churned = host.table("lineitem").select(
+        F.col("l_orderkey").alias("scan_id"),
+        F.concat(F.lit("src/"), host.line_id()).alias("path"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_partkey") % 5).otherwise(0).alias("code_churn"),
+    )
+    rows, _ = quality_ingest.ingest_quality(host.quality_reports(), churned.dropDuplicates(["scan_id", "path"]))
+    return rows.drop("halstead_volume").withColumns({c: text.half_up(F.col(c), 4) for c in _FIGURES})
+
+
+def quality_report_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    _, rejects = quality_ingest.ingest_quality(Host(spark, folder).quality_reports())
+    return rejects.groupBy("tool", "scanner", "reject_reason").agg(F.count("*").alias("n"))
+
+
 def ref_listings(spark: SparkSession, folder: str) -> DataFrame:
     """Remote listings spelled from scans: the head line, then one line per branch."""
     key = F.md5(F.col("o_orderkey").cast("string"))
@@ -145,6 +166,8 @@ QUERIES = [
     ruby_quality,
     rust_quality,
     text_quality,
+    ingested_quality_metrics,
+    quality_report_rejects,
     ref_listings,
     file_inventory,
 ]

@@ -10,6 +10,7 @@ from auditlake.functions.severity import map_severity, severity_ordinal
 from auditlake.operators.latest import last_scan_by_time
 from auditlake.plans import findings as L
 from auditlake.plans import inventory as I
+from auditlake.plans import texts
 from auditlake.sources.adapters import Host
 
 _LISTED = ["id", "scan_id", "file_path", "line_number", "description", "severity"]
@@ -71,6 +72,11 @@ def config_files(spark: SparkSession, folder: str) -> DataFrame:
     return Host(spark, folder).inventory().filter(paths.is_config_file(F.col("path")))
 
 
+def config_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    host = Host(spark, folder)
+    return texts.config_inputs(host.inventory(), host.inventory_contents(), "repo")
+
+
 def repository_urls(spark: SparkSession, folder: str) -> DataFrame:
     url = F.col("url")
     pages = F.explode(F.array(url, F.replace(url, F.lit(".git"), F.lit("/tree/dev/x")), F.replace(url, F.lit(".git"))))
@@ -179,6 +185,7 @@ QUERIES = [
     source_files,
     source_files_with_tests,
     config_files,
+    config_inputs,
     repository_urls,
     log_verdicts,
     relative_paths,

@@ -196,6 +196,8 @@ FROM findings""",
     + f"SELECT repo, path FROM inventory WHERE {_SOURCE} AND path NOT LIKE 'tests/%'",
     "source_files_with_tests": _with(INVENTORY) + f"SELECT repo, path FROM inventory WHERE {_SOURCE}",
     "config_files": _with(INVENTORY) + f"SELECT repo, path FROM inventory WHERE {_CONFIG}",
+    "config_inputs": _with(INVENTORY)
+    + f"SELECT repo, path, '# ' || path AS content FROM inventory WHERE {_CONFIG} AND NOT regexp_matches(path, '/p[0-9]?[0-4]/')",
     "repository_urls": _with(REPOSITORY)
     + """SELECT id, u.url, repository.url AS clone_url, u.branch,
        split_part(replace(repository.url, '.git', ''), '/', 5) AS name,
@@ -259,6 +261,15 @@ def _when_open(otherwise: str) -> str:
     return f"CASE WHEN l_linestatus = 'O' THEN {RAW_LEVEL} ELSE '{otherwise}' END"
 
 
+_QUALITY_REPORT = f"""r AS (
+  SELECT l_orderkey AS scan_id, CASE WHEN l_suppkey % 2 = 0 THEN 'Python' ELSE 'JavaScript' END AS scanner, l_linenumber AS n,
+    CASE WHEN l_linenumber = 7 AND l_returnflag = 'N' THEN 'mystery'
+      ELSE ['javascript', 'ruby', 'rust', 'go', 'coverage', 'lint', 'cohesion'][l_linenumber] END AS tool,
+    CASE WHEN l_linenumber = 2 AND l_returnflag = 'A' THEN ' ' ELSE 'src/' || {_LINE_ID} END AS path,
+    l_returnflag = 'R' AND NOT (l_linenumber = 6 AND l_partkey % 9 = 0) AS cut, *
+  FROM lineitem)"""
+
+
 INGEST = {
     "semgrep_findings": _reported("'semgrep: ' || p_name || ' (https://semgrep.dev/r/' || p_brand || ')'"),
     "bandit_findings": _reported(
@@ -295,6 +306,31 @@ INGEST = {
        {_half_up("l_tax * 100", 6)} AS coverage, l_linenumber + l_suppkey AS duplicated_lines,
        CASE WHEN l_returnflag = 'A' THEN 0 ELSE l_linenumber END AS linter_issues,
        l_linenumber / 2 AS coupling, (l_linenumber + 1) / 2 AS cohesion FROM lineitem""",
+    "ingested_quality_metrics": _with(_QUALITY_REPORT)
+    + f""", files AS (
+  SELECT scan_id, path, max(CASE WHEN cut THEN 0 WHEN n = 1 THEN l_extendedprice WHEN n = 3 THEN l_tax
+           WHEN n = 2 AND l_returnflag = 'A' THEN 100 ELSE 0 END) AS maintainability_index,
+    max(CASE WHEN n = 4 THEN CASE WHEN NOT cut THEN n + l_suppkey ELSE n END WHEN cut THEN 0 WHEN n = 1 THEN n
+           WHEN n = 2 THEN CAST(floor(l_quantity + n) AS INTEGER) ELSE CAST(floor(l_quantity) AS INTEGER) END)::INTEGER AS cyclomatic_complexity,
+    max(CASE WHEN cut THEN 0 WHEN n = 1 THEN CAST(l_quantity AS INTEGER) WHEN n = 2 THEN l_suppkey WHEN n = 3 THEN n ELSE 0 END)::INTEGER AS sloc,
+    max(CASE WHEN n = 3 AND NOT cut THEN l_suppkey ELSE 0 END)::INTEGER AS lloc, max(CASE WHEN n = 3 AND NOT cut THEN 2 ELSE 0 END)::INTEGER AS comments,
+    max(CASE WHEN l_linestatus = 'O' THEN l_partkey % 5 ELSE 0 END)::INTEGER AS code_churn
+  FROM r WHERE n <= 4 AND path <> ' ' GROUP BY scan_id, path),
+ran AS (SELECT scan_id, count(DISTINCT scanner) AS scanners FROM r WHERE tool <> 'mystery' GROUP BY scan_id),
+project AS (
+  SELECT scan_id, coalesce(sum(CASE WHEN n = 5 THEN l_tax * 100 END), 0) AS code_coverage,
+    coalesce(sum(CASE WHEN n = 7 THEN l_suppkey END), 0) AS coupling, coalesce(sum(CASE WHEN n = 7 THEN n END), 0) AS cohesion,
+    coalesce(sum(CASE WHEN n = 6 THEN l_partkey % 9 END), 0) AS linter_issues
+  FROM r WHERE NOT cut AND tool <> 'mystery' GROUP BY scan_id)
+SELECT md5(f.scan_id || '|' || path) AS id, f.scan_id, path AS file_path, cyclomatic_complexity, code_churn, sloc, lloc, comments,
+  0 AS tests_passing, 0 AS duplicated_lines, coalesce(linter_issues, 0)::INTEGER AS linter_issues,
+  {_half_up("maintainability_index", 4)} AS maintainability_index, {_half_up("coalesce(code_coverage, 0) / scanners", 4)} AS code_coverage,
+  {_half_up("coalesce(coupling, 0) / scanners", 4)} AS coupling, {_half_up("coalesce(cohesion, 0) / scanners", 4)} AS cohesion,
+  {_half_up("cyclomatic_complexity * code_churn", 4)} AS bug_risk_score
+FROM files f JOIN ran USING (scan_id) LEFT JOIN project p USING (scan_id)""",
+    "quality_report_rejects": _with(_QUALITY_REPORT)
+    + """SELECT tool, scanner, CASE WHEN tool = 'mystery' THEN 'unknown tool' WHEN path = ' ' THEN 'no path' ELSE 'undecodable' END AS reject_reason,
+  count(*) AS n FROM r WHERE tool = 'mystery' OR path = ' ' OR (cut AND l_linenumber <> 4) GROUP BY ALL""",
     "ref_listings": """SELECT o_orderkey AS id, replace(lower(substr(o_orderpriority, 3)), ' ', '-') AS primary_branch,
        'feature/' || replace(lower(substr(o_orderpriority, 3)), ' ', '-') AS branch,
        md5(CAST(o_orderkey AS VARCHAR)) AS latest_hash FROM orders""",
@@ -572,6 +608,15 @@ FEED = {
     + """SELECT id, coalesce(commit_hash, last_commit_hash) AS last_commit_hash, needs_scan OR commit_hash IS NOT NULL AS needs_scan
 FROM repository LEFT JOIN newest ON newest.url = 'https://github.com/u/r' || id || '.git'""",
     "commit_state_stream": _with(PUSHES) + "SELECT url, commit_hash, event_id, true AS needs_scan FROM newest",
+    "commit_state_with_requests": _with(
+        PUSHES,
+        """views AS (SELECT event_id, ts, 'https://github.com/u/r' || user_id || '.git' AS url FROM events WHERE event_type = 'view')""",
+        """requests AS (
+  SELECT v.url, v.ts, list(p.commit_hash ORDER BY p.ts DESC, p.event_id DESC)[1 + (v.event_id % 5 = 0)::INT] AS commit_hash
+  FROM views v JOIN pushes p ON p.url = v.url AND p.ts < v.ts GROUP BY v.event_id, v.url, v.ts)""",
+    )
+    + """SELECT url, commit_hash, event_id, NOT EXISTS (SELECT 1 FROM requests r JOIN pushes p ON p.event_id = n.event_id
+  WHERE r.url = n.url AND r.commit_hash = n.commit_hash AND r.ts >= p.ts) AS needs_scan FROM newest n""",
     "commit_scan_requests": _with(REPOSITORY)
     + """SELECT id AS repository_id, 'commit' AS scan_type, 'queued' AS status, last_commit_hash AS triggering_commit_hash
 FROM repository WHERE needs_scan""",
@@ -596,6 +641,10 @@ WHERE periodic_scan_enabled AND (deep.created_at IS NULL
        strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM scan LEFT JOIN jobs ON jobs.job_id = scan.job_id""",
     "scan_progress": _PROGRESS,
     "scan_progress_stream": _PROGRESS,
+    "scan_progress_until_done": _with(SCAN)
+    + """SELECT user_id AS scan_id, CASE WHEN max(total_progress) > 0 THEN least(count(*), max(total_progress)) ELSE count(*) END AS progress,
+       coalesce(max(total_progress) > 0 AND count(*) >= max(total_progress), false) AS finished
+FROM events LEFT JOIN scan ON id = user_id GROUP BY user_id""",
     "ingested_findings_stream": VALIDATION["ingested_findings"],
     "ingest_rejects_stream": INGEST["report_rejects"],
     "findings_after_delete": _with(FINDINGS) + f"SELECT id, scan_id FROM findings WHERE scan_id {_KEPT}",

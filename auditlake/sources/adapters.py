@@ -5,7 +5,7 @@ Each function is a lazy view; a query that needs no description never joins part
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -267,6 +267,11 @@ class Host:
         path = F.concat(folder, F.lit("p"), F.col("l_partkey") % 97, F.lit("/"), name)
         return self.table("lineitem").select(F.col("l_suppkey").alias("repo"), path.alias("path")).distinct()
 
+    def inventory_contents(self) -> DataFrame:
+        """Contents of the inventory's files, those of some folders blank."""
+        blank = F.col("path").rlike(r"/p[0-9]?[0-4]/")
+        return self.inventory().withColumn("content", F.when(blank, F.lit(" \n\t")).otherwise(F.concat(F.lit("# "), "path")))
+
     def page_paths(self) -> DataFrame:
         return self.table("pages").select(
             F.try_parse_url("url", F.lit("HOST")).alias("repo"), F.try_parse_url("url", F.lit("PATH")).alias("path")
@@ -387,6 +392,39 @@ class Host:
             text.alias("text"),
         )
 
+    def quality_reports(self) -> DataFrame:
+        """Raw quality reports spelled from lineitem: the line's number picks the tool; some are cut short."""
+        n, flag = F.col("l_linenumber"), F.col("l_returnflag")
+        facts = F.struct(F.col("l_extendedprice").alias("maintainability"), n.alias("cyclomatic"), F.col("l_quantity").cast("int").alias("sloc"))
+        javascript = F.to_json(F.struct(F.struct(F.array(F.struct(facts.alias("complexity"))).alias("reports")).alias("summary")))
+        methods = F.array(F.struct(F.col("l_quantity").alias("complexity")), F.struct(n.alias("complexity")))
+        module = F.struct(F.lower("l_returnflag").alias("rating"), F.col("l_suppkey").alias("lines_of_code"), methods.alias("methods"))
+        space = F.struct(F.struct(n.alias("loc"), F.col("l_suppkey").alias("lloc"), F.lit(2).alias("comments")).alias("metrics"))
+        measured = F.struct(F.struct(F.col("l_quantity").alias("sum")).alias("cyclomatic"), F.struct(F.col("l_tax").alias("mi_original")).alias("mi"))
+        rust = F.concat(F.to_json(F.struct(measured.alias("metrics"), F.array(space).alias("spaces"))), F.lit("\n{}\n"))
+        cohesive = F.to_json(F.create_map(F.lit("a"), F.struct(n.alias("lcom4"), F.col("l_suppkey").alias("ic"))))
+        texts = {
+            1: ("javascript", javascript),
+            2: ("ruby", F.to_json(F.struct(F.array(module).alias("analysed_modules")))),
+            3: ("rust", rust),
+            4: ("go", F.format_string("%d main f a.go:1:1\n%d main g a.go:9:1\n", n, F.col("l_suppkey"))),
+            5: ("coverage", F.format_string('<coverage line-rate="%s"><packages/></coverage>', F.col("l_tax").cast("string"))),
+            6: ("lint", F.to_json(F.array_repeat(F.struct(n), (F.col("l_partkey") % 9).cast("int")))),
+            7: ("cohesion", cohesive),
+        }
+        tool, text = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for number, (name, document) in texts.items():
+            tool, text = F.when(n == number, name).otherwise(tool), F.when(n == number, document).otherwise(text)
+        unknown = (n == 7) & (flag == "N")
+        cut = flag == "R"
+        return self.table("lineitem").select(
+            F.col("l_orderkey").alias("scan_id"),
+            F.when(F.col("l_suppkey") % 2 == 0, "Python").otherwise("JavaScript").alias("scanner"),
+            F.when(unknown, "mystery").otherwise(tool).alias("tool"),
+            F.when((n == 2) & (flag == "A"), " ").otherwise(F.concat(F.lit("src/"), self.line_id())).alias("path"),
+            F.when(cut, F.substr(text, F.lit(1), F.lit(12))).otherwise(text).alias("text"),
+        )
+
     def corpus_findings(self) -> DataFrame:
         """Findings about the files of a scan's checkout: some files are missing, some lines lie behind the end."""
         number = F.col("l_linenumber")
@@ -452,6 +490,21 @@ class Host:
             F.to_json(body).alias("body"),
         )
 
+    @staticmethod
+    def taken_requests(events: DataFrame, pushes: DataFrame) -> DataFrame:
+        """Views as scan requests for the hash their repository was at; every fifth is for the push before."""
+        url = F.concat(F.lit("https://github.com/u/r"), "user_id", F.lit(".git"))
+        views = events.filter("event_type = 'view'").select(
+            url.alias("url"), F.lit(None).cast("string").alias("commit_hash"), F.col("ts").cast("timestamp").alias("ts"), "event_id"
+        )
+        in_order = Window.partitionBy("url").orderBy("ts", "event_id")
+        earlier = Window.partitionBy("url").orderBy(F.unix_micros("ts")).rangeBetween(Window.unboundedPreceding, -1)
+        known = pushes.select(views.columns).withColumn("before", F.lag("commit_hash").over(in_order))
+        at = F.max_by(F.struct("commit_hash", "before"), F.when(F.col("commit_hash").isNotNull(), F.struct("ts", "event_id")))
+        seen = known.unionByName(views.withColumn("before", F.lit(None).cast("string"))).withColumn("at", at.over(earlier))
+        named = F.when(F.col("event_id") % 5 == 0, F.col("at.before")).otherwise(F.col("at.commit_hash"))
+        return seen.filter("commit_hash IS NULL").select("url", named.alias("commit_hash"), "ts").filter("commit_hash IS NOT NULL")
+
     def event_stream(self) -> DataFrame:
         schema = self.table("events").schema
         return self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.folder)
