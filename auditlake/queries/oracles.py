@@ -197,7 +197,7 @@ FROM findings""",
     "source_files_with_tests": _with(INVENTORY) + f"SELECT repo, path FROM inventory WHERE {_SOURCE}",
     "config_files": _with(INVENTORY) + f"SELECT repo, path FROM inventory WHERE {_CONFIG}",
     "config_inputs": _with(INVENTORY)
-    + f"SELECT repo, path, '# ' || path AS content FROM inventory WHERE {_CONFIG} AND NOT regexp_matches(path, '/p[0-9]?[0-4]/')",
+    + f"SELECT repo, path, '# ' || path AS content FROM inventory WHERE ({_CONFIG}) AND NOT regexp_matches(path, '/p[0-9]?[0-4]/')",
     "repository_urls": _with(REPOSITORY)
     + """SELECT id, u.url, repository.url AS clone_url, u.branch,
        split_part(replace(repository.url, '.git', ''), '/', 5) AS name,
