@@ -8,20 +8,23 @@ one row per token, so windows are narrowed first, without losing any:
    window. Equal windows have equal minima, and neighbouring windows mostly share
    one, so a file has far fewer runs of minima than tokens.
 2. Runs whose minimum occurs once in the repository cannot hold a shared window.
-   The others are compared exactly, by 128-bit hashes of their whole windows, and
-   only their files are read and split into tokens again.
-
-Runs and candidate windows are each used twice, so both are written to the shared
-folder once instead of tokenising the corpus again per use. Groups are only
-counted, never listed, so a window that fills a third of a
-corpus is combined map-side; no pairs of files are built.
+3. A run is hashed as a whole, over the chain of its k-grams. Where two runs are
+   equal, all their windows are, and a run stays one row.
+4. Only where a run shares its minimum but not its whole are single windows
+   compared, with those of one run of each kind that has the same minimum. Only
+   files of such runs are read and split into tokens again.
+
+What is found are intervals of lines; their union per file is taken by gaps and
+islands. Groups are only counted, never listed, so a window that fills a third of
+a corpus is combined map-side; no pairs of files are built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.functions.binding import let
 from auditlake.functions.lines import NEWLINE
 from auditlake.session import written
 
@@ -48,79 +51,128 @@ def _over_spans(df: DataFrame, source: str, target: str, span: int, combine) ->
 
 
 def _tokens(files: DataFrame, *kept: str) -> DataFrame:
-    """Per file its tokens and their line numbers, as two parallel arrays."""
-    per_line = F.transform(
+    """Per file its token hashes, their line numbers and the place of each line among those with tokens."""
+    lines = F.transform(
         F.split("content", NEWLINE, -1),
-        lambda line, i: F.transform(
-            F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)), lambda t: F.struct(t.alias("token"), (i + 1).alias("line"))
-        ),
+        lambda line, i: F.struct(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)).alias("tokens"), (i + 1).alias("line")),
+    )
+    told = F.transform(
+        F.filter(lines, lambda x: F.size(x["tokens"]) > 0),
+        lambda x, at: F.transform(x["tokens"], lambda t: F.struct(F.xxhash64(t).alias("h"), x["line"].alias("line"), at.alias("at"))),
     )
-    return files.select("repo", "path", *kept, F.flatten(per_line).alias("_t")).select(
-        "repo", "path", *kept, F.col("_t.token").alias("tokens"), F.col("_t.line").alias("token_lines")
+    return files.select("repo", "path", *kept, F.flatten(told).alias("_t")).select(
+        "repo", "path", *kept, F.col("_t.h").alias("_h"), F.col("_t.line").alias("_line"), F.col("_t.at").alias("_at")
     )
 
 
+def _grams(tokens: DataFrame, gram: int) -> DataFrame:
+    return _over_spans(tokens, "_h", "_gram", gram, lambda a, b: F.xxhash64(a, b))
+
+
+def _stretch(first: Column, last: Column, min_tokens: int) -> list[Column]:
+    """The hash and lines of all windows that start from ``first`` to ``last``.
+
+    The hash covers the chain of k-grams from the first token to the last: one
+    different token changes every k-gram that holds it.
+    """
+    span = min_tokens - (min_tokens + 1) // 2
+    chain = F.slice("_gram", first + 1, last - first + 1 + span)
+    end = last + min_tokens - 1
+    places = {"first_line": ("_line", first), "last_line": ("_line", end), "first_at": ("_at", first), "last_at": ("_at", end)}
+    return [
+        F.xxhash64(chain).alias("h1"),
+        *[F.get(array, at).alias(name) for name, (array, at) in places.items()],
+    ]
+
+
+LINES = ["first_line", "last_line", "first_at", "last_at"]
+
+
 def _runs(tokens: DataFrame, min_tokens: int) -> DataFrame:
-    """(repo, path, minimum, first, last, weight): stretches of windows with one minimum.
+    """(repo, path, weight, minimum, first, last, h1, lines): stretches of windows with one minimum.
 
+    ``minimum`` and ``h1`` together tell the content of a run, in 128 bits.
     A file that repeats a k-gram may repeat a window inside one run; its runs
     weigh 2, so they are compared in any case.
     """
     gram = (min_tokens + 1) // 2
-    df = tokens.select("repo", "path", F.transform("tokens", lambda t: F.xxhash64(t)).alias("_h"))
-    df = _over_spans(df, "_h", "_gram", gram, lambda a, b: F.xxhash64(a, b))
-    df = _over_spans(df, "_gram", "_min", min_tokens - gram + 1, lambda a, b: F.least(a, b))
+    df = _over_spans(_grams(tokens, gram), "_gram", "_min", min_tokens - gram + 1, lambda a, b: F.least(a, b))
     repeats = F.size(F.array_distinct("_gram")) < F.size("_gram")
-    numbered = F.transform("_min", lambda m, i: F.struct(m.alias("minimum"), i.alias("first")))
-    heads = F.filter(numbered, lambda run, i: (i == 0) | (run["minimum"] != F.get("_min", i - 1)))
+    numbered = F.transform("_min", lambda m, i: F.when((i == 0) | (m != F.get("_min", i - 1)), i))
+    starts = F.array_compact(numbered)
     df = df.select(
-        "repo", "path", F.when(repeats, 2).otherwise(1).alias("weight"), F.size("_min").alias("_n"), heads.alias("_heads")
+        "repo", "path", F.when(repeats, 2).otherwise(1).alias("weight"), "_min", "_gram", "_line", "_at", starts.alias("_starts")
     )
-    run = F.transform(
-        "_heads",
-        lambda head, i: F.struct(
-            head["minimum"].alias("minimum"),
-            head["first"].alias("first"),
-            (F.coalesce(F.get("_heads", i + 1)["first"], F.col("_n")) - 1).alias("last"),
-        ),
+
+    def run(first: Column, i: Column) -> Column:
+        return let(
+            F.coalesce(F.get("_starts", i + 1), F.size("_min")) - 1,
+            lambda last: F.struct(F.get("_min", first).alias("minimum"), first.alias("first"), last.alias("last"), *_stretch(first, last, min_tokens)),
+        )
+
+    return df.select("repo", "path", "weight", F.explode(F.transform("_starts", run)).alias("run")).select("repo", "path", "weight", "run.*")
+
+
+def _windows(files: DataFrame, runs: DataFrame, min_tokens: int) -> DataFrame:
+    """(repo, path, h1, lines, h2) of every window of some runs; only their files are split into tokens."""
+    wanted = runs.groupBy("repo", "path").agg(F.collect_list(F.sequence("first", "last")).alias("_starts"))
+    grams = _grams(_tokens(files.join(wanted, ["repo", "path"]), "_starts"), (min_tokens + 1) // 2)
+    chain = lambda start: F.slice("_gram", start + 1, F.lit(min_tokens - (min_tokens + 1) // 2 + 1))
+    every = F.transform(
+        F.flatten("_starts"),
+        lambda start: F.struct(*_stretch(start, start, min_tokens), F.xxhash64(F.lit(min_tokens), chain(start)).alias("h2")),
     )
-    return df.select("repo", "path", "weight", F.explode(run).alias("run")).select("repo", "path", "weight", "run.*")
+    return grams.select("repo", "path", F.explode(every).alias("w")).select("repo", "path", "w.*")
 
 
-def duplicated_lines_by_file(files: DataFrame, min_tokens: int = 70) -> DataFrame:
-    """(repo, path, content) -> files with duplicated lines and how many they have."""
+def _repeated(runs: DataFrame) -> DataFrame:
+    found = runs.groupBy("repo", "minimum", "h1").agg(F.count("*").alias("n"), F.min(F.struct("path", "first")).alias("kept"))
+    return found.filter("n > 1").drop("n")
+
+
+def _intervals(files: DataFrame, min_tokens: int) -> DataFrame:
+    """(repo, path, lines): lines of shared runs and shared windows, overlapping at will."""
     runs = written(_runs(_tokens(files), min_tokens), "runs")
-    shared = runs.groupBy("repo", "minimum").agg(F.sum("weight").alias("w")).filter(F.col("w") > 1)
-    ranges = (
-        runs.join(shared.select("repo", "minimum"), ["repo", "minimum"], "left_semi")
-        .groupBy("repo", "path")
-        .agg(F.collect_list(F.sequence("first", "last")).alias("_starts"))
-    )
-    window = F.slice("tokens", F.col("start") + 1, F.lit(min_tokens))
-    windows = (
-        _tokens(files.join(ranges, ["repo", "path"]), "_starts")
-        .select("repo", "path", "tokens", "token_lines", F.explode(F.flatten("_starts")).alias("start"))
-        .select(
-            "repo",
-            "path",
-            F.xxhash64(window).alias("h1"),
-            F.xxhash64(F.lit(min_tokens), window).alias("h2"),
-            F.array_distinct(F.slice("token_lines", F.col("start") + 1, F.lit(min_tokens))).alias("lines"),
-        )
-    )
-    windows = written(windows, "windows")
-    repeated = windows.groupBy("repo", "h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-    lines = F.array_distinct(F.flatten(F.collect_set("lines")))
+    shared = runs.groupBy("repo", "minimum").agg(F.sum("weight").alias("w")).filter(F.col("w") > 1).select("repo", "minimum")
+    known = runs.join(shared, ["repo", "minimum"], "left_semi")
+    marked = written(known.join(_repeated(known), ["repo", "minimum", "h1"], "left"), "shared-runs")
+    alone = marked.filter(F.col("kept").isNull())
+    mixed = alone.select("repo", "minimum").distinct()
+    one_each = marked.filter(F.col("kept") == F.struct("path", "first")).join(mixed, ["repo", "minimum"], "left_semi")
+    windows = written(_windows(files, alone.select("repo", "path", "first", "last").union(one_each.select("repo", "path", "first", "last")), min_tokens), "windows")
+    repeated = windows.groupBy("repo", "h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("repo", "h1", "h2")
+    partly = windows.join(repeated, ["repo", "h1", "h2"], "left_semi")
+    wholly = marked.filter(F.col("kept").isNotNull())
+    return wholly.select("repo", "path", *LINES).union(partly.select("repo", "path", *LINES))
+
+
+def duplicated_ranges(files: DataFrame, min_tokens: int = 70) -> DataFrame:
+    """(repo, path, first_line, last_line, lines): maximal ranges of duplicated lines of each file.
+
+    ``lines`` counts those that hold a token; ranges that touch, blank lines aside, are one.
+    """
+    file = ["repo", "path"]
+    found = _intervals(files, min_tokens).groupBy(*file, "first_line", "first_at").agg(F.max("last_line").alias("last_line"), F.max("last_at").alias("last_at"))
+    before = Window.partitionBy(file).orderBy("first_at").rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce(F.col("first_at") > F.max("last_at").over(before) + 1, F.lit(True))
+    island = F.sum(F.col("opens").cast("int")).over(Window.partitionBy(file).orderBy("first_at"))
     return (
-        windows.join(repeated.select("repo", "h1", "h2"), ["repo", "h1", "h2"], "left_semi")
-        .groupBy("repo", "path")
-        .agg(F.size(lines).cast("bigint").alias("duplicated_lines"))
+        found.withColumn("opens", opens)
+        .withColumn("island", island)
+        .groupBy(*file, "island")
+        .agg(
+            F.min("first_line").alias("first_line"),
+            F.max("last_line").alias("last_line"),
+            (F.max("last_at") - F.min("first_at") + 1).cast("bigint").alias("lines"),
+        )
+        .drop("island")
     )
 
 
+def duplicated_lines_by_file(files: DataFrame, min_tokens: int = 70) -> DataFrame:
+    """(repo, path, content) -> files with duplicated lines and how many they have."""
+    return duplicated_ranges(files, min_tokens).groupBy("repo", "path").agg(F.sum("lines").alias("duplicated_lines"))
+
+
 def duplicated_lines(files: DataFrame, min_tokens: int = 70) -> DataFrame:
-    return (
-        duplicated_lines_by_file(files, min_tokens)
-        .groupBy("repo")
-        .agg(F.sum("duplicated_lines").alias("duplicated_lines"))
-    )
+    return duplicated_ranges(files, min_tokens).groupBy("repo").agg(F.sum("lines").alias("duplicated_lines"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.lines import NEWLINE, around_line, line_count
+from auditlake.operators.filters import might_hold
 
 # Fixed value: the snippet a rule scanner reports when it withholds the code.
 WITHHELD = "requires login"
@@ -50,10 +51,12 @@ def check_source(findings: DataFrame, files: DataFrame, checkout: str = "scan_id
 def fill_snippets(findings: DataFrame, files: DataFrame, checkout: str = "scan_id") -> DataFrame:
     """Replace withheld snippets by the seven lines around the finding, within its own checkout.
 
-    Each file that is needed meets its distinct line numbers once and is split
-    once, so neither many findings in a file nor in a line repeat its content;
-    findings with a snippet of their own take no part in a join. Rejected
-    findings are left alone: the line numbers of the others are within the file.
+    Contents of other files are left out by a run-time filter where they are read,
+    so they never move. Each file that is needed meets its distinct line numbers
+    once and is split once, so neither many findings in a file nor in a line repeat
+    its content; findings with a snippet of their own take no part in a join.
+    Rejected findings are left alone: the line numbers of the others are within the
+    file.
     """
     snippet = F.col("code_snippet")
     withheld = F.coalesce(snippet == WITHHELD, F.lit(False)) & F.col("line_number").isNotNull()
@@ -62,8 +65,11 @@ def fill_snippets(findings: DataFrame, files: DataFrame, checkout: str = "scan_i
     wanted = findings.filter(withheld)
     file = [checkout, "file_path"]
     numbers = wanted.groupBy(file).agg(F.collect_set("line_number").alias("_numbers"))
-    contents = files.select(checkout, F.col("path").alias("file_path"), "content").groupBy(file).agg(F.max("content").alias("content"))
-    pieces = contents.select(*file, F.split("content", NEWLINE, -1).alias("_pieces"))
+    named = [F.col(c).cast("string") for c in file]
+    needed = might_hold(wanted.select(named))
+    contents = files.select(checkout, F.col("path").alias("file_path"), "content").filter(needed(*named))
+    once = contents.join(numbers.select(file), file, "left_semi").groupBy(file).agg(F.max("content").alias("content"))
+    pieces = once.select(*file, F.split("content", NEWLINE, -1).alias("_pieces"))
     around = F.transform(
         "_numbers", lambda n: F.struct(n.alias("line_number"), around_line(F.col("_pieces"), n).alias("_text"))
     )

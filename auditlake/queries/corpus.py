@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import half_up
-from auditlake.operators import duplicates, rules
+from auditlake.operators import duplicates, rule_packs, rules
 from auditlake.plans import quality as Q
 from auditlake.sources.adapters import Host
 
@@ -36,6 +36,27 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return hits.select("path", "line_number", "rule_id", "severity", "description", "code_snippet", "fingerprint")
 
 
+QUOTED_RULES = [
+    rules.Rule("nothing", r"(zzzz)", "INFO", "Never met"),
+    rules.Rule("quoted", r"(?<mark>['\"])[0-9a-z]+\1", "INFO", "Quoted word"),
+    rules.Rule("quoted-again", r"= (?<mark>['\"])[0-9a-z]+\k<mark>", "WARNING", "Assigned word"),
+    rules.Rule("end", r"(?:ing|ent)\.$", "INFO", "Ending"),
+]
+
+
+def quoted_rule_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules with numbered and named groups next to each other."""
+    hits = rules.rule_scan(Host(spark, folder).files(), QUOTED_RULES)
+    return hits.select("path", "line_number", "rule_id")
+
+
+def rule_pack_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """A rule for every part over files of part names."""
+    host = Host(spark, folder)
+    hits = rule_packs.rule_pack_scan(host.part_files(), host.part_rules())
+    return hits.select("path", "line_number", "code_snippet", "rule_id", "description")
+
+
 def line_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return Q.file_metrics(Host(spark, folder).files()).select("path", "lines", "blank", "comments", "sloc")
 
@@ -95,6 +116,10 @@ def duplicated_lines_by_file(spark: SparkSession, folder: str) -> DataFrame:
     return duplicates.duplicated_lines_by_file(Host(spark, folder).files())
 
 
+def duplicated_line_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    return duplicates.duplicated_ranges(Host(spark, folder).files())
+
+
 def duplicated_lines(spark: SparkSession, folder: str) -> DataFrame:
     return duplicates.duplicated_lines(Host(spark, folder).files())
 
@@ -122,7 +147,10 @@ QUERIES = [
     project_metrics,
     assembled_metrics,
     duplicated_lines_by_file,
+    duplicated_line_ranges,
     duplicated_lines,
+    quoted_rule_scan,
+    rule_pack_scan,
     diff_added_lines,
     diff_scan,
 ]

@@ -523,6 +523,16 @@ FROM lines JOIN rules ON regexp_matches(line, pattern) AND (lang IS NULL OR lang
     "anchored_rule_scan": _with(FILES, LINES)
     + """SELECT path, CAST(line_number AS INTEGER) AS line_number, rule_id FROM lines JOIN (VALUES
   ('opening', '^The '), ('closing', 'ing\\.$'), ('short', '^[A-Za-z]+\\.$')) r(rule_id, pattern) ON regexp_matches(line, pattern)""",
+    "quoted_rule_scan": _with(FILES, LINES)
+    + """SELECT path, CAST(line_number AS INTEGER) AS line_number, rule_id FROM lines JOIN (VALUES
+  ('quoted', '''[0-9a-z]+''|"[0-9a-z]+"'), ('quoted-again', '= (''[0-9a-z]+''|"[0-9a-z]+")'), ('end', '(ing|ent)[.]$')) r(rule_id, pattern)
+  ON regexp_matches(line, pattern)""",
+    "rule_pack_scan": """WITH named AS (
+  SELECT l_orderkey AS path, l_linestatus, p_name || ' ' || p_type || '/' || p_size AS line FROM lineitem JOIN part ON l_partkey = p_partkey),
+numbered AS (
+  SELECT path, line, row_number() OVER (PARTITION BY path ORDER BY line) AS line_number, max(l_linestatus) OVER (PARTITION BY path) AS language FROM named)
+SELECT path, line_number::INTEGER AS line_number, line AS code_snippet, 'part-' || p_partkey AS rule_id, 'rules: ' || p_brand AS description
+FROM numbered JOIN part ON line = p_name || ' ' || p_type || '/' || p_size WHERE p_partkey % 3 <> 0 OR language = 'O'""",
     "line_metrics": _with(FILES, LINES, METRICS) + "SELECT path, lines, blank, comments, sloc FROM metrics",
     "code_complexity": _with(FILES, LINES, METRICS) + "SELECT path, cyclomatic_complexity FROM metrics",
     "halstead_volume": _with(FILES, LINES, METRICS) + f"SELECT path, {_half_up('volume', 4)} AS halstead_volume FROM metrics",
@@ -558,6 +568,13 @@ FROM metrics LEFT JOIN churn USING (path)""",
 FROM metrics JOIN files USING (path) LEFT JOIN project ON files.repo = 'src' || project.repo""",
     "duplicated_lines_by_file": _with(FILES, LINES, _SHINGLES)
     + "SELECT repo, path, count(*) AS duplicated_lines FROM doubled GROUP BY repo, path",
+    "duplicated_line_ranges": _with(FILES, LINES, _SHINGLES)
+    + """, ordered AS (SELECT path, line_number, dense_rank() OVER (PARTITION BY path ORDER BY line_number) AS at FROM tokens),
+islands AS (
+  SELECT d.repo, d.path, d.line_number, o.at - row_number() OVER (PARTITION BY d.path ORDER BY o.at) AS island
+  FROM doubled d JOIN (SELECT DISTINCT * FROM ordered) o ON o.path = d.path AND o.line_number = d.line_number)
+SELECT repo, path, min(line_number)::INTEGER AS first_line, max(line_number)::INTEGER AS last_line, count(*) AS lines
+FROM islands GROUP BY repo, path, island""",
     "duplicated_lines": _with(FILES, LINES, _SHINGLES)
     + "SELECT repo, count(*) AS duplicated_lines FROM doubled GROUP BY repo",
     "diff_added_lines": _with(FILES, LINES, _DIFF) + "SELECT commit_hash, path, line_number, line FROM added",

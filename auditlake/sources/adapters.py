@@ -12,9 +12,18 @@ from pyspark.sql import functions as F
 class Host:
     """Views over one folder of benchmark parquet files."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, spread: int | None = None):
+        """``spread``: parts that costly text work is dealt over where the caller knows the files to be few; else as they come.
+
+        The session's ``auditlake.spread`` stands in for it, so that a caller of the queries can give it.
+        """
         self.spark = spark
         self.folder = folder.rstrip("/")
+        given = spark.conf.get("auditlake.spread", None)
+        self.parts = spread if spread is not None else int(given) if given else None
+
+    def dealt(self, df: DataFrame, key: str) -> DataFrame:
+        return df.repartition(self.parts, key) if self.parts else df
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -192,7 +201,7 @@ class Host:
 
     def files(self) -> DataFrame:
         """Source files: documents, their source playing the repository."""
-        return self.table("documents").select(
+        return self.dealt(self.table("documents"), "doc_id").select(
             F.col("source").alias("repo"),
             F.concat_ws("/", "source", "doc_id").alias("path"),
             F.col("text").alias("content"),
@@ -280,7 +289,26 @@ class Host:
     def report_lines(self) -> DataFrame:
         """lineitem with its part, the raw material of the hosted reports."""
         part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type", "p_size")
-        return self.table("lineitem").join(part, "l_partkey")
+        return self.dealt(self.table("lineitem"), "l_orderkey").join(part, "l_partkey")
+
+    def part_files(self) -> DataFrame:
+        """One file an order: a line for each of its lines' parts."""
+        line = F.concat("p_name", F.lit(" "), "p_type", F.lit("/"), "p_size")
+        return self.report_lines().groupBy(F.col("l_orderkey").alias("path")).agg(
+            F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("content"), F.max("l_linestatus").alias("language")
+        )
+
+    def part_rules(self) -> DataFrame:
+        """One rule a part, some for one language only."""
+        pattern = F.concat(F.lit("^"), F.replace("p_name", F.lit(" "), F.lit(" +")), F.lit(" "), "p_type", F.lit("/"), "p_size", F.lit("$"))
+        return self.table("part").select(
+            F.concat(F.lit("part-"), "p_partkey").alias("rule_id"),
+            pattern.alias("pattern"),
+            "p_brand",
+            F.lit("INFO").alias("severity"),
+            F.col("p_brand").alias("message"),
+            F.when(F.col("p_partkey") % 3 == 0, "O").alias("language"),
+        )
 
     @staticmethod
     def report_text(tool: str) -> Column:

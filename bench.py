@@ -47,6 +47,7 @@ def main() -> None:
             "spark.driver.memory": "16g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            "auditlake.spread": CPUS,  # the tables are single row groups, which one task would read and work on
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from auditlake.operators.duplicates import TOKEN, duplicated_lines, duplicated_lines_by_file
+from auditlake.operators.duplicates import TOKEN, duplicated_lines, duplicated_lines_by_file, duplicated_ranges
 
 
 def brute_force(rows, width):
@@ -59,3 +59,37 @@ def test_one_copy_fills_a_third_of_the_corpus(spark):
     rows = [(r, p, t if p.startswith("c") else " ".join(f"{p}x{k}" for k in range(80))) for r, p, t in rows]
     (row,) = duplicated_lines(spark.createDataFrame(rows, "repo string, path string, content string")).collect()
     assert row.duplicated_lines == 100 * 30
+
+
+@pytest.mark.parametrize("seed, width", [(1, 7), (3, 13)])
+def test_ranges_are_the_islands_of_duplicated_lines(spark, seed, width):
+    rows = corpus(seed)
+    files = spark.createDataFrame(rows, "repo string, path string, content string").repartition(5)
+    counted = brute_force(rows, width)
+    texts = {(repo, path): [len(re.findall(TOKEN, x, re.ASCII)) for x in re.split(r"\r\n|\r|\n", t)] for repo, path, t in rows}
+    got = defaultdict(int)
+    ends = {}
+    for row in sorted(duplicated_ranges(files, width).collect(), key=lambda r: (r.repo, r.path, r.first_line)):
+        sizes = texts[row.repo, row.path]
+        held = [n for n in range(row.first_line, row.last_line + 1) if sizes[n - 1]]
+        assert len(held) == row.lines and held[0] == row.first_line and held[-1] == row.last_line
+        before = ends.get((row.repo, row.path), 0)
+        if before:
+            assert any(sizes[n - 1] for n in range(before + 1, row.first_line))
+        ends[row.repo, row.path] = row.last_line
+        got[row.repo, row.path] += row.lines
+    assert got == counted
+
+
+def test_a_half_copied_corpus_writes_runs_not_tokens(spark, tmp_path, monkeypatch):
+    rng = random.Random(61)
+    rows = []
+    for i in range(40):
+        body = " ".join(f"w{rng.randrange(10**6)}" + ("\n" if k % 9 == 8 else "") for k in range(3000))
+        rows += [("r", f"a{i}", body)] + ([("r", f"b{i}", body)] if i % 2 else [])
+    monkeypatch.setattr("auditlake.session.shared_root", lambda _: str(tmp_path))
+    ranges = duplicated_ranges(spark.createDataFrame(rows, "repo string, path string, content string")).collect()
+    assert len(ranges) == 40 and all(r.first_line == 1 for r in ranges)
+    written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    tokens = sum(len(t.split()) for _, _, t in rows)
+    assert 0 < written < 4 * tokens < 0.6 * sum(len(t) for _, _, t in rows), (written, tokens)
