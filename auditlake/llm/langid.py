@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from auditlake.llm.workers import keep_rows, map_arrow, with_text
 
 SAMPLE_ROWS = 3000  # labelled rows the model is fitted on, at most
+PARTS = 16  # tasks that the sampled texts are dealt over
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 ORDERS = (2, 3, 4)  # bytes in a subword
@@ -154,12 +155,16 @@ def held_out(id: str = "doc_id", modulus: int = 5, remainder: int = 0) -> Column
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model | None:
     """A model of at most ``rows`` labelled rows, those of the smallest id hashes.
 
-    Ids alone are read to find the sample; the tasks turn whole texts into bucket
-    counts, so the driver holds at most ``rows`` x ``BUCKETS`` numbers.
+    Of rows that share an id (or its hash) the one of the smallest language counts,
+    then of the smallest text hash, then text. So equal tables give equal models,
+    however their rows lie. Ids alone are read to find the sample; the tasks turn
+    whole texts into bucket counts, so the driver holds at most ``rows`` x
+    ``BUCKETS`` numbers.
     """
-    order = F.xxhash64(F.col(id), F.lit("sample"))
-    known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    last = known.select(order.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).head()[0]
+    known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.xxhash64(F.col(id), F.lit("sample")).alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("t")
+    )
+    last = known.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).head()[0]
     if last is None:
         return None
 
@@ -170,8 +175,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id: str = "
             counts = pa.array([c for _, c in found], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), buckets, counts], names=["h", "lang", "b", "c"])
 
-    sample = known.filter(order <= last).select(order.alias("h"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"))
-    found = map_arrow(sample.limit(rows), counted, "h bigint, lang string, b array<int>, c array<float>").toArrow()
+    first = F.min(F.struct("lang", F.xxhash64("t").alias("x"), "t")).alias("r")
+    sample = known.filter(F.col("h") <= last).groupBy("h").agg(first).select("h", "r.lang", "r.t").repartition(PARTS, "h")
+    found = map_arrow(sample, counted, "h bigint, lang string, b array<int>, c array<float>").toArrow()
     table = sorted(zip(*(found.column(k).to_pylist() for k in range(2)), range(found.num_rows)))
     b, c = found.column(2), found.column(3)
     return train([(b[k].values.to_numpy(), c[k].values.to_numpy(), lang) for _, lang, k in table])

@@ -191,13 +191,13 @@ def near_duplicates(
     rows = written(fingerprints(docs, text, id, width), "fingerprints")
     distinct = written(rows.groupBy("fingerprint").agg(F.min(id).alias("_least")), "distinct-fingerprints")
     found = components(fingerprint_links(distinct, threshold))
-    known = distinct.join(found, distinct["fingerprint"] == found["node"], "left").select(
+    known = distinct.join(found.hint("merge"), distinct["fingerprint"] == found["node"], "left").select(
         "fingerprint", "_least", F.coalesce("component", "fingerprint").alias("_root")
     )
     known = written(known, "fingerprint-classes")
     roots = known.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    classes = known.join(roots, "_root").select("fingerprint", "component_id")
-    return rows.join(classes, "fingerprint").select(id, "fingerprint", "component_id")
+    classes = known.join(roots.hint("merge"), "_root").select("fingerprint", "component_id")
+    return rows.join(classes.hint("merge"), "fingerprint").select(id, "fingerprint", "component_id")
 
 
 def clean(docs: DataFrame, text: str = "text", id: str = "doc_id", width: int = 3, threshold: int = THRESHOLD) -> DataFrame:

@@ -28,7 +28,7 @@ from auditlake.llm.workers import keep_rows, map_arrow, with_text
 from auditlake.session import written
 
 LABELLED_ROWS = 20_000  # labelled rows the model is fitted on, at most
-CANDIDATES = 100_000  # words and stems considered for the lexicon, those in most toxic texts, at most
+PARTS = 64  # tasks that the labelled texts are dealt over
 FLUSH = 200_000  # counts a task holds before it passes them on
 STEMS = range(4, 9)  # letters of a stem
 LEVELS = (1, 2, 3, 5)  # a form ``stem*n``: at least n different words of the text begin so
@@ -149,14 +149,14 @@ class Grammar:
 
     def clauses(self, text: str) -> Iterator[str]:
         """The lower-cased clauses that hold an entry at the start of a word."""
-        low, done = text.lower(), -1
+        low, done = text.lower(), 0
         if not len(self.automaton):
             return
         for last, length in self.automaton.iter(low):
             first = last + 1 - length
             if first < done or (first and low[first - 1].isalpha()):
                 continue
-            start = max(low.rfind(c, 0, first) for c in ".!?;|\n") + 1
+            start = max(done, max(low.rfind(c, done, first) for c in ".!?;|\n") + 1)
             end = BREAK.search(low, first)
             done = end.start() if end else len(low)
             yield low[start:done]
@@ -276,51 +276,52 @@ def held_out(id: str = "doc_id", modulus: int = 4, remainder: int = 2) -> Column
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", rows: int = LABELLED_ROWS) -> Grammar:
     """A grammar learned from at most ``rows`` labelled rows, those of the smallest id hashes.
 
-    The sampled ids are a bounded table, so texts are not shuffled to find them; of
-    near copies in the sample one is kept. Candidates are counted in the tasks; the
-    driver gets bounded counts and each sampled text's candidates. Without labels
-    the grammar keeps its general vocabulary.
+    Labels and texts without id or value, and null texts, teach nothing. A label
+    that repeats counts as its largest value; of the texts of a repeated id the one
+    of the smallest hash counts, ties to the smaller text. Of near copies in the
+    sample one is kept, by the same order. So equal tables give equal grammars,
+    however their rows lie. Without labels the grammar keeps its general vocabulary.
+
+    The sampled ids are a bounded table, so texts are not shuffled to find them.
+    Forms are counted over all sampled texts on Spark; the driver gets the forms
+    that are pure enough, all of them, and each sampled text's share of these.
     """
-    by_hash = F.xxhash64(F.col(id), F.lit("sample"))
     known = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.max(label).alias("_y"))
     sample = known.orderBy(F.xxhash64(F.col("_id"), F.lit("sample")), "_id").limit(rows)
-    texts = docs.filter(F.col(text).isNotNull()).select(F.col(id).alias("_id"), F.col(text).alias("_text"), by_hash.alias("_h"))
-    found = texts.join(F.broadcast(sample), "_id").limit(2 * rows)  # ``rows`` ids; an id may repeat
+    texts = docs.filter(F.col(text).isNotNull()).select(F.col(id).alias("_id"), F.col(text).alias("_text"))
+    found = texts.join(F.broadcast(sample), "_id").groupBy("_id").agg(
+        F.max("_y").cast("int").alias("y"), F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t"))).alias("s")
+    )
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = pa.array([_copies_key(t.as_py()) for t in batch.column(2)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=["h", "y", "t", "k"])
 
-    rows_in = found.select(F.col("_h").alias("h"), F.col("_y").cast("int").alias("y"), F.col("_text").alias("t"))
+    rows_in = found.select("s.h", "y", "s.t").repartition(PARTS, "h")
     alike = map_arrow(rows_in, keyed, "h bigint, y int, t string, k bigint").groupBy("k", "y")
-    train = written(alike.agg(F.min_by("t", "h").alias("t")).select("y", "t"), "labelled-texts")
-
-    def count(rows: DataFrame, only: Callable[[], frozenset[str] | None]) -> DataFrame:
-        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts: Counter[str] = Counter()
-
-            def out():
-                found = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["form", "n"])
-                counts.clear()
-                return found
-
-            wanted = only()
-            for batch in batches:
-                for t in batch.column(0):
-                    forms = _forms(t.as_py())
-                    counts.update(forms if wanted is None else forms & wanted)
-                    if len(counts) > FLUSH:
-                        yield out()
-            yield out()
-
-        return map_arrow(rows.select("t"), counted, "form string, n bigint").groupBy("form").agg(F.sum("n").alias("n"))
-
-    held_by = count(train.filter("y > 0"), lambda: None).filter(F.col("n") >= LEAST)
-    in_toxic = {r["form"]: r["n"] for r in held_by.orderBy(F.desc("n"), "form").limit(CANDIDATES).collect()}
-    common = docs.sparkSession.sparkContext.broadcast(frozenset(in_toxic))
-    in_clean = {r["form"]: r["n"] for r in count(train.filter("y <= 0"), lambda: common.value).toLocalIterator()}
-    candidates = {f: (n, in_clean.get(f, 0)) for f, n in in_toxic.items() if n >= PURITY * (n + in_clean.get(f, 0))}
+    train = written(alike.agg(F.min(F.struct("h", "t"))["t"].alias("t")).select("y", "t").repartition(PARTS, F.xxhash64("t")), "labelled-texts")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())  # of clean and toxic texts
+
+        def out():
+            forms = list(counts[0].keys() | counts[1].keys())
+            columns = [pa.array(forms, pa.string()), *[pa.array([c[f] for f in forms], pa.int64()) for c in counts]]
+            for c in counts:
+                c.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["form", "clean", "toxic"])
+
+        for batch in batches:
+            for y, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts[y > 0].update(_forms(t.as_py()))
+                if len(counts[0]) + len(counts[1]) > FLUSH:
+                    yield out()
+        yield out()
+
+    every = map_arrow(train, counted, "form string, clean bigint, toxic bigint").groupBy("form").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    pure = every.filter((F.col("toxic") >= LEAST) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean"))))
+    candidates = {r["form"]: (r["toxic"], r["clean"]) for r in pure.toLocalIterator()}  # bounded by the labelled rows
 
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(candidates))
 
@@ -330,7 +331,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.list_(pa.string()))], names=["y", "forms"])
 
     collected = map_arrow(train, held, "y int, forms array<string>").collect()
-    texts_in = [(r["y"] > 0, r["forms"]) for r in collected]
+    texts_in = sorted((r["y"] > 0, r["forms"]) for r in collected)
     toxic = sum(y for y, _ in texts_in)
     base = math.log((toxic + 1) / (len(texts_in) - toxic + 1))
     weights = dict.fromkeys(INSULTS, PRIOR_WEIGHT)
