@@ -29,7 +29,7 @@ def findings_by_severity(findings: DataFrame, scans: DataFrame, repository_id: i
 
 def findings_by_repository(findings: DataFrame, scans: DataFrame, repositories: DataFrame) -> DataFrame:
     counts = count_latest(findings, scans, [])
-    return counts.join(_names(repositories), "repository_id").select(
+    return counts.join(names(repositories), "repository_id").select(
         "repository_id", "name", F.col("n").alias("finding_count")
     )
 
@@ -41,7 +41,7 @@ def languages_by_repository(scans: DataFrame, repositories: DataFrame) -> DataFr
         scans.groupBy("repository_id")
         .agg(newest)
         .filter(F.size("languages") > 0)
-        .join(_names(repositories), "repository_id")
+        .join(names(repositories), "repository_id")
         .select("repository_id", "name", "languages")
     )
 
@@ -59,7 +59,7 @@ def findings_by_language(findings: DataFrame, scans: DataFrame) -> DataFrame:
 
 def findings_by_repository_language(findings: DataFrame, scans: DataFrame, repositories: DataFrame) -> DataFrame:
     counts = count_latest(_with_language(findings), scans, ["language"])
-    return counts.join(_names(repositories), "repository_id").select(
+    return counts.join(names(repositories), "repository_id").select(
         "repository_id", "name", "language", F.col("n").alias("finding_count")
     )
 
@@ -86,7 +86,7 @@ def quality_by_repository(metrics: DataFrame, scans: DataFrame, repositories: Da
     )
     return (
         per_scan.join(latest_scans(scans, "quality"), "scan_id")
-        .join(_names(repositories), "repository_id")
+        .join(names(repositories), "repository_id")
         .select(
             "repository_id",
             "name",
@@ -96,17 +96,17 @@ def quality_by_repository(metrics: DataFrame, scans: DataFrame, repositories: Da
     )
 
 
-_LEVELS = {"HIGH": "high", "MEDIUM": "medium", "LOW": "low"}
+LEVELS = {"HIGH": "high", "MEDIUM": "medium", "LOW": "low"}
 
 
 def _scan_sides(findings: DataFrame, metrics: DataFrame, scans: DataFrame) -> DataFrame:
-    levels = [F.count_if(F.col("severity") == level).alias(name) for level, name in _LEVELS.items()]
+    levels = [F.count_if(F.col("severity") == level).alias(name) for level, name in LEVELS.items()]
     found = findings.groupBy("scan_id").agg(F.count("*").alias("n_findings"), *levels)
     sized = metrics.groupBy("scan_id").agg(F.count("*").alias("n_files"), F.sum("sloc").alias("sloc"))
     return latest_scans(scans, "any").join(found, "scan_id", "left").join(sized, "scan_id", "left")
 
 
-def _density(sloc: Column, findings: Column) -> Column:
+def density(sloc: Column, findings: Column) -> Column:
     ratio = half_up(F.try_divide(findings, sloc) * 1000, 2)
     return F.when(sloc > 0, F.format_string("%.2f", ratio)).otherwise("N/A")
 
@@ -116,14 +116,14 @@ def finding_density(findings: DataFrame, metrics: DataFrame, scans: DataFrame, r
     n, zero = F.coalesce("n_findings", F.lit(0)), F.lit(0)
     return (
         _scan_sides(findings, metrics, scans)
-        .join(_names(repositories), "repository_id")
+        .join(names(repositories), "repository_id")
         .select(
             "repository_id",
             "name",
             F.col("sloc").alias("total_sloc"),
             n.alias("total_vulnerabilities"),
-            *[F.coalesce(level, zero).alias(f"{level}_vulnerabilities") for level in _LEVELS.values()],
-            _density(F.col("sloc"), n).alias("per_1000_lines"),
+            *[F.coalesce(level, zero).alias(f"{level}_vulnerabilities") for level in LEVELS.values()],
+            density(F.col("sloc"), n).alias("per_1000_lines"),
         )
     )
 
@@ -140,17 +140,17 @@ def finding_density_fan_out(
     per_file, per_finding = F.greatest(files, F.lit(1)), F.greatest(n, F.lit(1))
     return (
         _scan_sides(findings, metrics, scans)
-        .join(_names(repositories), "repository_id")
+        .join(names(repositories), "repository_id")
         .groupBy("name")
         .agg(
             F.sum(F.col("sloc") * per_finding).alias("total_sloc"),
             F.sum(n * per_file).alias("total_vulnerabilities"),
             *[
                 F.sum(F.coalesce(level, F.lit(0)) * per_file).alias(f"{level}_vulnerabilities")
-                for level in _LEVELS.values()
+                for level in LEVELS.values()
             ],
         )
-        .withColumn("per_1000_lines", _density(F.col("total_sloc"), F.col("total_vulnerabilities")))
+        .withColumn("per_1000_lines", density(F.col("total_sloc"), F.col("total_vulnerabilities")))
     )
 
 
@@ -178,7 +178,7 @@ def top_repositories(findings: DataFrame, scans: DataFrame, repositories: DataFr
         .limit(k)
     )
     return (
-        top.join(_names(repositories), "repository_id")
+        top.join(names(repositories), "repository_id")
         .select("repository_id", "name", "finding_count")
         .orderBy(F.desc("finding_count"), "repository_id")
     )
@@ -189,5 +189,5 @@ def recent_scans(scans: DataFrame, k: int | None = 5) -> DataFrame:
     return ordered if k is None else ordered.limit(k)
 
 
-def _names(repositories: DataFrame) -> DataFrame:
+def names(repositories: DataFrame) -> DataFrame:
     return repositories.select(F.col("id").alias("repository_id"), "name")

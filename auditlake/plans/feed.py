@@ -91,8 +91,19 @@ def new_commits_by_poll(pushes: DataFrame, interval: str = "5 minutes") -> DataF
 
 
 def detect_new_commits(repositories: DataFrame, refs: DataFrame) -> DataFrame:
-    """Repositories after one poll of (url, commit_hash); a missing hash changes nothing."""
-    seen = refs.groupBy("url").agg(F.max("commit_hash").alias("_seen"))  # one row a repository
+    """Repositories after one poll of (url, commit_hash); a missing hash changes nothing.
+
+    Where a URL is listed more than once, the row of its primary branch counts if
+    ``refs`` has ``branch``, then the newest by ``ts`` if it has that, then the
+    largest hash.
+    """
+    rank = [F.col("ts")] if "ts" in refs.columns else []
+    known = refs.filter(F.col("commit_hash").isNotNull())
+    if "branch" in refs.columns:
+        primary = repositories.select("url", F.col("primary_branch").alias("branch"))
+        known = known.join(primary, ["url", "branch"], "left_semi")
+    newest = F.max_by("commit_hash", F.struct(*rank, "commit_hash")).alias("_seen")
+    seen = known.groupBy("url").agg(newest)  # one row a repository
     changed = F.col("_seen").isNotNull() & ~F.col("_seen").eqNullSafe(F.col("last_commit_hash"))
     return (
         repositories.join(seen, "url", "left")

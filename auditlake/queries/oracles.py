@@ -682,5 +682,9 @@ FROM findings f LEFT JOIN (SELECT * FROM events QUALIFY row_number() OVER (PARTI
 }
 
 
+DASHBOARD["finding_density_kept_up"] = DASHBOARD["finding_density"]
+DASHBOARD["findings_by_language_kept_up"] = DASHBOARD["findings_by_language"]
+
+
 def oracle_sql() -> dict[str, str]:
     return {**DASHBOARD, **LISTING, **INGEST, **VALIDATION, **CORPUS, **FEED}

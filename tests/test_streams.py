@@ -150,3 +150,13 @@ def test_stored_hash_changes_only_with_a_new_one(spark):
     refs = spark.createDataFrame([("u1", "new_hash"), ("u2", "same"), ("u3", None), ("u4", "first")], "url string, commit_hash string")
     after = {row.url: (row.last_commit_hash, row.needs_scan) for row in P.detect_new_commits(repositories, refs).collect()}
     assert after == {"u1": ("new_hash", True), "u2": ("same", False), "u3": ("kept", True), "u4": ("first", True)}
+
+
+def test_a_url_listed_twice_takes_its_primary_branch_then_the_newest(spark):
+    repositories = spark.createDataFrame([("u1", "main", "old", False), ("u2", "dev", "old", False)], "url string, primary_branch string, last_commit_hash string, needs_scan boolean")
+    refs = [("u1", "main", "a", 1), ("u1", "main", "b", 0), ("u1", "zzz", "z", 9), ("u2", "main", "y", 5), ("u2", "dev", None, 9)]
+    table = spark.createDataFrame(refs, "url string, branch string, commit_hash string, ts int")
+    after = {r.url: (r.last_commit_hash, r.needs_scan) for r in P.detect_new_commits(repositories, table).collect()}
+    assert after == {"u1": ("a", True), "u2": ("old", False)}
+    newest = {r.url: r.last_commit_hash for r in P.detect_new_commits(repositories, table.drop("branch")).collect()}
+    assert newest == {"u1": "z", "u2": "y"}
