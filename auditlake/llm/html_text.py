@@ -76,6 +76,10 @@ class Element:
     score: float = 0.0
     chars: int = 0
     linked: int = 0
+    in_article: bool = False
+
+    def __post_init__(self):
+        self.in_article = self.parent is not None and (self.parent.in_article or self.parent.name == "article")
 
 
 def tree(page: str) -> Element:
@@ -156,16 +160,9 @@ def _pieces(root: Element, dropped) -> Iterator[tuple[str, Element, str]]:
             stack.append((part, iter(part.parts)))
 
 
-def _in_article(element: Element) -> bool:
-    above = element.parent
-    while above is not None and above.name != "article":
-        above = above.parent
-    return above is not None
-
-
 def _dropped(element: Element) -> bool:
     """Boilerplate by element or by name; the header of an article is its title and stays, whatever its name."""
-    if element.name == "header" and _in_article(element):
+    if element.name == "header" and element.in_article:
         return False
     return element.name in DROPPED or (element.unwanted and not element.wanted and element.name not in ("body", "html", "article", "main"))
 
@@ -194,18 +191,20 @@ def _scored(root: Element) -> Element | None:
     texts: dict[int, list[str]] = {}
     links = 0
     touched: dict[int, Element] = {}
+    holders = [root]  # open blocks, the root below them
     for kind, element, text in _pieces(root, _dropped):
         if kind == "open":
             links += element.name == "a"
+            if element.name in BLOCKS:
+                holders.append(element)
         elif kind == "text":
             element.chars += (n := len(text.strip()))
             element.linked += n if links else 0
-            above = element
-            while above is not None and above.name not in BLOCKS:
-                above = above.parent
-            texts.setdefault(id(above or root), []).append(text)
+            texts.setdefault(id(holders[-1]), []).append(text)
         else:
             links -= element.name == "a"
+            if element.name in BLOCKS:
+                holders.pop()
             if element.parent is not None:
                 element.parent.chars += element.chars
                 element.parent.linked += element.linked
