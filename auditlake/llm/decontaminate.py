@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake.llm.workers import keep_rows, map_arrow, with_text
+from auditlake.session import written
 
 BLOCK_CHARS = 8 << 20  # benchmark text in one automaton
+PASS_BLOCKS = 4  # automata of one pass over the documents; what the driver and a worker hold at a time
 
 # A-Z become a-z; every other ASCII byte that is no digit or letter ends a word.
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
@@ -66,7 +68,7 @@ class Windows:
         return [(a, b) for a, b in runs], items
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=PASS_BLOCKS)
 def _windows(items: tuple[tuple[str | None, str], ...], width: int) -> Windows:
     return Windows(list(items), width)
 
@@ -129,49 +131,74 @@ def scan(
     but nothing is named for them. Items that repeat count once. An empty benchmark hits nothing, an empty ``docs`` gives no
     row. ``keep`` names columns to pass through; no name of theirs clashes.
 
-    The benchmark goes to the workers in blocks of bounded size, one automaton
-    each: a larger benchmark makes more automata, scanned one after the other over
-    the words of the same batch, and the hits of all of them are joined.
+    The benchmark goes to the workers in blocks of bounded size, one automaton each,
+    ``PASS_BLOCKS`` of them with one pass over the documents. A larger benchmark
+    takes more passes: each but the last is written, with the texts and the hits so
+    far, so the driver and a worker never hold more than the blocks of one pass.
     """
-    spark = docs.sparkSession
-    wanted = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text"))
-    blocks, block, held = [], [], 0
-    for row in wanted.filter("text is not null").toLocalIterator():
-        block.append((row["item"], row["text"]))
-        held += len(row["text"])
-        if held > BLOCK_CHARS:
-            blocks.append(spark.sparkContext.broadcast(tuple(block)))
-            block, held = [], 0
-    blocks.append(spark.sparkContext.broadcast(tuple(block)))
-
     names = [id, *(keep or [])]
     rows, _, at = with_text(docs, names, text)
-    schema = T.StructType([*rows.schema.fields[: len(names)], *RESULT.fields])
-    width_of = len(names)
+    result = T.StructType([*rows.schema.fields[: len(names)], *RESULT.fields])
+    carried = T.StructType([*result.fields[:-1], T.StructField("_whole", T.StringType())])  # spans come last
     arrow = [pa.int64(), pa.int64(), pa.list_(pa.string()), *[pa.list_(pa.list_(pa.int64()))] * 2]
+    width_of = len(names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            folded = [normalised(t.as_py()) for t in batch.column(at)]
-            counts = [0] * len(folded)
-            runs = [[] for _ in folded]
-            items = [set() for _ in folded]
-            for shared in blocks:
-                windows = _windows(shared.value, width)
-                for k, t in enumerate(folded):
-                    words = t.split()
-                    counts[k] = len(words)
-                    found, owners = windows.scan(words)
-                    runs[k] += found
-                    items[k] |= owners
-            runs = [_joined(r) for r in runs]
-            spans = [_offsets(t, r) if r else [] for t, r in zip(folded, runs)]
-            values = [counts, [sum(b - a for a, b in r) for r in runs], [sorted(x) for x in items], runs, spans]
-            columns = [pa.array(v, kind) for v, kind in zip(values, arrow)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width_of], *columns], names=schema.names)
-
-    found = map_arrow(rows, run, schema)
-    return found.toDF(*names, *RESULT.names)
+    def pass_over(blocks: list, before: bool, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(batch.num_columns - 1 if before else at)
+                folded = [normalised(t.as_py()) for t in texts]
+                words = [t.split() for t in folded]
+                runs = [[tuple(r) for r in x] for x in batch.column("runs").to_pylist()] if before else [[] for _ in folded]
+                items = [set(x) for x in batch.column("items").to_pylist()] if before else [set() for _ in folded]
+                for shared in blocks:
+                    windows = _windows(shared.value, width)
+                    for k, found_words in enumerate(words):
+                        found, owners = windows.scan(found_words)
+                        runs[k] += found
+                        items[k] |= owners
+                runs = [_joined(r) for r in runs]
+                values = [[len(w) for w in words], [sum(b - a for a, b in r) for r in runs], [sorted(x) for x in items], runs]
+                if last:
+                    values.append([_offsets(t, r) if r else [] for t, r in zip(folded, runs)])
+                columns = [*batch.columns[:width_of], *[pa.array(v, kind) for v, kind in zip(values, arrow)]]
+                names_out = result.names if last else carried.names
+                yield pa.RecordBatch.from_arrays(columns if last else [*columns, texts], names=names_out)
+
+        return run
+
+    before, spark = False, docs.sparkSession
+    for blocks, last in _passes(benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text"))):
+        shared = [spark.sparkContext.broadcast(block) for block in blocks]
+        rows = map_arrow(rows, pass_over(shared, before, last), result if last else carried)
+        if not last:
+            rows, before = written(rows, "decontamination-pass"), True
+            for block in shared:
+                block.destroy()
+    return rows.toDF(*names, *RESULT.names)
+
+
+def _passes(items: DataFrame) -> Iterator[tuple[list[tuple], bool]]:
+    """The blocks of each pass and whether it is the last; one pass without blocks for an empty benchmark."""
+
+    def blocks() -> Iterator[tuple]:
+        block, held = [], 0
+        for row in items.filter("text is not null").toLocalIterator():
+            block.append((row["item"], row["text"]))
+            held += len(row["text"])
+            if held > BLOCK_CHARS:
+                yield tuple(block)
+                block, held = [], 0
+        if block:
+            yield tuple(block)
+
+    found, held = blocks(), []
+    for block in found:
+        if len(held) == PASS_BLOCKS:
+            yield held, False
+            held = []
+        held.append(block)
+    yield held, True
 
 
 def contaminated(n_words: str | Column = "n_words", n_hit: str | Column = "n_hit") -> Column:

@@ -18,6 +18,8 @@ SEED = 42
 THRESHOLD = 3  # the anchors below are made for this one
 CODE_LENGTH = 31  # the perfect Hamming code of length 2^5 - 1, covering radius 1
 SMALL = 32  # anchors of up to so many fingerprints are compared by shifting rows
+SAMPLED = 64  # one fingerprint in so many is counted to find large anchors
+LARGE = 64  # counted fingerprints from which an anchor is split
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -138,13 +140,25 @@ def links_at_anchors(anchor: np.ndarray, points: np.ndarray, threshold: int) ->
 def fingerprint_links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): links between distinct fingerprints that connect all within ``threshold`` bits.
 
-    The links span the same components as all pairs within the threshold. A task
-    streams its anchors in order and holds those of one batch and the anchor it
-    is in: 8 bytes a fingerprint.
+    The links span the same components as all pairs within the threshold. A large
+    anchor is split by the bytes of the half that it does not look at: of four, one
+    at least is equal where no more than 3 bits differ, so each fingerprint goes to
+    its four bytes there and no link is lost. Which anchors are large is found from
+    every ``SAMPLED``-th fingerprint by hash; it changes no result. A task streams
+    its anchors in order and holds those of one batch and the anchor it is in:
+    8 bytes a fingerprint.
     """
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the anchors cover thresholds up to {THRESHOLD}")
-    rows = distinct.select("fingerprint", F.explode(anchors(F.col("fingerprint"))).alias("anchor"))
+    at_anchors = lambda df: df.select("fingerprint", F.explode(anchors(F.col("fingerprint"))).alias("anchor"))
+    counted = at_anchors(distinct.filter(F.pmod(F.xxhash64("fingerprint"), F.lit(SAMPLED)) == 0))
+    large = counted.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= LARGE).select("anchor", F.lit(True).alias("large"))
+    value = F.col("fingerprint")
+    other = F.when(F.shiftright("anchor", 32) == 0, F.shiftrightunsigned(value, 32)).otherwise(value.bitwiseAND(F.lit(0xFFFFFFFF)))
+    bytes_ = [F.shiftright(other, 8 * k).bitwiseAND(F.lit(255)) + (256 * k + 1) for k in range(4)]
+    split = F.explode(F.when(F.col("large"), F.array(*bytes_)).otherwise(F.array(F.lit(0).cast("bigint")))).alias("byte")
+    split_rows = at_anchors(distinct).join(large, "anchor", "left").select("fingerprint", "anchor", split)
+    rows = split_rows.select(F.call_function("shiftleft", F.col("anchor"), F.lit(11)).bitwiseOR(F.col("byte")).alias("anchor"), "fingerprint")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_a, held_p = [], []

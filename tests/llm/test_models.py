@@ -171,3 +171,51 @@ def test_stages_over_odd_rows_and_clashing_columns(spark, sf_dir, texts):
         table = kept
     rows = corpus_pipeline.STAGES[-1][1](spark, table, sf_dir).collect()
     assert len(rows) == table.count()
+
+
+# 2 and 5
+
+
+def test_large_anchors_are_split_and_lose_no_link(spark, monkeypatch):
+    from auditlake.llm import simhash
+    from test_operators import classes
+
+    rng = np.random.default_rng(74)
+    near = rng.integers(0, 1 << 32, 400, np.uint64) << np.uint64(32)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(32, rng.integers(0, 4), replace=False)) for _ in near], np.uint64) << np.uint64(32)
+    values = np.unique(np.concatenate([near, near ^ flips, rng.integers(0, 1 << 63, 300, np.uint64)])) | np.uint64(7)
+    values = np.unique(values)
+    table = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fingerprint bigint")
+    pairs = np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= 3)
+    keys = values.view(np.int64).tolist()
+    want = classes(keys, [(keys[a], keys[b]) for a, b in zip(*pairs) if a < b])
+    for sampled, large in ((1, 2), (simhash.SAMPLED, simhash.LARGE)):
+        monkeypatch.setattr(simhash, "SAMPLED", sampled)
+        monkeypatch.setattr(simhash, "LARGE", large)
+        found = [(r.a, r.b) for r in simhash.fingerprint_links(table).collect()]
+        assert classes(keys, found) == want
+
+
+def test_fifty_thousand_fingerprints_of_one_anchor_go_to_many_tasks(spark):
+    from auditlake.llm import simhash
+
+    values = np.unique(np.random.default_rng(75).integers(0, 1 << 31, 50_000, np.uint64) << np.uint64(32)).view(np.int64)
+    table = spark.createDataFrame([(int(v),) for v in values], "fingerprint bigint")
+    start = time.perf_counter()
+    assert simhash.fingerprint_links(table).count() < len(values)
+    assert time.perf_counter() - start < 120
+
+
+@pytest.mark.parametrize("chars, passes", [(1, 1), (1, 3), (200, 2)])
+def test_benchmarks_of_many_blocks_take_more_passes(spark, monkeypatch, chars, passes):
+    from auditlake.llm import decontaminate
+
+    rng = random.Random(76)
+    items = [(k, words(rng, rng.randint(1, 30), POOL)) for k in range(12)] + [(None, "only here"), (3, None)]
+    texts = [words(rng, 20, POOL) + " " + items[k % 13][1] for k in range(40)]
+    table, bench = docs(spark, texts + ODD), spark.createDataFrame(items, "item_id bigint, text string")
+    whole = decontaminate.scan(table, bench, keep=["lang"]).collect()
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", passes)
+    assert sorted(map(repr, decontaminate.scan(table, bench, keep=["lang"]).collect())) == sorted(map(repr, whole))
+    assert any(r.n_hit for r in whole)
