@@ -64,6 +64,8 @@ MARKS = "".join(
 CLOSING = "\"')]}»›”’」』】）］｝〉》〕"
 SENTENCE_END = re.compile(f"[.!?{MARKS}][.!?{MARKS}{re.escape(CLOSING)}]*+")
 BEYOND = re.compile(f"[{MARKS}]")
+PLAIN_END = re.compile(f"[.!?][.!?{re.escape(CLOSING)}]*+(?=[ \t\n]|\\Z)")  # where no mark beyond ASCII occurs
+GATHERED = 30_000  # words that the lattice reads at once
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -218,15 +220,12 @@ def passages_of(text: str | None) -> list[list[bytes]]:
     Units are the words but where a sentence ends inside a word, and the token ``BREAK``.
     """
     text = (text or "").replace("\r", "\n").replace("\v", "\n").replace("\f", "\n")
-
-    def end(found: re.Match) -> str:
-        mark, after = found[0], text[found.end() : found.end() + 1]
-        if not after or after in " \t\n":
-            return mark + "\r"
-        return mark + "\v\r" if not mark.isascii() and BEYOND.search(mark) else mark
-
+    if text.isascii() or set(text).isdisjoint(MARKS):
+        marked = PLAIN_END.sub("\\g<0>\r", text)
+    else:
+        marked = _marked(text)
     parts = []
-    for line in SENTENCE_END.sub(end, text).encode("utf-8", "surrogatepass").lower().split(b"\n"):
+    for line in marked.encode("utf-8", "surrogatepass").lower().split(b"\n"):
         *ended, rest = line.split(b"\r")
         for sentence in ended:
             units = sentence.split()
@@ -238,6 +237,18 @@ def passages_of(text: str | None) -> list[list[bytes]]:
     return parts
 
 
+def _marked(text: str) -> str:
+    """The text with a carriage return behind each sentence, marks of any script."""
+
+    def end(found: re.Match) -> str:
+        mark, after = found[0], text[found.end() : found.end() + 1]
+        if not after or after in " \t\n":
+            return mark + "\r"
+        return mark + "\v\r" if not mark.isascii() and BEYOND.search(mark) else mark
+
+    return SENTENCE_END.sub(end, text)
+
+
 def _joined(parts: list[list[bytes]]) -> bool:
     """Whether a sentence ends inside a word."""
     return any(units[-1].endswith(JOINED) for units in parts)
@@ -308,6 +319,18 @@ def token_counts(docs: DataFrame, train: str, text: str = "text") -> DataFrame:
     return rows.groupBy("word", "passage").agg(F.sum("c").alias("c"), F.sum("u").alias("u"))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``GATHERED`` or more, the last one aside."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHERED:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _discount(counts: DataFrame, c: str = "c") -> tuple[int, int, float]:
     """(sum, kinds above 0, discount) of a column of counts; the discount from the kinds met once and twice."""
     of = lambda n: F.sum((F.col(c) == n).cast("bigint"))
@@ -322,11 +345,12 @@ def _log_sum(a: Column, b: Column) -> Column:
 
 
 def score(docs: DataFrame, path: str, train: str, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """(id, train, n_tokens, n_known, train_tokens, base_score, score) per row.
+    """(id, train, n_tokens, n_known, train_tokens, base_score, score, lattice_score) per row.
 
     ``train`` names a boolean column: rows to learn from (null: not). ``score`` is
-    the model's log10 probability of the whole text, ``base_score`` that of counts
-    with 0.1 added. Null and empty texts are one end. Repeated rows count and are
+    the model's log10 probability of the whole text, ``lattice_score`` that of the
+    subword lattice alone, over all segmentations by the vocabulary's scores,
+    ``base_score`` that of counts with 0.1 added. Null and empty texts are one end. Repeated rows count and are
     scored each; without rows to learn from, the lattice alone scores; an empty
     table gives no row; other columns are not read.
 
@@ -355,7 +379,7 @@ def score(docs: DataFrame, path: str, train: str, text: str = "text", id: str =
     def expectations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Vocabulary(*start.value)
         total = np.zeros(len(model.pieces))
-        for batch in batches:
+        for batch in _gathered(batches):
             total += model.expected([w.removesuffix(JOINED) for w in batch.column(0).to_pylist()])
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
@@ -372,20 +396,23 @@ def score(docs: DataFrame, path: str, train: str, text: str = "text", id: str =
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Vocabulary(*model.value)
-        for batch in batches:
+        for batch in _gathered(batches):
             logs = unit_logs(lattice, batch.column(0).to_pylist())
             u = batch.column(2).to_numpy()
             with np.errstate(divide="ignore"):
                 counted = np.log(np.maximum(u - discount, 0) / max(n_units, 1))
             total = np.logaddexp(counted, logs + math.log(back_off)) / math.log(10)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total)], names=["word", "c", "u", "log"])
+            columns = [*batch.columns, pa.array(total), pa.array(logs / math.log(10))]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "c", "u", "log", "lattice"])
 
-    lexicon = written(map_arrow(words, scored, "word binary, c bigint, u bigint, log double"), "word-scores")
+    lexicon = written(map_arrow(words, scored, "word binary, c bigint, u bigint, log double, lattice double"), "word-scores")
     base_all = math.log10(tokens + 0.1 * (kinds + 1))
-    base = (F.log10(F.col("c") + 0.1) - F.lit(base_all)).alias("base")
-    lexicon = lexicon.select("word", base, "log", (F.col("c") > 0).cast("bigint").alias("known"), F.greatest("c", "u").alias("c"))
+    is_word = F.col("word") != F.lit(BREAK)
+    base = F.when(is_word, F.log10(F.col("c") + 0.1) - F.lit(base_all)).otherwise(0.0).alias("base")
+    known_word = (is_word & (F.col("c") > 0)).cast("bigint").alias("known")
+    lexicon = lexicon.select("word", base, "log", known_word, "lattice", F.greatest("c", "u").alias("c"))
     top = lexicon.orderBy(F.desc("c"), "word").limit(FREQUENT).drop("c").toArrow()
-    frequent = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), zip(*(top[c].to_pylist() for c in ("base", "log", "known"))))))
+    frequent = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), zip(*(top[c].to_pylist() for c in ("base", "log", "known", "lattice"))))))
     end = max(trained - discount, 0) / max(n_units, 1) + back_off * END_SHARE
     left_over = passage_discount * passage_kinds / n_passages if n_passages else 1.0
     end_log = math.log10(max(trained - passage_discount, 0) / max(n_passages, 1) + left_over * end)
@@ -400,7 +427,7 @@ def score(docs: DataFrame, path: str, train: str, text: str = "text", id: str =
                 value = value.as_py()
                 parts = passages_of(value)
                 joined = _joined(parts)
-                n_tokens, base, found = 1, end_base, end_known
+                n_tokens, base, found, lattice = 1, end_base, end_known, math.log10(END_SHARE)
                 hashes, logs, rest = [], [], ([], [], [], [])
 
                 def rare(units: Counter, at: int, as_word: bool, as_unit: bool):
@@ -410,25 +437,24 @@ def score(docs: DataFrame, path: str, train: str, text: str = "text", id: str =
                     rest[3].extend([at] * len(units))
 
                 for at, part in enumerate(parts):
-                    log, missed = 0.0, Counter()
-                    for unit in part:
-                        entry = look(unit)
-                        if entry is None:
-                            missed[unit] += 1
-                        else:
-                            log += entry[1]
-                            if not joined and unit != BREAK:
-                                base += entry[0]
-                                found += entry[2]
-                    if not joined:
-                        n_tokens += len(part) - (part[-1] == BREAK)
+                    log, entries = 0.0, list(map(look, part))
+                    if None in entries:
+                        missed = Counter(unit for unit, entry in zip(part, entries) if entry is None)
+                        entries = [entry for entry in entries if entry]
+                        if BREAK in missed:
+                            rare(Counter({BREAK: missed.pop(BREAK)}), at, False, True)
+                        rare(missed, at, not joined, True)
+                    for own, total, known, marginal in entries:
+                        base += own
+                        log += total
+                        found += known
+                        lattice += marginal
+                    n_tokens += len(part) - (part[-1] == BREAK)
                     hashes.append(_passage_hash(part))
                     logs.append(log)
-                    if BREAK in missed:
-                        rare(Counter({BREAK: missed.pop(BREAK)}), at, False, True)
-                    rare(missed, at, not joined, True)
                 if joined:  # words differ from units
                     missed = Counter()
+                    n_tokens, base, found = 1, end_base, end_known
                     for word in words_of(value):
                         n_tokens += 1
                         entry = look(word)
@@ -438,15 +464,15 @@ def score(docs: DataFrame, path: str, train: str, text: str = "text", id: str =
                             base += entry[0]
                             found += entry[2]
                     rare(missed, 0, True, False)
-                out.append((task + number, n_tokens, found, base, hashes, logs, *rest))
+                out.append((task + number, n_tokens, found, base, lattice, hashes, logs, *rest))
                 number += 1
             lists = [pa.list_(t) for t in (pa.int64(), pa.float64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), *lists]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *lists]
             columns = [pa.array(list(x), t) for x, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=names)
 
-    names = ["_id", "_train", "row", "n_tokens", "n_known", "base", "hashes", "logs", "words", "counts", "uses", "places"]
-    schema = f"""_id {id_type}, _train boolean, row bigint, n_tokens bigint, n_known bigint, base double, hashes array<bigint>,
+    names = ["_id", "_train", "row", "n_tokens", "n_known", "base", "lattice", "hashes", "logs", "words", "counts", "uses", "places"]
+    schema = f"""_id {id_type}, _train boolean, row bigint, n_tokens bigint, n_known bigint, base double, lattice double, hashes array<bigint>,
         logs array<double>, words array<binary>, counts array<bigint>, uses array<bigint>,
         places array<bigint>"""
     rows = written(map_arrow(source.select("_id", "_text", "_train"), read, schema), "frequent-scores")
@@ -458,7 +484,10 @@ def score(docs: DataFrame, path: str, train: str, text: str = "text", id: str =
     n = F.col("n")
     more = F.struct("place", (F.col("u") * F.col("log")).alias("log"))
     rest = rest.join(lexicon.drop("c"), "word").groupBy("row").agg(
-        F.sum(n * F.col("known")).alias("more_known"), F.sum(n * F.col("base")).alias("more_base"), F.collect_list(more).alias("more")
+        F.sum(n * F.col("known")).alias("more_known"),
+        F.sum(n * F.col("base")).alias("more_base"),
+        F.sum(F.col("u") * F.col("lattice")).alias("more_lattice"),
+        F.collect_list(more).alias("more"),
     )  # one row a text, no longer than the text
     filled = written(rows.drop("words", "counts", "uses", "places").join(rest, "row", "left"), "filled-scores")
 
@@ -481,7 +510,7 @@ def score(docs: DataFrame, path: str, train: str, text: str = "text", id: str =
         .groupBy("row")
         .agg(F.sum("part_log").alias("score"))
     )
-    whole = filled.select("_id", "_train", "row", "n_tokens", "n_known", "base", "more_known", "more_base").join(sums, "row", "left")
+    whole = filled.select("_id", "_train", "row", "n_tokens", "n_known", "base", "lattice", "more_known", "more_base", "more_lattice").join(sums, "row", "left")
     return whole.select(
         F.col("_id").alias(id),
         F.col("_train").alias("train"),
@@ -490,4 +519,5 @@ def score(docs: DataFrame, path: str, train: str, text: str = "text", id: str =
         F.lit(tokens).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
         (F.coalesce("score", F.lit(0.0)) + F.lit(end_log)).alias("score"),
+        (F.col("lattice") + F.coalesce("more_lattice", F.lit(0.0))).alias("lattice_score"),
     )
