@@ -28,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -412,63 +413,59 @@ def score(docs: DataFrame, path: str, train: str, text: str = "text", id: str =
     known_word = (is_word & (F.col("c") > 0)).cast("bigint").alias("known")
     lexicon = lexicon.select("word", base, "log", known_word, "lattice", F.greatest("c", "u").alias("c"))
     top = lexicon.orderBy(F.desc("c"), "word").limit(FREQUENT).drop("c").toArrow()
-    frequent = spark.sparkContext.broadcast(dict(zip(top["word"].to_pylist(), zip(*(top[c].to_pylist() for c in ("base", "log", "known", "lattice"))))))
+    held = [top[c].to_numpy() for c in ("base", "log", "known", "lattice")]
+    frequent = spark.sparkContext.broadcast((dict(zip(top["word"].to_pylist(), range(len(top)))), *held))
     end = max(trained - discount, 0) / max(n_units, 1) + back_off * END_SHARE
     left_over = passage_discount * passage_kinds / n_passages if n_passages else 1.0
     end_log = math.log10(max(trained - passage_discount, 0) / max(n_passages, 1) + left_over * end)
     end_base, end_known = math.log10(trained + 0.1) - base_all, int(trained > 0)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = frequent.value.get
+        index, *columns = frequent.value
+        base_of, log_of, known_of, lattice_of = (np.append(c, 0) for c in columns)  # the last for words not held
         task, number = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
-            out = []
-            for value in batch.column(1):
-                value = value.as_py()
-                parts = passages_of(value)
-                joined = _joined(parts)
-                n_tokens, base, found, lattice = 1, end_base, end_known, math.log10(END_SHARE)
-                hashes, logs, rest = [], [], ([], [], [], [])
-
-                def rare(units: Counter, at: int, as_word: bool, as_unit: bool):
-                    rest[0].extend(units)
-                    rest[1].extend(units.values() if as_word else [0] * len(units))
-                    rest[2].extend(units.values() if as_unit else [0] * len(units))
-                    rest[3].extend([at] * len(units))
-
-                for at, part in enumerate(parts):
-                    log, entries = 0.0, list(map(look, part))
-                    if None in entries:
-                        missed = Counter(unit for unit, entry in zip(part, entries) if entry is None)
-                        entries = [entry for entry in entries if entry]
-                        if BREAK in missed:
-                            rare(Counter({BREAK: missed.pop(BREAK)}), at, False, True)
-                        rare(missed, at, not joined, True)
-                    for own, total, known, marginal in entries:
-                        base += own
-                        log += total
-                        found += known
-                        lattice += marginal
-                    n_tokens += len(part) - (part[-1] == BREAK)
-                    hashes.append(_passage_hash(part))
-                    logs.append(log)
-                if joined:  # words differ from units
-                    missed = Counter()
-                    n_tokens, base, found = 1, end_base, end_known
-                    for word in words_of(value):
-                        n_tokens += 1
-                        entry = look(word)
-                        if entry is None:
-                            missed[word] += 1
-                        else:
-                            base += entry[0]
-                            found += entry[2]
-                    rare(missed, 0, True, False)
-                out.append((task + number, n_tokens, found, base, lattice, hashes, logs, *rest))
-                number += 1
-            lists = [pa.list_(t) for t in (pa.int64(), pa.float64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *lists]
-            columns = [pa.array(list(x), t) for x, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types]
+            texts = [value.as_py() for value in batch.column(1)]
+            n, parsed = len(texts), [passages_of(t) for t in texts]
+            parts = [part for of in parsed for part in of]
+            units = list(chain.from_iterable(parts))
+            at = np.fromiter(map(index.get, units, repeat(-1)), np.int64, len(units))
+            n_parts = np.fromiter(map(len, parsed), np.int64, n)
+            part_of = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))
+            text_of_part = np.repeat(np.arange(n), n_parts)
+            text_of, first = text_of_part[part_of], np.cumsum(n_parts) - n_parts
+            logs = np.bincount(part_of, log_of[at], len(parts))
+            base = end_base + np.bincount(text_of, base_of[at], n)
+            found = end_known + np.bincount(text_of, known_of[at], n).astype(np.int64)
+            lattice = math.log10(END_SHARE) + np.bincount(text_of, lattice_of[at], n)
+            broken = np.fromiter((part[-1] == BREAK for part in parts), bool, len(parts))
+            n_tokens = 1 + np.bincount(text_of, minlength=n) - np.bincount(text_of_part, broken, n).astype(np.int64)
+            joined = np.fromiter(map(_joined, parsed), bool, n)
+
+            missed = np.flatnonzero(at < 0)
+            rest = [units[k] for k in missed]
+            owner, place = text_of[missed], part_of[missed] - first[text_of[missed]]
+            as_word = ~joined[owner] & np.fromiter((unit != BREAK for unit in rest), bool, len(rest))
+            as_unit = np.ones(len(rest), bool)
+            for k in np.flatnonzero(joined).tolist():  # words differ from units
+                words = words_of(texts[k])
+                own = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+                n_tokens[k], base[k], found[k] = 1 + len(words), end_base + base_of[own].sum(), end_known + int(known_of[own].sum())
+                more = [words[x] for x in np.flatnonzero(own < 0)]
+                rest += more
+                owner, place = np.append(owner, np.full(len(more), k)), np.append(place, np.zeros(len(more), np.int64))
+                as_word, as_unit = np.append(as_word, np.ones(len(more), bool)), np.append(as_unit, np.zeros(len(more), bool))
+            order = np.argsort(owner, kind="stable")
+            ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=n))].astype(np.int32)
+            listed = [pa.array(rest, pa.binary()).take(pa.array(order)), *[pa.array(x.astype(np.int64)[order]) for x in (as_word, as_unit, place)]]
+            part_ends = np.r_[0, np.cumsum(n_parts)].astype(np.int32)
+            hashes = pa.array([_passage_hash(part) for part in parts], pa.int64())
+            columns = [
+                *(pa.array(x) for x in (task + number + np.arange(n), n_tokens, found, base, lattice)),
+                *(pa.ListArray.from_arrays(pa.array(part_ends), x) for x in (hashes, pa.array(logs))),
+                *(pa.ListArray.from_arrays(pa.array(ends), x) for x in listed),
+            ]
+            number += n
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=names)
 
     names = ["_id", "_train", "row", "n_tokens", "n_known", "base", "lattice", "hashes", "logs", "words", "counts", "uses", "places"]
