@@ -32,7 +32,7 @@ NONE = np.int32((1 << 31) - 1)
 ROW_BYTES = 64  # longer pieces get a tree of their own
 WIDE_ASCII = ["  ", " \n", " \t", " \r", " \v", " \f"]
 MARKS = ".,;:!?"
-KEPT = 200_000  # segments a worker remembers between batches, each of at most KEPT_CHARS
+KEPT = 400_000  # segments a worker remembers between batches, each of at most KEPT_CHARS
 KEPT_CHARS = 64
 
 
@@ -71,8 +71,7 @@ class ByteBpe:
             raise ValueError("vocabularies of up to 65535 tokens fit the trees")
         keys = np.array([vocab[a] * size + vocab[b] for a, b in merges], np.uint32)
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
-        order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self._hash_pairs(keys)
         self.rank_of = dict(zip(keys.tolist(), range(len(keys))))
         self.merged_list = self.merged.tolist()
         longest_first = sorted(map(regex.escape, added), key=len, reverse=True)
@@ -82,62 +81,96 @@ class ByteBpe:
         self.after_space: dict[str, bytes] = {}  # ids of " " + segment
         self.plain: dict[str, bytes] = {}
 
+    def _hash_pairs(self, keys: np.ndarray) -> None:
+        """Pair keys in a table of open addressing, a tenth full: most look-ups are one probe."""
+        bits = max(10, (10 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint32(32 - bits), (1 << bits) - 1
+        self.slot_keys = np.zeros(1 << bits, np.uint32)
+        self.slot_ranks = np.full(1 << bits, NONE, np.int32)
+        for rank, (key, slot) in enumerate(zip(keys.tolist(), self._slots(keys).tolist())):
+            while self.slot_ranks[slot] != NONE:
+                slot = (slot + 1) & self.mask
+            self.slot_keys[slot], self.slot_ranks[slot] = key, rank
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint32(0x9E3779B1)) >> self.shift).astype(np.int64)
+
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.uint32) * np.uint32(self.size) + right.astype(np.uint32)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+        slot = self._slots(key)
+        ranks = self.slot_ranks[slot]
+        rest = np.flatnonzero((ranks != NONE) & (self.slot_keys[slot] != key))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & self.mask
+            ranks[rest] = self.slot_ranks[slot[rest]]
+            rest = rest[(ranks[rest] != NONE) & (self.slot_keys[slot[rest]] != key[rest])]
+        return ranks
 
     def _merge_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
-        """Ids of pieces of at most ``width`` (a power of 2, up to 64) bytes: one tree a row."""
+        """Ids of pieces of at most ``width`` (a power of 2, up to 64) bytes: one tree a row.
+
+        All arrays are flat: row k starts at ``k * width``, its tree at twice that.
+        """
         n = len(pieces)
         sizes = np.fromiter(map(len, pieces), np.int64, n)
         columns = np.arange(width)
-        inside = columns < sizes[:, None]
-        ids = np.zeros((n, width + 1), np.int32)
-        ids[:, :width][inside] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
-        after = np.where(columns + 1 < sizes[:, None], columns + 1, width)
-        before = np.broadcast_to(columns - 1, (n, width)).copy()
+        inside = (columns < sizes[:, None]).ravel()
+        ids = np.zeros(n * width, np.int32)
+        ids[inside] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        after = np.where(columns + 1 < sizes[:, None], columns + 1, width).astype(np.int32).ravel()
+        before = np.broadcast_to(columns - 1, (n, width)).astype(np.int32).ravel()
         alive = inside.copy()
         tree = np.full((n, 2 * width), NONE, np.int32)
+        places = np.flatnonzero((after < width) & inside)  # places that start a pair
+        ranks = self._pair_ranks(ids[places], ids[places + 1])
+        at = (places % width).astype(np.int32)
+        tree[places // width, width + at] = np.where(ranks == NONE, NONE, np.where(ranks == NONE, 0, ranks) * np.int32(ROW_BYTES) + at)
+        for node in range(width - 1, 0, -1):
+            np.minimum(tree[:, 2 * node], tree[:, 2 * node + 1], out=tree[:, node])
+        flat, levels = tree.ravel(), width.bit_length() - 1
 
         def leaf(row, at, right):
-            ranks = self._pair_ranks(ids[row, at], ids[row, right])
-            found = (right < width) & (ranks != NONE)
-            return np.where(found, np.where(found, ranks, 0) * np.int32(ROW_BYTES) + at.astype(np.int32), NONE)
-
-        rows, starts = np.nonzero(inside)
-        tree[rows, width + starts] = leaf(rows, starts, after[rows, starts])
-        for node in range(width - 1, 0, -1):
-            tree[:, node] = np.minimum(tree[:, 2 * node], tree[:, 2 * node + 1])
+            """The values of the leaves of pairs (at, right) of rows."""
+            has = np.flatnonzero(right < width)
+            values = np.full(len(row), NONE, np.int32)
+            base = row[has] * width
+            ranks = self._pair_ranks(ids[base + at[has]], ids[base + right[has]])
+            known = np.flatnonzero(ranks != NONE)
+            has = has[known]
+            values[has] = ranks[known] * np.int32(ROW_BYTES) + at[has].astype(np.int32)
+            return values
 
         def update(row, at, value):
-            node = at + width
-            tree[row, node] = value
-            while node[0] > 1:  # all leaves are at one depth
+            """Set leaves and carry each up to its root."""
+            root, node = row * (2 * width), at + width
+            flat[root + node] = value
+            for _ in range(levels):
+                pair = root + (node & -2)
                 node = node >> 1
-                tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
+                value = np.minimum(flat[pair], flat[pair + 1])
+                flat[root + node] = value
 
         row = np.flatnonzero(tree[:, 1] < NONE)
         while len(row):
-            root = tree[row, 1]
-            at, rank = root % ROW_BYTES, root // ROW_BYTES
-            gone = after[row, at]
-            right = after[row, gone]
-            ids[row, at] = self.merged[rank]
-            alive[row, gone] = False
-            after[row, at] = right
-            has = right < width
-            before[row[has], right[has]] = at[has]
+            root = flat[row * (2 * width) + 1]
+            at, base = (root % ROW_BYTES).astype(np.int64), row * width
+            gone = after[base + at].astype(np.int64)
+            right = after[base + gone].astype(np.int64)
+            ids[base + at] = self.merged[root // ROW_BYTES]
+            alive[base + gone] = False
+            after[base + at] = right
+            has = np.flatnonzero(right < width)
+            before[base[has] + right[has]] = at[has]
             update(row, gone, NONE)
             update(row, at, leaf(row, at, right))
-            left = before[row, at]
-            has = left >= 0
-            if has.any():
+            left = before[base + at].astype(np.int64)
+            has = np.flatnonzero(left >= 0)
+            if len(has):
                 update(row[has], left[has], leaf(row[has], left[has], at[has]))
-            row = row[tree[row, 1] < NONE]
-        flat = ids[:, :width][alive].astype("<u4").tobytes()
-        ends = (4 * np.cumsum(alive.sum(axis=1))).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+            row = row[flat[row * (2 * width) + 1] < NONE]
+        found = ids[alive].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(alive.reshape(n, width).sum(axis=1))).tolist()
+        return [found[a:b] for a, b in zip([0, *ends], ends)]
 
     def _merge_one(self, piece: bytes) -> bytes:
         """Ids of one piece of any length."""
@@ -293,7 +326,7 @@ def _spec(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(file.read())
 
 
-def pieces_of_batch(column: pa.Array, limit: int = 2 << 20) -> Iterator[list[str]]:
+def pieces_of_batch(column: pa.Array, limit: int = 8 << 20) -> Iterator[list[str]]:
     """The texts of a column in turns of about ``limit`` characters; null is empty."""
     turn, held = [], 0
     for value in column:
