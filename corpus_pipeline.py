@@ -48,7 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; each result is written as Parquet and read again."""
+    """The stages over ``documents``; each result is written as Parquet and read again.
+
+    Null and empty texts are not toxic, tell no language (and go there), and very
+    long ones are read whole. Repeated rows stand or fall together; of ties among
+    near copies the smallest id stays, rows without id stay. An empty table gives no
+    row, and further columns pass through all stages but the last, whatever their names.
+    """
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
