@@ -371,3 +371,33 @@ def test_report_files(spark, tmp_path):
     (folder / "r.json").write_text('{"Issues": [\n{"file": "a.go", "line": "3"}]}')
     (row,) = ingest.to_store(ingest.ingest(store.report_files(spark, str(tmp_path)))).collect()
     assert (row.scan_id, row.file_path, row.line_number) == (4, "a.go", 3)
+
+
+def test_marked_matches_are_deduplicated_without_comparing_them(spark):
+    dependencies = spark.createDataFrame(
+        [(1, "p", "1"), (1, "p", None), (1, "q", "1"), (2, "p", "1"), (2, "p", "2"), (3, "q", None), (3, "p", "1"), (None, "p", "1")],
+        "scan_id long, package string, version string",
+    )
+    advisories = spark.createDataFrame(
+        [("p", "1", "A", "a"), ("p", "1", "A", "a"), ("p", "2", "B", "b"), ("p", "1", "B", "b"), ("q", "1", "B", "b"), ("q", None, "C", None), ("p", "1", None, "n")],
+        "package string, version string, advisory_id string, summary string",
+    )
+    plain = joins.advisory_findings(joins.match_advisories(dependencies, advisories))
+    marked = joins.advisory_findings(joins.match_advisories(dependencies, advisories, told=True))
+    rows = sorted(map(str, plain.collect()))
+    assert sorted(map(str, marked.drop("once").collect())) == rows and len(rows) == len(set(rows))
+    twice = joins.match_advisories(dependencies.union(dependencies), advisories, told=True)
+    union = joins.deep_scan_findings({"advisory": joins.advisory_findings(twice)})
+    assert sorted(map(str, union.drop("tool").collect())) == rows
+    partly = marked.withColumn("once", F.col("cve_id") == "A").withColumn("k", F.explode(F.when(F.col("once"), F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2))))).drop("k")
+    assert sorted(map(str, joins.deep_scan_findings({"advisory": partly}).drop("tool").collect())) == rows
+
+
+def test_advisories_of_a_package_meet_a_scan_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 3)
+    advisories = spark.range(20).select(F.lit("p").alias("package"), F.lit("1").alias("version"), F.concat(F.lit("A"), "id").alias("advisory_id"), F.lit("s").alias("summary"))
+    dependencies = spark.createDataFrame([(1, "p", None), (2, "p", None), (2, "q", None)], "scan_id long, package string, version string")
+    matched = joins.match_advisories(dependencies, advisories)
+    assert sorted((r.scan_id, r.advisory_id) for r in matched.collect()) == sorted((s, f"A{i}") for s in (1, 2) for i in range(20))
+    tasks = matched.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) > 1
