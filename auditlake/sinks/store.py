@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.operators.filters import might_hold
 from auditlake.schemas import EXPORT_COLUMNS, STORE
 from auditlake.session import shared_path
 from auditlake.sources.store import read_table
 
 
+SCAN_BITS = 1 << 26  # 8 MB: one scan a repository is exported, of millions of repositories
+
+
 def new_store(spark: SparkSession) -> str:
     """An empty store folder below the shared folder of the session."""
     return shared_path(spark, "store")
@@ -48,11 +52,17 @@ def write_snapshot(df: DataFrame, root: str, name: str, version: int) -> str:
 
 
 def export_rows(findings: DataFrame, scans: DataFrame, repositories: DataFrame) -> DataFrame:
-    """Findings of the newest scan of each URL's newest repository row, in export columns."""
+    """Findings of the newest scan of each URL's newest repository row, in export columns.
+
+    Findings of other scans are left out by a run-time filter where they are read,
+    below the joins that they may come from.
+    """
     newest = repositories.groupBy("url").agg(F.max("id").alias("repository_id"))
     last = scans.groupBy("repository_id").agg(F.max("id").alias("scan_id"))
     chosen = newest.join(last, "repository_id").select("url", "scan_id")
-    return findings.join(chosen, "scan_id").select("url", *EXPORT_COLUMNS)
+    exported = might_hold(chosen.select(F.col("scan_id").cast("string")), SCAN_BITS)
+    kept = findings.filter(exported(F.col("scan_id").cast("string")))
+    return kept.join(chosen, "scan_id").select("url", *EXPORT_COLUMNS)
 
 
 def export_json(rows: DataFrame, path: str) -> None:
