@@ -38,16 +38,14 @@ def ordered_lists(df: DataFrame, keys: list[str], order: list[str], item: Column
     )
 
 
-def pages(df: DataFrame, keys: list[str], row_id: str, page_size: int) -> DataFrame:
-    """Add ``group_size``, ``pages`` and ``page``: rows of a key hashed over enough pages.
+def pages(sizes: DataFrame, page_size: int) -> DataFrame:
+    """(keys, group_size) with ``pages``, over which the rows of a key are hashed by ``page_of``.
 
     Pages hold ``page_size`` rows on average, so collecting (key, page) groups is
-    bounded for every key; sizes are counted map-side first.
+    bounded for every key. Sizes are counted by the caller, before rows are joined.
     """
-    sizes = df.groupBy(keys).agg(F.count("*").alias("group_size"))
-    n_pages = F.ceil(F.col("group_size") / page_size)
-    return (
-        df.join(sizes, keys)
-        .withColumn("pages", n_pages)
-        .withColumn("page", F.pmod(F.xxhash64(row_id), F.col("pages")))
-    )
+    return sizes.withColumn("pages", F.ceil(F.col("group_size") / page_size))
+
+
+def page_of(row_id: str) -> Column:
+    return F.pmod(F.xxhash64(row_id), F.col("pages"))

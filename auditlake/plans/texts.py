@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.paths import is_config_file, is_source_file, is_test_path
 from auditlake.functions.text import strip
-from auditlake.operators.segments import ordered_lists, pages
+from auditlake.operators.filters import might_hold
+from auditlake.operators.segments import ordered_lists, page_of, pages
 
 
 def transcripts(messages: DataFrame, thread: list[str], order: list[str], limit: int = 10_000) -> DataFrame:
@@ -80,6 +81,9 @@ def nested_report(
     repository's total. Findings with more evidence than ``limit`` come again in
     further rows, one per segment of it: (repository, page, segment) is the key of
     the result, and segment 0 holds every finding once.
+
+    Findings are counted by scan before any join, so whole rows move twice: to
+    their scan and to their page. Only those that may have evidence meet it.
     """
     known = evidence.filter(F.col("finding_id").isNotNull())
     order = ["type", "content", *(c for c in ["id"] if c in evidence.columns)]  # pieces equal in both are alike in the list
@@ -87,7 +91,13 @@ def nested_report(
         F.col("finding_id").alias("id"), "segment", F.col("items").alias("evidence")
     )
     owners = scans.select(F.col("id").alias("scan_id"), "repository_id")
-    rows = pages(findings.join(owners, "scan_id"), ["repository_id"], "id", page_size).join(proofs, "id", "left")
+    counts = findings.groupBy("scan_id").agg(F.count("*").alias("_n"))
+    sizes = pages(owners.join(counts, "scan_id").groupBy("repository_id").agg(F.sum("_n").alias("group_size")), page_size)
+    places = owners.join(sizes, "repository_id")
+    rows = findings.join(places, "scan_id").withColumn("page", page_of("id"))
+    has_proof = might_hold(known.select(F.col("finding_id").cast("string")))(F.col("id").cast("string"))
+    bare = rows.filter(~has_proof).withColumns({c: F.lit(None).cast(proofs.schema[c].dataType) for c in ("segment", "evidence")})
+    rows = rows.filter(has_proof).join(proofs, "id", "left").unionByName(bare)
     none: Column = F.array().cast("array<struct<type:string,content:string>>")
     entry = F.struct(
         "id",
@@ -101,15 +111,20 @@ def nested_report(
         F.coalesce("evidence", none).alias("evidence"),
     )
     names = repositories.select(F.col("id").alias("repository_id"), "name")
+    each_page = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pages") - 1)).alias("page")
+    named = names.join(sizes, "repository_id").select("repository_id", "name", each_page)
+    place = ["repository_id", "page"]
     return (
-        rows.groupBy(
-            "repository_id",
-            "page",
+        rows.select(
+            *place,
             "pages",
             F.coalesce("segment", F.lit(0).cast("bigint")).alias("segment"),
             F.col("group_size").alias("finding_count"),
+            entry.alias("entry"),
         )
-        .agg(F.sort_array(F.collect_list(entry)).alias("findings"))
-        .join(names, "repository_id")
+        .repartition(*place)
+        .groupBy(*place, "pages", "segment", "finding_count")
+        .agg(F.sort_array(F.collect_list("entry")).alias("findings"))
+        .join(named, place)
         .select("repository_id", "name", "finding_count", "page", "pages", "segment", "findings")
     )

@@ -140,9 +140,13 @@ class Host:
 
     def lines(self) -> DataFrame:
         """Findings without their description: lineitem alone."""
+        return self.described_lines(self.table("lineitem"))
+
+    def described_lines(self, rows: DataFrame, *more: str) -> DataFrame:
+        """What ``lines`` says of lineitem rows, which may be joined already."""
         from auditlake.functions.severity import map_severity
 
-        return self.table("lineitem").select(
+        return rows.select(
             self.line_id().alias("id"),
             F.col("l_orderkey").alias("scan_id"),
             self.line_path().alias("file_path"),
@@ -152,10 +156,11 @@ class Host:
             F.lit("new").alias("status"),
             self.tool().alias("tool"),
             F.col("l_partkey").alias("part_key"),
+            *more,
         )
 
     def findings(self) -> DataFrame:
-        """Findings with description, snippet and CVE: lineitem joined with part."""
+        """Findings with description, snippet and CVE: lineitem joined with part, before any text is spelled."""
         tool = F.col("tool")
         name, brand = F.col("p_name"), F.col("p_brand")
         description = (
@@ -172,8 +177,9 @@ class Host:
             )
             .otherwise(F.concat(F.lit("Gitleaks: "), name))
         )
-        part = self.table("part").select(F.col("p_partkey").alias("part_key"), "p_name", "p_brand", "p_type", "p_size")
-        return self.lines().join(part, "part_key").select(
+        part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type", "p_size")
+        joined = self.table("lineitem").join(part, "l_partkey")
+        return self.described_lines(joined, "p_name", "p_brand", "p_type", "p_size").select(
             "id",
             "scan_id",
             "file_path",
