@@ -91,7 +91,15 @@ def duplicated_lines(text: Column) -> Column:
 
 
 def lint_issues(text: Column) -> Column:
-    return F.greatest(F.coalesce(F.size(F.from_json(text, "array<string>")), F.lit(0)), F.lit(0))
+    """Length of the array; its records are decoded only where a count of tokens can't tell.
+
+    Both readers take the same arrays, but for control characters within strings and
+    numbers like NaN; a text that opens with a plain character other than ``[`` is none.
+    """
+    decoded = F.size(F.from_json(text, "array<string>"))
+    counted = F.when(~text.rlike(r"[\x00-\x1f]"), F.json_array_length(text))
+    other = strip(text).rlike(r"\A[!-Z\\\]-~]")
+    return F.when(other, 0).otherwise(F.greatest(F.coalesce(counted, decoded, F.lit(0)), F.lit(0)))
 
 
 def cohesion(text: Column) -> Column:

@@ -3,9 +3,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from auditlake.plans import quality_ingest, texts
 from auditlake.schemas import STORE
+from auditlake.sources import quality_reports
 
 REPORTS = "scan_id bigint, scanner string, tool string, path string, text string"
 JS = json.dumps({"summary": {"reports": [{"complexity": {"maintainability": 61.5, "cyclomatic": 7, "sloc": 40}}]}})
@@ -85,3 +87,12 @@ def test_blank_configuration_files_are_left_out(spark):
         "repo",
     )
     assert [tuple(r) for r in inputs.collect()] == [("r", "a/Dockerfile", "FROM x")]
+
+
+def test_lint_records_are_counted_as_they_are_decoded(spark):
+    texts = ["[]", "[1, 2]", '[{"a": 1}, null]', "['x', \"y\"]", "[NaN, 1]", "[1] x", "[1, 2", "[1,]", "[,]", "[[1], [2, 3]]", ' [1]', "\n[1,\n2]\n", '["a\nb"]', "\x0b[1]", "﻿[1]", "oops", "", " ", None, "null", "5", '{"a": [1]}', "'[1]'", "]", "\\", "[01]", "[+1]", "[Infinity]", '["\\q"]', "[a]", "/* c */[1]", "[tru]"]
+    table = spark.createDataFrame([(t,) for t in texts], "t string")
+    decoded = F.greatest(F.coalesce(F.size(F.from_json("t", "array<string>")), F.lit(0)), F.lit(0))
+    rows = table.select("t", quality_reports.lint_issues(F.col("t")).alias("n"), decoded.alias("d")).collect()
+    assert [(r.t, r.n) for r in rows] == [(r.t, r.d) for r in rows]
+    assert {r.t: r.n for r in rows}["[[1], [2, 3]]"] == 2
