@@ -111,3 +111,10 @@ def test_scan_without_a_type_is_in_no_restricted_scope(spark):
 
 def test_shared_folder_is_the_sessions(spark):
     assert shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_reports_are_spelled_in_methods_that_a_jvm_compiles(spark, sf_dir, capsys):
+    """Methods over 8000 bytes stay interpreted."""
+    Host(spark, sf_dir).reports().explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
