@@ -55,11 +55,14 @@ PROJECT_TOOLS = {
 def _undecodable(tool: Column, text: Column) -> Column:
     """Documents that are no JSON or XML at all; plain text always is what it is."""
     document = F.when(tool == "rust", F.substring_index(strip(text), "\n", 1)).otherwise(text)
-    xml = F.from_xml(text, F.lit("`_line-rate` string, _corrupt_record string"))
+    xml = let(
+        F.from_xml(text, F.lit("`_line-rate` string, _corrupt_record string")),
+        lambda parsed: parsed.isNull() | parsed["_corrupt_record"].isNotNull(),
+    )
     return (
         F.when(text.isNull(), True)
         .when(tool.isin("javascript", "ruby", "rust", "lint", "cohesion"), F.try_parse_json(document).isNull())
-        .when(tool == "coverage", xml.isNull() | xml["_corrupt_record"].isNotNull())
+        .when(tool == "coverage", xml)
         .otherwise(False)
     )
 
@@ -118,12 +121,11 @@ def ingest_quality(reports: DataFrame, churned: DataFrame | None = None) -> tupl
     """
     parsed = written(parse_quality(reports), "parsed-quality")
     rows = file_rows(parsed).withColumnRenamed("scan_id", "repo")
+    if churned is None:
+        rows = rows.withColumns({"code_churn": F.lit(0), "bug_risk_score": F.lit(0.0)})
+    else:  # first, while file rows are still dealt by scan and path
+        rows = bug_risk(rows, churned.withColumnsRenamed({"scan_id": "repo", "path": "file"}))
     whole = assemble(rows, project_rows(parsed))
-    changes = churned.withColumnsRenamed({"scan_id": "repo", "path": "file"}) if churned is not None else None
-    if changes is None:
-        whole = whole.withColumns({"code_churn": F.lit(0), "bug_risk_score": F.lit(0.0)})
-    else:
-        whole = bug_risk(whole, changes)
     stored = whole.withColumnsRenamed({"repo": "scan_id"}).withColumn("id", metric_id()).withColumnRenamed("path", "file_path")
     rejects = parsed.filter(F.col("reject_reason").isNotNull()).select("scan_id", "scanner", "tool", "path", "reject_reason")
     return conform(stored, "quality_metric"), rejects

@@ -96,3 +96,26 @@ def test_lint_records_are_counted_as_they_are_decoded(spark):
     rows = table.select("t", quality_reports.lint_issues(F.col("t")).alias("n"), decoded.alias("d")).collect()
     assert [(r.t, r.n) for r in rows] == [(r.t, r.d) for r in rows]
     assert {r.t: r.n for r in rows}["[[1], [2, 3]]"] == 2
+
+
+def test_file_rows_meet_their_churn_where_they_are(spark):
+    """File rows move to their file and to their scan, and not a third time."""
+    reports = [(1, "Go", "go", f"f{i % 2}", "3 main f a.go:1:1") for i in range(3)] + [(2, "Go", "go", "f0", "4 x"), (None, "Go", "go", "f0", "5 x"), (1, "Go", "coverage", None, '<coverage line-rate="0.5"/>')]
+    table = spark.createDataFrame(reports, "scan_id long, scanner string, tool string, path string, text string")
+    churned = spark.createDataFrame([(1, "f0", 2), (1, "f1", 3), (1, "f1", 4), (None, "f0", 9)], "scan_id long, path string, code_churn long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, _ = quality_ingest.ingest_quality(table, churned)
+        got = rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    figures = sorted(str((r.scan_id, r.file_path, r.code_coverage, r.code_churn, r.bug_risk_score)) for r in got)
+    assert figures == [
+        "(1, 'f0', 50.0, 2, 6.0)",
+        "(1, 'f1', 50.0, 3, 9.0)",
+        "(1, 'f1', 50.0, 4, 12.0)",
+        "(2, 'f0', 0.0, 0, 0.0)",
+        "(None, 'f0', None, 0, 0.0)",
+    ]
+    assert plan.count("Exchange hashpartitioning(") <= 5
