@@ -115,6 +115,10 @@ def test_shared_folder_is_the_sessions(spark):
 
 def test_reports_are_spelled_in_methods_that_a_jvm_compiles(spark, sf_dir, capsys):
     """Methods over 8000 bytes stay interpreted."""
-    Host(spark, sf_dir).reports().explain("codegen")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        Host(spark, sf_dir).reports().explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
     assert sizes and max(sizes) < 8000
