@@ -21,128 +21,58 @@ a corpus is combined map-side; no pairs of files are built.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.binding import let
-from auditlake.functions.lines import NEWLINE
+from auditlake.functions import shingles
 from auditlake.session import written
 
+# What a token is; ``functions.shingles`` finds them within lines.
 TOKEN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n\f]"
 
 
-def _paired(array: Column, distance: int, combine) -> Column:
-    """Element i combined with element i + distance; ``distance`` elements shorter."""
-    kept = F.greatest(F.size(array) - distance, F.lit(0))
-    return F.zip_with(F.slice(array, 1, kept), F.slice(array, distance + 1, kept), combine)
-
-
-def _over_spans(df: DataFrame, source: str, target: str, span: int, combine) -> DataFrame:
-    """``target[i]`` = combination of ``source[i .. i+span-1]``, doubling the span step by step.
-
-    The last step may overlap, which neither a minimum nor a hash of content minds.
-    """
-    df, width = df.withColumn(target, F.col(source)), 1
-    while width < span:
-        step = min(width, span - width)
-        df = df.withColumn(target, _paired(F.col(target), step, combine))
-        width += step
-    return df
-
-
-def _tokens(files: DataFrame, *kept: str) -> DataFrame:
-    """Per file its token hashes, their line numbers and the place of each line among those with tokens."""
-    lines = F.transform(
-        F.split("content", NEWLINE, -1),
-        lambda line, i: F.struct(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)).alias("tokens"), (i + 1).alias("line")),
-    )
-    told = F.transform(
-        F.filter(lines, lambda x: F.size(x["tokens"]) > 0),
-        lambda x, at: F.transform(x["tokens"], lambda t: F.struct(F.xxhash64(t).alias("h"), x["line"].alias("line"), at.alias("at"))),
-    )
-    return files.select("repo", "path", *kept, F.flatten(told).alias("_t")).select(
-        "repo", "path", *kept, F.col("_t.h").alias("_h"), F.col("_t.line").alias("_line"), F.col("_t.at").alias("_at")
-    )
-
-
-def _grams(tokens: DataFrame, gram: int) -> DataFrame:
-    return _over_spans(tokens, "_h", "_gram", gram, lambda a, b: F.xxhash64(a, b))
-
+LINES = ["first_line", "last_line", "first_at", "last_at"]
 
-def _stretch(first: Column, last: Column, min_tokens: int) -> list[Column]:
-    """The hash and lines of all windows that start from ``first`` to ``last``.
 
-    The hash covers the chain of k-grams from the first token to the last: one
-    different token changes every k-gram that holds it.
-    """
-    span = min_tokens - (min_tokens + 1) // 2
-    chain = F.slice("_gram", first + 1, last - first + 1 + span)
-    end = last + min_tokens - 1
-    places = {"first_line": ("_line", first), "last_line": ("_line", end), "first_at": ("_at", first), "last_at": ("_at", end)}
-    return [
-        F.xxhash64(chain).alias("h1"),
-        *[F.get(array, at).alias(name) for name, (array, at) in places.items()],
-    ]
+def _texts(files: DataFrame) -> DataFrame:
+    return files.select("repo", "path", "content", F.xxhash64("repo").alias("_repo")).filter(F.col("repo").isNotNull())
 
 
-LINES = ["first_line", "last_line", "first_at", "last_at"]
+def _types(files: DataFrame) -> str:
+    return ", ".join(f"{name} {files.schema[name].dataType.simpleString()}" for name in ("repo", "path"))
 
 
-def _runs(tokens: DataFrame, min_tokens: int) -> DataFrame:
+def _runs(files: DataFrame, min_tokens: int) -> DataFrame:
     """(repo, path, weight, minimum, first, last, h1, lines): stretches of windows with one minimum.
 
-    ``minimum`` and ``h1`` together tell the content of a run, in 128 bits.
-    A file that repeats a k-gram may repeat a window inside one run; its runs
-    weigh 2, so they are compared in any case.
+    ``minimum`` covers the repository too; with ``h1`` it tells the content of a run, in 128 bits.
+    A run whose minimum comes again in its file may repeat a window inside itself;
+    it weighs 2, so it is compared in any case.
     """
-    gram = (min_tokens + 1) // 2
-    df = _over_spans(_grams(tokens, gram), "_gram", "_min", min_tokens - gram + 1, lambda a, b: F.least(a, b))
-    repeats = F.size(F.array_distinct("_gram")) < F.size("_gram")
-    numbered = F.transform("_min", lambda m, i: F.when((i == 0) | (m != F.get("_min", i - 1)), i))
-    starts = F.array_compact(numbered)
-    df = df.select(
-        "repo", "path", F.when(repeats, 2).otherwise(1).alias("weight"), "_min", "_gram", "_line", "_at", starts.alias("_starts")
-    )
-
-    def run(first: Column, i: Column) -> Column:
-        return let(
-            F.coalesce(F.get("_starts", i + 1), F.size("_min")) - 1,
-            lambda last: F.struct(F.get("_min", first).alias("minimum"), first.alias("first"), last.alias("last"), *_stretch(first, last, min_tokens)),
-        )
-
-    return df.select("repo", "path", "weight", F.explode(F.transform("_starts", run)).alias("run")).select("repo", "path", "weight", "run.*")
+    return _texts(files).mapInArrow(shingles.runs(min_tokens), f"{_types(files)}, {shingles.RUN}")
 
 
 def _windows(files: DataFrame, runs: DataFrame, min_tokens: int) -> DataFrame:
     """(repo, path, h1, lines, h2) of every window of some runs; only their files are split into tokens."""
-    wanted = runs.groupBy("repo", "path").agg(F.collect_list(F.sequence("first", "last")).alias("_starts"))
-    grams = _grams(_tokens(files.join(wanted, ["repo", "path"]), "_starts"), (min_tokens + 1) // 2)
-    chain = lambda start: F.slice("_gram", start + 1, F.lit(min_tokens - (min_tokens + 1) // 2 + 1))
-    every = F.transform(
-        F.flatten("_starts"),
-        lambda start: F.struct(*_stretch(start, start, min_tokens), F.xxhash64(F.lit(min_tokens), chain(start)).alias("h2")),
-    )
-    return grams.select("repo", "path", F.explode(every).alias("w")).select("repo", "path", "w.*")
-
-
-def _repeated(runs: DataFrame) -> DataFrame:
-    found = runs.groupBy("repo", "minimum", "h1").agg(F.count("*").alias("n"), F.min(F.struct("path", "first")).alias("kept"))
-    return found.filter("n > 1").drop("n")
+    wanted = runs.groupBy("repo", "path").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
+    texts = _texts(files).join(wanted, ["repo", "path"])
+    return texts.mapInArrow(shingles.windows(min_tokens), f"{_types(files)}, {shingles.WINDOW}")
 
 
 def _intervals(files: DataFrame, min_tokens: int) -> DataFrame:
     """(repo, path, lines): lines of shared runs and shared windows, overlapping at will."""
-    runs = written(_runs(_tokens(files), min_tokens), "runs")
-    shared = runs.groupBy("repo", "minimum").agg(F.sum("weight").alias("w")).filter(F.col("w") > 1).select("repo", "minimum")
-    known = runs.join(shared, ["repo", "minimum"], "left_semi")
-    marked = written(known.join(_repeated(known), ["repo", "minimum", "h1"], "left"), "shared-runs")
-    alone = marked.filter(F.col("kept").isNull())
-    mixed = alone.select("repo", "minimum").distinct()
-    one_each = marked.filter(F.col("kept") == F.struct("path", "first")).join(mixed, ["repo", "minimum"], "left_semi")
-    windows = written(_windows(files, alone.select("repo", "path", "first", "last").union(one_each.select("repo", "path", "first", "last")), min_tokens), "windows")
-    repeated = windows.groupBy("repo", "h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("repo", "h1", "h2")
-    partly = windows.join(repeated, ["repo", "h1", "h2"], "left_semi")
-    wholly = marked.filter(F.col("kept").isNotNull())
+    runs = written(_runs(files, min_tokens), "runs")
+    shared = written(runs.groupBy("minimum").agg(F.sum("weight").alias("w")).filter("w > 1").select("minimum"), "shared")
+    known = written(runs.join(shared, "minimum", "left_semi"), "shared-runs")
+    place = ["repo", "path", "first", "last"]
+    kinds = known.groupBy("minimum", "h1").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("kept"))
+    kinds = written(kinds.filter("n > 1").drop("n"), "kinds")
+    wholly = known.join(kinds, ["minimum", "h1"], "left_semi")
+    alone = known.join(kinds, ["minimum", "h1"], "left_anti")
+    one_each = kinds.join(alone.select("minimum").distinct(), "minimum", "left_semi").select("kept.*")
+    windows = written(_windows(files, alone.select(*place).union(one_each), min_tokens), "windows")
+    repeated = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
+    partly = windows.join(repeated, ["h1", "h2"], "left_semi")
     return wholly.select("repo", "path", *LINES).union(partly.select("repo", "path", *LINES))
 
 

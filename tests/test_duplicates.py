@@ -4,8 +4,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
+from auditlake.functions.shingles import Windows
 from auditlake.operators.duplicates import TOKEN, duplicated_lines, duplicated_lines_by_file, duplicated_ranges
 
 
@@ -93,3 +95,43 @@ def test_a_half_copied_corpus_writes_runs_not_tokens(spark, tmp_path, monkeypatc
     written = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
     tokens = sum(len(t.split()) for _, _, t in rows)
     assert 0 < written < 4 * tokens < 0.6 * sum(len(t) for _, _, t in rows), (written, tokens)
+
+
+def test_only_runs_with_a_repeat_are_compared_window_by_window(spark, tmp_path, monkeypatch):
+    rng = random.Random(67)
+    phrase = " ".join(f"p{k}" for k in range(40))  # holds a half-window, but no window
+    body = [f"w{rng.randrange(10**9)}" for _ in range(6000)]
+    text = " ".join([*body[:2000], phrase, *body[2000:4000], phrase, *body[4000:]])
+    monkeypatch.setattr("auditlake.session.shared_root", lambda _: str(tmp_path))
+    assert duplicated_ranges(spark.createDataFrame([("r", "p", text)], "repo string, path string, content string")).collect() == []
+    (windows,) = (tmp_path / "auditlake").glob("windows-*")
+    assert spark.read.parquet(str(windows)).count() < 200
+
+
+def test_tokens_and_lines_are_those_of_the_pattern():
+    texts = ["", "é€𝄞x_1\tb\x0bc\r\n\r\n(d)\n\re\ff", "\n\n", "a", "b\r", "\nc d\x00é9é", "  x y z  "]
+    held = [text.encode() for text in texts]
+    data = np.frombuffer(b"".join(held), np.uint8)
+    ends = np.cumsum([0, *map(len, held)])
+    found = Windows(data, ends, np.zeros(len(texts), np.uint64), 1)
+    expected, words = [], []
+    for file, text in enumerate(texts):
+        at = 0
+        for line, content in enumerate(re.split(r"\r\n|\r|\n", text), 1):
+            tokens = re.findall(TOKEN, content, re.ASCII)
+            expected += [(file, line, at)] * len(tokens)
+            words += tokens
+            at += bool(tokens)
+    assert list(zip(found.file, found.line, found.at)) == expected
+    assert len(set(zip(found.grams, words))) == len(set(found.grams)) == len(set(words))
+
+
+def test_texts_without_tokens_and_rows_without_repository(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [("r", "a", None), ("r", "b", ""), ("r", "c", " \n"), (None, "d", text), (None, "e", text), ("s", "f", text), ("t", "g", text)]
+    schema = "repo string, path string, content string"
+    assert duplicated_ranges(spark.createDataFrame(rows, schema)).collect() == []
+    assert duplicated_ranges(spark.createDataFrame(rows[:3], schema).coalesce(1)).collect() == []
+    (row,) = duplicated_lines(spark.createDataFrame([*rows, ("s", "h", "\n" + text)], schema)).collect()
+    assert (row.repo, row.duplicated_lines) == ("s", 2)
+    assert [tuple(r) for r in duplicated_ranges(spark.createDataFrame([(7, 1, text), (8, 1, text), (7, 2, text)], "repo bigint, path int, content string")).orderBy("path").collect()] == [(7, 1, 1, 1, 1), (7, 2, 1, 1, 1)]
