@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import shingles
+from auditlake.operators.filters import might_hold
 from auditlake.session import written
 
 # What a token is; ``functions.shingles`` finds them within lines.
@@ -55,7 +56,9 @@ def _runs(files: DataFrame, min_tokens: int) -> DataFrame:
 def _windows(files: DataFrame, runs: DataFrame, min_tokens: int) -> DataFrame:
     """(repo, path, h1, lines, h2) of every window of some runs; only their files are split into tokens."""
     wanted = runs.groupBy("repo", "path").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
-    texts = _texts(files).join(wanted, ["repo", "path"])
+    file = [F.col(c).cast("string") for c in ("repo", "path")]
+    needed = might_hold(runs.select(file))  # contents of other files do not move
+    texts = _texts(files).filter(needed(*file)).join(wanted, ["repo", "path"])
     return texts.mapInArrow(shingles.windows(min_tokens), f"{_types(files)}, {shingles.WINDOW}")
 
 
