@@ -434,3 +434,69 @@ def test_nested_report_moves_whole_findings_twice(spark):
     assert sorted((r.repository_id, r.name, r.finding_count, len(r.findings)) for r in rows) == [(1, "again", 10, 10), (1, "r", 10, 10)]
     assert sorted(len(f.evidence) for f in rows[0].findings) == [0] * 8 + [1, 1]
     assert "Exchange" not in plan[: plan.index("collect_list")]
+
+
+DEPENDENCY = "scan_id long, package string, version string"
+ADVISORY = "package string, version string, advisory_id string, summary string, severity string"
+
+
+def advisory_rows(seed):
+    """Random dependencies and advisories with NULLs, repeated rows, and versions that look like numbers of lists."""
+    rng = random.Random(seed)
+    packages, versions = ["p", "q", "r", None], ["0", "1", "=1", "", None]
+    dependencies = [(rng.choice([1, 2, 3, 4, None]), rng.choice(packages), rng.choice(versions)) for _ in range(40)]
+    advisories = [(rng.choice(packages), rng.choice(versions), rng.choice(["A", "B", "C", "D", f"E{i}", None])) for i in range(60)]
+    return dependencies, [(p, v, a, f"about {a}", "HIGH" if a and a > "B" else None) for p, v, a in advisories]
+
+
+def pairs_of(dependencies, advisories):
+    return {
+        (scan, package, version, a[2], a[3], a[4])
+        for scan, package, version in dependencies
+        for a in advisories
+        if package is not None and package == a[0] and (version is None or version == a[1])
+    }
+
+
+@pytest.mark.parametrize("size", [2, 1000])
+def test_lists_of_advisories_give_every_match(spark, monkeypatch, size):
+    monkeypatch.setattr(joins, "BLOCK", size)
+    dependencies, advisories = advisory_rows(size)
+    asked, known = spark.createDataFrame(dependencies, DEPENDENCY), spark.createDataFrame(advisories, ADVISORY)
+    expected = pairs_of(dependencies, advisories)
+    matched = joins.match_advisories(asked, known)
+    assert matched.columns == ["package", "version", "scan_id", "advisory_id", "summary", "severity"]
+    rows = [(r.scan_id, r.package, r.version, r.advisory_id, r.summary, r.severity) for r in matched.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == expected
+    findings = joins.advisory_findings(joins.match_advisories(asked, known, told=True)).drop("once").collect()
+    assert {(r.scan_id, r.cve_id, r.description, r.severity) for r in findings} == {(s, a, t, v) for s, _, _, a, t, v in expected}
+    assert len(findings) == len({(s, a, t) for s, _, _, a, t, _ in expected})
+
+
+def test_advisories_are_joined_by_the_list(spark):
+    """A join has a row per scan, version and list; pairs come from the lists alone."""
+    advisories = [("p", f"{i % 2}", f"A{i}", "s", None) for i in range(100)]
+    dependencies = spark.createDataFrame([(1, "p", "0"), (2, "p", "1"), (3, "p", None)], DEPENDENCY)
+    told = joins.match_advisories(dependencies, spark.createDataFrame(advisories, ADVISORY), told=True)
+    assert sorted((r.scan_id, len(r.matched)) for r in told.collect()) == [(1, 50), (2, 50), (3, 100)]
+    plan = joins.match_advisories(dependencies, spark.createDataFrame(advisories, ADVISORY))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in plan and plan.index("Generate inline") < plan.index("Join")
+
+
+@pytest.mark.parametrize("size", [2, 1000])
+def test_findings_of_a_deep_scan_are_counted_in_their_lists(spark, monkeypatch, size):
+    monkeypatch.setattr(joins, "BLOCK", size)
+    dependencies, advisories = advisory_rows(size + 1)
+    asked, known = spark.createDataFrame(dependencies, DEPENDENCY), spark.createDataFrame(advisories, ADVISORY)
+    for table in (known, known.drop("severity"), known.withColumn("url", F.lit("u"))):
+        told = joins.match_advisories(asked.union(asked), table, told=True)
+        rules = spark.createDataFrame([(1, "s", "LOW")] * 3, "scan_id long, description string, severity string")
+        rows = joins.deep_scan_findings({"rules": rules, "advisory": joins.advisory_findings(told)})
+        lists = joins.deep_scan_findings({"rules": rules, "advisory": joins.advisory_findings(told, listed=True)})
+        assert lists.count() < rows.count()
+        single = {(r.tool, r.severity): r["count"] for r in rows.groupBy("tool", "severity").count().collect()}
+        assert {(r.tool, r.severity): r.n for r in lists.groupBy("tool", "severity").agg(F.sum("n").alias("n")).collect()} == single
+        unfolded = lists.filter("tool = 'advisory'").select("scan_id", "severity", F.inline("matched"))
+        assert sorted((str(r.scan_id), str(r.advisory_id), str(r.summary), str(r.severity)) for r in unfolded.collect()) == sorted(
+            (str(r.scan_id), str(r.cve_id), str(r.description), str(r.severity)) for r in rows.filter("tool = 'advisory'").collect()
+        )
